@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -70,9 +72,6 @@ def partial_corr(df: DataFrame, keys: list[str], x: str, y: str, covs: list[str]
     The cross-moment matrix is aggregated by Spark; each group then needs one
     solve of a (covariates + 1) system, done on a few numbers per group.
     """
-    import numpy as np
-    import pandas as pd
-
     names = ["_one", *covs, x, y]
     moments = normal_equations(df, keys, covs, [x, y])
     order = [f"m_{a}_{b}" for i, a in enumerate(names) for b in names[i:]]
