@@ -9,31 +9,23 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from rasterloom.operators.axis import COL, KEYS
 
 
-def _near_buckets(coords: list[str], size: float) -> Column:
-    """Every bucket within one step of the point's own, as an array of structs."""
-    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    base = {c: F.floor(F.col(c) / size) for c in coords}
-    cells = None
-    for c in coords:
-        nums = F.transform(steps, lambda s, c=c: base[c] + s)
-        if cells is None:
-            cells = F.transform(nums, lambda n: F.array(n))
-        else:
-            cells = F.flatten(F.transform(cells, lambda a, nums=nums: F.transform(nums, lambda n: F.concat(a, F.array(n)))))
-    return cells
-
-
 def bucket_pairs(left: DataFrame, right: DataFrame, keys, coords: list[str], reach: float) -> DataFrame:
-    """Pairs no farther apart than ``reach`` along every axis.
+    """Pairs whose buckets of size ``reach`` touch along every axis.
 
     ``left`` is sent to the 3^d buckets around each point, ``right`` stays in its
     own; equal points of ``right`` should be collapsed by the caller.
     """
-    lt = left.withColumn("_b", F.explode(_near_buckets(coords, reach)))
-    own = F.array(*[F.floor(F.col(c) / reach) for c in coords])
-    rt = right.withColumn("_b", own)
-    rt = rt.select(*keys, "_b", *[F.col(c).alias(f"r_{c}") for c in rt.columns if c not in (*keys, "_b")])
-    return lt.join(rt, [*keys, "_b"]).drop("_b")
+    lt, names = left, []
+    for i, c in enumerate(coords):
+        own = F.floor(F.col(c) / reach)
+        lt = lt.withColumn(f"_b{i}", F.explode(F.sequence(own - 1, own + 1)))
+        names.append(f"_b{i}")
+    rt = right.select(
+        *keys,
+        *[F.floor(F.col(c) / reach).alias(n) for c, n in zip(coords, names)],
+        *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in keys],
+    )
+    return lt.join(rt, [*keys, *names]).drop(*names)
 
 
 def square_distance(coords: list[str]) -> Column:

@@ -71,3 +71,23 @@ called AS MATERIALIZED (
 ROLLED = f"""rolled AS MATERIALIZED (
   SELECT p.seg, p.y, p.x, s.k, (p.y - s.sy + 6400) % 64 AS py, (p.x - s.sx + 6400) % 64 AS px
   FROM plane p CROSS JOIN {SHIFTS_SQL})"""
+
+# 4-connected components of the cells in ``cc``: smallest cell reachable
+REACH = """edge AS MATERIALIZED (
+  SELECT a.seg, a.y, a.x, b.y AS ny, b.x AS nx
+  FROM (SELECT cc.*, d.* FROM cc CROSS JOIN (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) d(dy, dx)) a
+  JOIN cc b ON b.seg = a.seg AND b.y = a.y + a.dy AND b.x = a.x + a.dx),
+reach AS (
+  SELECT seg, y, x, y * 2147483648 + x AS r FROM cc
+  UNION SELECT e.seg, e.ny, e.nx, r.r FROM reach r JOIN edge e ON e.seg = r.seg AND e.y = r.y AND e.x = r.x),
+lab AS MATERIALIZED (SELECT seg, y, x, min(r) AS comp FROM reach GROUP BY ALL),
+shape AS MATERIALIZED (
+  SELECT seg, comp, count(*) AS area, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1,
+    avg(y) AS cy, avg(x) AS cx,
+    round(count(*) / ((max(y) - min(y) + 1) * (max(x) - min(x) + 1)), 3) AS fill,
+    round((max(x) - min(x) + 1) / (max(y) - min(y) + 1), 3) AS aspect
+  FROM lab GROUP BY ALL)"""
+
+
+def with_components(where: str, body: str, source: str = PLANE, frm: str = "plane") -> str:
+    return f"WITH RECURSIVE {source}, cc AS MATERIALIZED (SELECT seg, y, x FROM {frm} WHERE {where}), {REACH}{body}"

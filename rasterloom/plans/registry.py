@@ -69,6 +69,9 @@ volume AS MATERIALIZED (
 )
 
 
+BOTH = PLANE + VOLUME[len(CELL):]
+
+
 def with_plane(body: str) -> str:
     return f"WITH {PLANE}{body}"
 
