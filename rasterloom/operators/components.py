@@ -44,14 +44,15 @@ def _label_block(ys: np.ndarray, xs: np.ndarray) -> np.ndarray:
 def _stars(edges: DataFrame, keys: list[str]) -> DataFrame:
     """Contract an edge list until every node points at its component's smallest."""
     key = [*keys, "u"]
-    edges = checkpoint(edges.select(*keys, "u", "v").distinct())
+    edges = edges.select(*keys, "u", "v").distinct()
+    if edges.isEmpty():
+        return edges
+    edges = checkpoint(edges)
 
     def mark(e: DataFrame):
         return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*keys, "u", "v") % 1000003)).first()
 
     seen = mark(edges)
-    if seen[0] == 0:
-        return edges
     while True:
         both = edges.unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(*key).agg(F.least(F.min("v"), F.first("u")).alias("m"))
