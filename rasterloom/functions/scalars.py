@@ -68,7 +68,7 @@ def resolvability(um: Column) -> Column:
 def model_name(base: Column, volume: Column) -> Column:
     """Tail of a map file name after the volume it was computed on."""
     cut = F.concat(volume, F.lit("-"))
-    pos = F.charindex(cut, base)
+    pos = F.position(cut, base)
     tail = F.when(pos > 0, F.substr(base, pos + F.length(cut))).otherwise(base)
     tail = F.regexp_replace(tail, r"\.(jpg|tif)$", "")
     tail = F.regexp_replace(tail, r"-ds\d+$", "")

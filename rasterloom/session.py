@@ -41,3 +41,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="rasterloom-ckpt-", dir=os.environ.get("TMPDIR"))
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder on shared storage for data that is written and read back."""
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        folder = folder.removeprefix("file:").rstrip("/")
+    elif spark.sparkContext.master.startswith("local"):
+        folder = tempfile.gettempdir()
+    else:
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+    path = os.path.join(folder, f"rasterloom-{name}-{uuid.uuid4().hex}")
+    os.makedirs(path, exist_ok=True)
+    return path
