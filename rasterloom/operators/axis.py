@@ -12,6 +12,7 @@ does not depend on the radius.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
@@ -82,17 +83,24 @@ def sliding_sum(
     return df.withColumns(out).drop(*aux)
 
 
+def _mirrored(pos: Column, n: Column, reach: int) -> Column:
+    """Padded positions ``-reach .. n-1+reach`` a cell fills when the line is mirrored."""
+    near = F.array_compact(
+        F.array(pos, F.when(pos < reach, -1 - pos), F.when(pos >= n - reach, 2 * n - 1 - pos))
+    )
+    # a reach beyond the whole line folds back and forth
+    turns = F.ceil(F.lit(reach) / (2 * n)).cast("int") + 1
+    every = F.flatten(
+        F.transform(F.sequence(-turns, turns), lambda k: F.array(pos + 2 * n * k, -1 - pos + 2 * n * k))
+    )
+    far = F.filter(every, lambda p: (p >= -reach) & (p < n + reach))
+    return F.when(n >= reach, near).otherwise(far)
+
+
 def _sliding_reflect(df, axis, cols, keys) -> DataFrame:
     reach = max(max(left, right) for _, left, right in cols.values())
     pos, n = F.col(axis.pos), F.col(axis.extent)
-    spots = F.array_compact(
-        F.array(
-            pos,
-            F.when(pos < reach, -1 - pos),
-            F.when(pos >= n - reach, 2 * n - 1 - pos),
-        )
-    )
-    padded = df.withColumn("_at", F.explode(spots))
+    padded = df.withColumn("_at", F.explode(_mirrored(pos, n, reach)))
     win = Window.partitionBy(*keys, *axis.others).orderBy("_at")
     upto = win.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inputs = sorted({c for c, _, _ in cols.values()})
@@ -167,8 +175,6 @@ def square_extreme(df, cols: dict[str, tuple[str, int]], how: str, keys=KEYS) ->
 
 def gauss_weights(sigma: float, truncate: float = 4.0) -> list[float]:
     radius = int(truncate * sigma + 0.5)
-    import math
-
     raw = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-radius, radius + 1)]
     total = sum(raw)
     return [v / total for v in raw]
@@ -185,10 +191,7 @@ def gaussian(df: DataFrame, cols: dict[str, str], sigma: float, keys=KEYS, first
     second = COL if first is ROW else ROW
     for axis, pick in ((first, lambda o, c: c), (second, lambda o, c: o)):
         pos, n = F.col(axis.pos), F.col(axis.extent)
-        spots = F.array_compact(
-            F.array(pos, F.when(pos < r, -1 - pos), F.when(pos >= n - r, 2 * n - 1 - pos))
-        )
-        padded = df.withColumn("_at", F.explode(spots))
+        padded = df.withColumn("_at", F.explode(_mirrored(pos, n, r)))
         win = Window.partitionBy(*keys, *axis.others).orderBy("_at")
         out = {}
         for o, c in cols.items():

@@ -30,13 +30,12 @@ def _label_block(ys: np.ndarray, xs: np.ndarray) -> np.ndarray:
         near = np.minimum(
             np.minimum(lab[idx - 1], lab[idx + 1]), np.minimum(lab[idx - w], lab[idx + w])
         )
-        best = np.minimum(lab[idx], near)
-        np.minimum.at(lab, lab[idx], best)
-        nxt = np.minimum(lab[idx], best)
-        nxt = lab[nxt]
-        if np.array_equal(nxt, lab[idx]) and np.array_equal(best, lab[idx]):
+        own = lab[idx]
+        best = np.minimum(own, near)
+        if np.array_equal(best, own) and np.array_equal(lab[own], own):
             break
-        lab[idx] = nxt
+        np.minimum.at(lab, own, best)
+        lab[idx] = lab[np.minimum(lab[idx], best)]
     root = lab[idx]
     return (root // w - 1 + y0).astype(np.int64) * STRIDE + (root % w - 1 + x0)
 

@@ -162,16 +162,23 @@ def distance(df: DataFrame, mask: str, out: str, keys=KEYS) -> DataFrame:
 
 
 def chunked(vol: DataFrame, cz: int, cy: int, cx: int) -> DataFrame:
-    """Pack voxels into byte chunks, edge chunks zero-padded, C order."""
+    """Pack voxels into byte chunks, zero-filled, C order.
+
+    Only non-zero voxels travel; each one writes its byte and the run of zeros
+    up to the next, so a chunk costs what it holds and an empty chunk is never
+    stored.
+    """
     pos = (F.col("z") % cz * cy + F.col("y") % cy) * cx + F.col("x") % cx
     at = lambda c, n: F.floor(F.col(c) / n).cast("int")
-    packed = vol.groupBy("seg", at("z", cz).alias("cz"), at("y", cy).alias("cy"), at("x", cx).alias("cx")).agg(
-        F.map_from_entries(F.collect_list(F.struct(pos.alias("p"), F.col("v")))).alias("m"), F.max("v").alias("_top")
+    packed = vol.where("v > 0").groupBy("seg", at("z", cz).alias("cz"), at("y", cy).alias("cy"), at("x", cx).alias("cx")).agg(
+        F.array_sort(F.collect_list(F.struct(pos.alias("p"), F.col("v").cast("long").alias("v")))).alias("e")
     )
-    byte = lambda i: F.lpad(F.hex(F.coalesce(F.element_at("m", i), F.lit(0))), 2, "0")
-    raw = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(cz * cy * cx - 1)), byte), "")
-    # a chunk holding nothing but fill is not stored
-    return packed.where("_top > 0").select("seg", "cz", "cy", "cx", F.unhex(raw).alias("data"))
+    size = cz * cy * cx
+    nxt = lambda i: F.coalesce(F.get(F.col("e.p"), i + 1), F.lit(size))
+    piece = lambda e, i: F.concat(F.lpad(F.hex(e["v"]), 2, "0"), F.repeat(F.lit("00"), nxt(i) - e["p"] - 1))
+    lead = F.repeat(F.lit("00"), F.get(F.col("e.p"), F.lit(0)))
+    raw = F.concat(lead, F.array_join(F.transform("e", piece), ""))
+    return packed.select("seg", "cz", "cy", "cx", F.unhex(raw).alias("data"))
 
 
 def byte_at(data: Column, pos: Column) -> Column:
