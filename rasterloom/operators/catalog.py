@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rasterloom.operators import quantiles
+
 
 def last_wins(df: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:
     """One row per key, the one written last; aggregated map-side."""
@@ -14,10 +16,18 @@ def last_wins(df: DataFrame, keys: list[str], order: str, values: list[str]) ->
 def longest_stem(files: DataFrame, stems: DataFrame, keys: list[str], base: str, stem: str) -> DataFrame:
     """Each file with the longest stem of its own group contained in its name.
 
-    The equality on the group makes this a hash join with a residual test
-    instead of a comparison of every file with every stem.
+    A name is expanded to its substrings of the lengths that stems of its group
+    have, which turns containment into equality: work is linear in the names and
+    a group with most of the files and stems spreads over its substrings.
     """
-    hit = files.join(stems, keys).where(F.col(base).contains(F.col(stem)))
+    stems = stems.select(*keys, stem).distinct()
+    lengths = stems.groupBy(*keys).agg(F.collect_set(F.length(stem)).alias("_ls"))
+    cut = lambda n: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(base) - n + 1, F.lit(1))), lambda i: F.substring(F.col(base), i, n)
+    )
+    parts = F.array_distinct(F.flatten(F.transform("_ls", cut)))
+    named = files.join(lengths, keys).withColumn(stem, F.explode(parts)).drop("_ls")
+    hit = named.join(stems, [*keys, stem], "left_semi")
     best = F.max_by(stem, F.struct(F.length(stem), F.col(stem)))
     return hit.groupBy(*files.columns).agg(best.alias(stem))
 
@@ -52,11 +62,9 @@ def seam_classes(nn: DataFrame, body: DataFrame, keys, normal: dict[str, float],
         *keys, F.abs(perp).alias("perp"), F.sqrt(F.greatest(F.col("d2") - perp * perp, F.lit(0.0))).alias("inplane")
     )
     edge = F.col("inplane") > F.col("perp")
-    on = lambda c: F.median(F.when(edge, F.col(c)))
-    g = parts.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("near"), F.count_if(edge).alias("seam"), on("perp").alias("perp"), on("inplane").alias("inplane")
-    )
-    g = g.where(F.col("seam") >= least).join(body, keys)
+    mid = quantiles.medians(parts.where(edge), keys, {"perp": "perp", "inplane": "inplane"})
+    g = parts.groupBy(*keys).agg(F.count(F.lit(1)).alias("near"), F.count_if(edge).alias("seam"))
+    g = g.where(F.col("seam") >= least).join(body, keys).join(mid, keys)
     kind = F.when(F.col("near") / F.col("body") > 0.5, "duplicate").otherwise("seam")
     return g.select(
         *keys, "near", "seam", F.round(F.col("seam") / F.col("near"), 3).alias("edge_on"), "perp", "inplane", kind.alias("kind")

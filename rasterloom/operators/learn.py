@@ -63,18 +63,13 @@ def effect_summary(df: DataFrame, fine: str, coarse: str, bar: float) -> DataFra
         .select("feature", "seg")
     )
     kept = df.join(both, ["feature", "seg"], "left_semi")
-    med = lambda s: F.median(F.when(F.col("side") == s, F.col("excess")))
-    return (
-        kept.groupBy("feature")
-        .agg(
-            F.count_distinct("seg").alias("segs"),
-            med(fine).alias("fine"),
-            med(coarse).alias("coarse"),
-            (med(fine) - med(coarse)).alias("delta"),
-            F.count_if((F.col("side") == fine) & (F.col("excess") > bar)).alias("sig"),
-        )
-        .where("segs >= 2")
+    pick = lambda s: F.when(F.col("side") == s, F.col("excess"))
+    mid = quantiles.medians(kept, ["feature"], {"fine": pick(fine), "coarse": pick(coarse)})
+    counts = kept.groupBy("feature").agg(
+        F.count_distinct("seg").alias("segs"), F.count_if((F.col("side") == fine) & (F.col("excess") > bar)).alias("sig")
     )
+    joined = counts.where("segs >= 2").join(mid, "feature")
+    return joined.select("feature", "segs", "fine", "coarse", (F.col("fine") - F.col("coarse")).alias("delta"), "sig")
 
 
 def depth_contrast(vol: DataFrame, masks: DataFrame, shifts) -> DataFrame:

@@ -62,10 +62,8 @@ def percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str, float]
     256 distinct values, so ``byte_percentile`` is the cheaper choice there.
     """
     rv = ranked_values(df, keys, value)
-    size = Window.partitionBy(*keys)
     totals = rv.groupBy(*keys).agg(F.sum("n").alias("_total"))
     rv = rv.join(totals, keys)
-    del size
     aggs = []
     for name, p in ps.items():
         h = F.lit(p / 100.0) * (F.col("_total") - 1)
@@ -86,6 +84,17 @@ def percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str, float]
     )
 
 
+def medians(df: DataFrame, keys: list[str], cols: dict[str, str | Column]) -> DataFrame:
+    """Exact medians of several columns of an unbounded group, nulls left out.
+
+    The columns travel as one long relation, so they share the exchanges.
+    """
+    entries = [F.struct(F.lit(o).alias("which"), (F.col(c) if isinstance(c, str) else c).cast("double").alias("v")) for o, c in cols.items()]
+    long = df.select(*keys, F.explode(F.array(*entries)).alias("e")).select(*keys, "e.*").where("v IS NOT NULL")
+    got = percentiles(long, [*keys, "which"], "v", {"m": 50})
+    return got.groupBy(*keys).agg(*[F.max(F.when(F.col("which") == o, F.col("m"))).alias(o) for o in cols])
+
+
 def byte_percentile(value: Column, p: float) -> Column:
     """Exact percentile as an aggregate; its state is one counter per distinct value."""
     return F.percentile(value, F.lit(p / 100.0))

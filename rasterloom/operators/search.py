@@ -33,7 +33,7 @@ def separation(long: DataFrame, keys: list[str], target: Column) -> DataFrame:
 
 def funnel(tune: DataFrame, held: DataFrame, blank: DataFrame, bars: dict[str, float]) -> DataFrame:
     """Median per stage, penalised by the controls, with the stage each variant reached."""
-    med = lambda df, name: df.groupBy("variant").agg(F.median("d").alias(name), F.count("d").alias(f"n_{name}"))
+    med = lambda df, name: quantiles.medians(df, ["variant"], {name: "d"})
     m = med(tune, "tune").join(med(held, "held"), "variant", "left").join(med(blank, "blank"), "variant", "left")
     final = F.col("held") - 0.5 * F.greatest(F.lit(0.0), F.abs("blank") - bars["blank"])
     stage = (
@@ -45,7 +45,7 @@ def funnel(tune: DataFrame, held: DataFrame, blank: DataFrame, bars: dict[str, f
 
 def partial_signs(long: DataFrame, keys: list[str]) -> DataFrame:
     """Worst scroll of a variant: it must hold on every scroll, not on one."""
-    return long.groupBy("variant", *keys).agg(F.median("d").alias("m")).groupBy("variant").agg(
+    return quantiles.medians(long, ["variant", *keys], {"m": "d"}).groupBy("variant").agg(
         F.min("m").alias("worst"), F.count(F.lit(1)).alias("scrolls")
     )
 

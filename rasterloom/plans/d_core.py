@@ -82,9 +82,7 @@ def d05(spark, sf):
         .where((F.col("lt") <= half) & (half < F.col("lt") + F.col("n")))
         .select("scroll", F.col("v").alias("upper_median"))
     )
-    med = per_seg.groupBy("scroll").agg(
-        r6(F.median("m"), "med"), r6(F.median("s"), "med_spread")
-    )
+    med = rounded(quantiles.medians(per_seg, ["scroll"], {"med": "m", "med_spread": "s"}))
     return med.join(upper, "scroll")
 
 
@@ -292,16 +290,13 @@ SELECT coalesce(scroll, 'ALL') AS scroll, count(*) AS maps, count(*) FILTER (sil
 FROM sil GROUP BY ROLLUP (scroll)"""),
 )
 def d17(spark, sf):
-    return (
-        silence(spark, sf)
-        .rollup("scroll")
-        .agg(
-            F.count(F.lit(1)).alias("maps"),
-            F.count_if("silent").alias("silent"),
-            F.median("p99").cast("int").alias("med_p99"),
-            r6(F.median("conf") * 100, "med_conf_pct"),
-        )
-        .withColumn("scroll", F.coalesce("scroll", F.lit("ALL")))
+    s = silence(spark, sf).select("scroll", "p99", "conf", "silent")
+    # every map counts once for its scroll and once for the grand total
+    both = s.withColumn("scroll", F.explode(F.array("scroll", F.lit("ALL"))))
+    counts = both.groupBy("scroll").agg(F.count(F.lit(1)).alias("maps"), F.count_if("silent").alias("silent"))
+    mid = quantiles.medians(both, ["scroll"], {"p": "p99", "c": "conf"})
+    return counts.join(mid, "scroll").select(
+        "scroll", "maps", "silent", F.col("p").cast("int").alias("med_p99"), r6(F.col("c") * 100, "med_conf_pct")
     )
 
 

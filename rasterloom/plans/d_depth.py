@@ -336,9 +336,8 @@ def d49(spark, sf):
     m = grids.plane(spark, sf).groupBy("seg").agg(
         F.stddev_pop("a").alias("noise"), F.avg("a").alias("level")
     )
-    per = m.groupBy(F.substring("seg", 1, 1).alias("scroll")).agg(
-        F.median("noise").alias("noise"), F.median("level").alias("level")
-    )
+    m = m.withColumn("scroll", F.substring("seg", 1, 1))
+    per = quantiles.medians(m, ["scroll"], {"noise": "noise", "level": "level"})
     return rounded(learn.condition_ratios(per, "scroll", "A", ["noise", "level"]))
 
 

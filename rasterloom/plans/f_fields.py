@@ -7,7 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from rasterloom.operators import axis, components, depth, features, fields, stats
+from rasterloom.operators import axis, components, depth, features, fields, quantiles, stats
 from rasterloom.plans.common import refl, rounded, r6, with_components
 from rasterloom.plans.c_joins import comps
 from rasterloom.plans.f_windows import sbox
@@ -320,7 +320,8 @@ def f37(spark, sf):
         F.array(*[F.struct(F.lit(k).alias("transform"), F.corr(e, F.col("ink")).alias("r")) for k, e in kinds.items()]).alias("es")
     )
     r = c.select("z", F.explode("es").alias("e")).select("z", "e.*").where("r IS NOT NULL AND NOT isnan(r)")
-    return r.groupBy("transform", "z").agg(r6(F.median("r"), "r"), F.count(F.lit(1)).alias("tiles")).where("tiles >= 3")
+    n = r.groupBy("transform", "z").agg(F.count(F.lit(1)).alias("tiles")).where("tiles >= 3")
+    return rounded(n.join(quantiles.medians(r, ["transform", "z"], {"r": "r"}), ["transform", "z"]))
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rasterloom.operators import axis, catalog, components, masks, ranking, spatial
+from rasterloom.operators import axis, catalog, components, masks, quantiles, ranking, spatial
 from rasterloom.plans.c_joins import comps
 from rasterloom.plans.common import CALLED, r6, rounded, with_components
 from rasterloom.plans.d_core import CODE_SQL, simple_code
@@ -156,10 +156,11 @@ def g09_sets(spark, sf):
 ORDER BY med DESC, user_id LIMIT 20""",
 )
 def g10(spark, sf):
-    g = grids.table(spark, sf, "events").groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("n"), F.median("value").alias("med"), F.max("value").alias("best"),
-        F.count_if(F.col("event_type") == "purchase").alias("confirmed"),
+    e = grids.table(spark, sf, "events").select("user_id", "value", "event_type")
+    g = e.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("value").alias("best"), F.count_if(F.col("event_type") == "purchase").alias("confirmed")
     )
+    g = g.join(quantiles.medians(e, ["user_id"], {"med": "value"}), "user_id")
     return rounded(g.where("n >= 5").orderBy(F.desc("med"), "user_id").limit(20))
 
 

@@ -493,8 +493,12 @@ def j24(spark, sf):
         F.array(*[F.struct(F.lit(k).alias("feature"), F.corr(c, t).alias("r")) for k, c in kinds.items()]).alias("fs")
     )
     u = df.select(F.substring("seg", 1, 1).alias("scroll"), F.explode("fs").alias("f")).select("scroll", "f.*")
-    ink, blank = F.median(F.when(F.col("scroll") != "R", F.col("r"))), F.median(F.when(F.col("scroll") == "R", F.abs("r")))
-    return u.groupBy("feature").agg(r6(ink, "ink_r"), r6(blank, "blank"), F.count(F.lit(1)).alias("n"), (ink - blank * 1.5 > 0).alias("alive"))
+    ink, blank = F.when(F.col("scroll") != "R", F.col("r")), F.when(F.col("scroll") == "R", F.abs("r"))
+    mid = quantiles.medians(u, ["feature"], {"ink": ink, "blank_r": blank})
+    n = u.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(mid, "feature").select(
+        "feature", r6("ink", "ink_r"), r6("blank_r", "blank"), "n", (F.col("ink") - F.col("blank_r") * 1.5 > 0).alias("alive")
+    )
 
 
 @query(

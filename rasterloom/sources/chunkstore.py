@@ -31,7 +31,7 @@ from pyspark.sql.datasource import (
 )
 
 SCHEMA = "vol string, level int, cz int, cy int, cx int, data binary"
-RUN = 64
+RUN, MAX_RUNS = 64, 20000
 
 
 def read_sidecar(folder: str) -> dict | None:
@@ -61,7 +61,8 @@ class Run(InputPartition):
     level: int
     folder: str
     meta: str
-    chunks: list
+    first: int
+    last: int
 
 
 class ChunkReader(DataSourceReader):
@@ -82,11 +83,12 @@ class ChunkReader(DataSourceReader):
             # ranges only prune; Spark still evaluates every filter
             yield f
 
-    def _span(self, name: str, n: int) -> range:
+    def _span(self, name: str, n: int) -> tuple[int, int]:
         lo, hi = self.limits.get(name, (0, n - 1))
-        return range(max(lo, 0), min(hi, n - 1) + 1)
+        return max(lo, 0), max(min(hi, n - 1) + 1 - max(lo, 0), 0)
 
     def partitions(self):
+        """Runs of linear chunk numbers inside the wanted box, never a list of chunks."""
         out = []
         for vol in sorted(os.listdir(self.path)):
             for i, name in enumerate(level_names(os.path.join(self.path, vol))):
@@ -95,16 +97,21 @@ class ChunkReader(DataSourceReader):
                 lo, hi = self.limits.get("level", (0, 1 << 31))
                 if meta is None or len(meta["shape"]) != 3 or not lo <= i <= hi:
                     continue
-                nz, ny, nx = (-(-s // c) for s, c in zip(meta["shape"], meta["chunks"]))
-                idx = [(a, b, c) for a in self._span("cz", nz) for b in self._span("cy", ny) for c in self._span("cx", nx)]
-                out += [Run(vol, i, folder, json.dumps(meta), idx[k : k + RUN]) for k in range(0, len(idx), RUN)]
-        return out or [Run("", 0, "", "{}", [])]
+                counts = (-(-s // c) for s, c in zip(meta["shape"], meta["chunks"]))
+                box = [self._span(k, n) for k, n in zip(("cz", "cy", "cx"), counts)]
+                total = box[0][1] * box[1][1] * box[2][1]
+                step = max(RUN, -(-total // MAX_RUNS))
+                text = json.dumps({**meta, "box": box})
+                out += [Run(vol, i, folder, text, k, min(k + step, total)) for k in range(0, total, step)]
+        return out or [Run("", 0, "", "{}", 0, 0)]
 
     def read(self, part):
         meta = json.loads(part.meta)
         sep = meta.get("dimension_separator", ".")
         packed = bool(meta.get("compressor"))
-        for cz, cy, cx in part.chunks:
+        for k in range(part.first, part.last):
+            (z0, _), (y0, ny), (x0, nx) = meta["box"]
+            cz, cy, cx = z0 + k // (ny * nx), y0 + k // nx % ny, x0 + k % nx
             try:
                 with open(os.path.join(part.folder, sep.join(map(str, (cz, cy, cx)))), "rb") as f:
                     raw = f.read()
@@ -165,7 +172,7 @@ class LevelReader(DataSourceReader):
 
     def partitions(self):
         vols = sorted(os.listdir(self.path))
-        return [Run(v, 0, os.path.join(self.path, v), "{}", []) for v in vols]
+        return [Run(v, 0, os.path.join(self.path, v), "{}", 0, 0) for v in vols]
 
     def read(self, part):
         found = []

@@ -6,8 +6,8 @@
 A segment is one block of ``ORDERS_PER_SEG`` orders for one return flag, so the
 number of segments grows with the data while each one keeps a bounded extent.
 The frame (every cell of every segment) is merged into the aggregation itself:
-frame rows carry count 0, so no join is needed to make the grid dense and rows
-of one raster line land in one partition, ready for the first line-wise window.
+frame rows carry count 0, so no join is needed to make the grid dense, and
+repeated samples of a hot cell are combined before they are shuffled.
 """
 
 from __future__ import annotations
@@ -68,7 +68,6 @@ def plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     summed = (
         cells.unionByName(frame)
-        .repartition("seg", "y")
         .groupBy("seg", "y", "x")
         .agg(F.sum("q").alias("q"), F.sum("d").alias("d"), F.sum("n").alias("n"))
     )
@@ -104,7 +103,6 @@ def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     summed = (
         cells.unionByName(frame)
-        .repartition("seg", "y", "x")
         .groupBy("seg", "z", "y", "x")
         .agg(F.sum("q").alias("q"), F.sum("n").alias("n"))
     )
