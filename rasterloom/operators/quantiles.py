@@ -25,22 +25,17 @@ def value_counts(df: DataFrame, keys: list[str], value: str, **sums: Column) ->
     )
 
 
-def bucket_offsets(vc: DataFrame, keys: list[str], *counts: str) -> DataFrame:
-    """Totals per bucket plus the total of all lower buckets of the group."""
-    totals = vc.groupBy(*keys, "bucket").agg(*[F.sum(c).alias(c) for c in counts])
-    below = (
-        Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return totals.select(
-        *keys,
-        "bucket",
-        *[F.coalesce(F.sum(c).over(below), F.lit(0)).alias(f"below_{c}") for c in counts],
-        *[F.col(c).alias(f"in_{c}") for c in counts],
-    )
+def bucket_offsets(vc: DataFrame, keys: list[str]) -> DataFrame:
+    """Per bucket: how many rows lie in all lower buckets, and the group's size."""
+    totals = vc.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))
+    up = Window.partitionBy(*keys).orderBy("bucket")
+    below = F.sum("n").over(up.rowsBetween(Window.unboundedPreceding, -1))
+    whole = F.sum("n").over(up.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return totals.select(*keys, "bucket", F.coalesce(below, F.lit(0)).alias("_below"), whole.alias("size"))
 
 
 def ranked_values(df: DataFrame, keys: list[str], value: str, **sums: Column) -> DataFrame:
-    """Distinct values with ``n``, and ``lt`` = how many rows lie strictly below.
+    """Distinct values with ``n``, ``lt`` = rows strictly below, ``size`` = rows of the group.
 
     Average tie rank of a value is ``lt + (n + 1) / 2``.
     """
@@ -49,12 +44,16 @@ def ranked_values(df: DataFrame, keys: list[str], value: str, **sums: Column) ->
         Window.partitionBy(*keys, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     )
     local = vc.withColumn("_lt", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    offsets = bucket_offsets(vc, keys, "n").select(*keys, "bucket", "below_n")
-    return local.join(offsets, [*keys, "bucket"]).select(
-        *keys, "v", "n", *sums, (F.col("_lt") + F.col("below_n")).alias("lt")
+    return local.join(bucket_offsets(vc, keys), [*keys, "bucket"]).select(
+        *keys, "v", "n", *sums, (F.col("_lt") + F.col("_below")).alias("lt"), "size"
     )
 
 
+def at_rank(k: Column) -> Column:
+    """Aggregate: the value holding 0-based rank ``k``."""
+    return F.max(F.when((F.col("lt") <= k) & (k < F.col("lt") + F.col("n")), F.col("v")))
+
+
 def percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str, float]) -> DataFrame:
     """Exact linear-interpolation percentiles (``ps`` maps output name to 0..100).
 
@@ -62,26 +61,14 @@ def percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str, float]
     256 distinct values, so ``byte_percentile`` is the cheaper choice there.
     """
     rv = ranked_values(df, keys, value)
-    totals = rv.groupBy(*keys).agg(F.sum("n").alias("_total"))
-    rv = rv.join(totals, keys)
     aggs = []
     for name, p in ps.items():
-        h = F.lit(p / 100.0) * (F.col("_total") - 1)
+        h = F.lit(p / 100.0) * (F.col("size") - 1)
         lo, hi = F.floor(h), F.ceil(h)
-        holds = lambda k: (F.col("lt") <= k) & (k < F.col("lt") + F.col("n"))
-        aggs.append(F.max(F.when(holds(lo), F.col("v"))).alias(f"_lo_{name}"))
-        aggs.append(F.max(F.when(holds(hi), F.col("v"))).alias(f"_hi_{name}"))
-        aggs.append(F.max(h - lo).alias(f"_fr_{name}"))
+        aggs += [at_rank(lo).alias(f"_lo_{name}"), at_rank(hi).alias(f"_hi_{name}"), F.max(h - lo).alias(f"_fr_{name}")]
     out = rv.groupBy(*keys).agg(*aggs)
-    return out.select(
-        *keys,
-        *[
-            (
-                F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_fr_{n}")
-            ).alias(n)
-            for n in ps
-        ],
-    )
+    part = lambda n: F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_fr_{n}")
+    return out.select(*keys, *[part(n).alias(n) for n in ps])
 
 
 def medians(df: DataFrame, keys: list[str], cols: dict[str, str | Column]) -> DataFrame:
@@ -132,15 +119,7 @@ def histogram_decile(hist: DataFrame, keys: list[str], share: float = 0.9, defau
 def floor_index_window(df, keys: list[str], value: str, lo: float = 0.5, hi: float = 99.5):
     """Display window: the values at floor(p/100*(n-1)) of the non-zero cells."""
     rv = ranked_values(df.where(F.col(value) != 0), keys, value)
-    totals = rv.groupBy(*keys).agg(F.sum("n").alias("_total"))
-    rv = rv.join(totals, keys)
-
-    def at(p: float) -> Column:
-        k = F.floor(F.lit(p) / 100.0 * (F.col("_total") - 1))
-        return F.max(
-            F.when((F.col("lt") <= k) & (k < F.col("lt") + F.col("n")), F.col("v"))
-        )
-
+    at = lambda p: at_rank(F.floor(F.lit(p) / 100.0 * (F.col("size") - 1)))
     got = rv.groupBy(*keys).agg(at(lo).alias("_lo"), at(hi).alias("_hi"))
     every = df.select(*keys).distinct().join(got, keys, "left")
     low = F.coalesce("_lo", F.lit(0.0))

@@ -74,13 +74,8 @@ def d05(spark, sf):
         F.sum("a").alias("m"), (F.max("a") - F.min("a")).alias("s")
     )
     per_seg = per_seg.withColumn("scroll", F.substring("seg", 1, 1))
-    up = quantiles.ranked_values(per_seg, ["scroll"], "m")
-    total = up.groupBy("scroll").agg(F.sum("n").alias("t"))
-    half = F.floor(F.col("t") / 2)
-    upper = (
-        up.join(total, "scroll")
-        .where((F.col("lt") <= half) & (half < F.col("lt") + F.col("n")))
-        .select("scroll", F.col("v").alias("upper_median"))
+    upper = quantiles.ranked_values(per_seg, ["scroll"], "m").groupBy("scroll").agg(
+        quantiles.at_rank(F.floor(F.col("size") / 2)).alias("upper_median")
     )
     med = rounded(quantiles.medians(per_seg, ["scroll"], {"med": "m", "med_spread": "s"}))
     return med.join(upper, "scroll")
