@@ -191,34 +191,33 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         F.min("word_from").alias("first"), F.max("word_to").alias("end")
     )
     takes = takes.groupBy("row_key", "doc_id", "source", "start").agg(
-        F.sort_array(F.collect_list(F.struct("epoch", "first", "end"))).alias("_takes")
+        F.sort_array(F.collect_list(F.struct("epoch", "first", "end"))).alias("takes")
     )
-    same = ["_key", "_id", "_source"]
-    takes = takes.select(
-        F.col("row_key").alias("_key"), F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "start", "_takes"
-    ).withColumn("_turn", F.row_number().over(W.partitionBy(*same).orderBy("start")))
-    mine = (
-        docs.where(n_words(F.col("text")) > 0)
-        .withColumns({"_rk": shuffle_key(options.get("seed", 0)), "_size": n_words(F.col("text"))})
-        .withColumn("_n", F.row_number().over(W.partitionBy("_rk", "doc_id", "source").orderBy("_size")))
+    same = ["row_key", "id", "of"]
+    takes = takes.select("row_key", F.col("doc_id").alias("id"), F.col("source").alias("of"), "start", "takes")
+    takes = takes.withColumn("turn", F.row_number().over(W.partitionBy(*same).orderBy("start"))).drop("start")
+    mine = docs.where(n_words(F.col("text")) > 0).select(
+        shuffle_key(options.get("seed", 0)).alias("key"),
+        n_words(F.col("text")).alias("size"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
     )
+    mine = mine.withColumn("n", F.row_number().over(W.partitionBy("key", "row.doc_id", "row.source").orderBy("size")))
     joined = mine.join(
-        takes.drop("start"),
-        (F.col("_rk") == F.col("_key"))
-        & F.col("doc_id").eqNullSafe(F.col("_id"))
-        & F.col("source").eqNullSafe(F.col("_source"))
-        & (F.col("_n") == F.col("_turn")),
-    ).withColumn("_take", F.explode("_takes"))
-    first, end = F.col("_take.first"), F.col("_take.end")
-    words = F.split(F.btrim(F.col("text"), F.lit(SPACE_CHARS)), f"[{SPACE}]+")
+        takes,
+        (F.col("key") == F.col("row_key"))
+        & F.col("row.doc_id").cast("long").eqNullSafe(F.col("id"))
+        & F.col("row.source").eqNullSafe(F.col("of"))
+        & (F.col("n") == F.col("turn")),
+    ).withColumn("take", F.explode("takes"))
+    first, end, text = F.col("take.first"), F.col("take.end"), F.col("row.text")
+    words = F.split(F.btrim(text, F.lit(SPACE_CHARS)), f"[{SPACE}]+")
     part = F.array_join(F.slice(words, (first + 1).cast("int"), (end - first).cast("int")), " ")
-    text = F.when((first == 0) & (end == F.col("_size")), F.col("text")).otherwise(part)
-    out = joined.withColumn("_text", text)
+    out = joined.withColumn("cut", F.when((first == 0) & (end == F.col("size")), text).otherwise(part))
     return out.select(
         *[
-            F.col("_text").alias(c) if c == "text"
-            else F.char_length("_text").cast(t).alias(c) if c == "n_chars"
-            else F.col(c)
+            F.col("cut").alias(c) if c == "text"
+            else F.char_length("cut").cast(t).alias(c) if c == "n_chars"
+            else F.col("row")[c].alias(c)
             for c, t in docs.dtypes
         ]
     )

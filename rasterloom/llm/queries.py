@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rasterloom.llm import exact_dedup, mixing, sentencepiece_codec, sharding
+from rasterloom.llm import exact_dedup, mixing, quality, sentencepiece_codec, sharding, warc
 from rasterloom.llm.shared import documents, query
 
 #: Bytes of text in one shard.
@@ -48,6 +48,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.extendible_shards(documents(spark, sf_dir), SHARD_BYTES)
 
 
+@query("op5_quality_rules")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir))
+
+
 @query("op7_sentencepiece")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = sentencepiece_codec.encode_decode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
@@ -100,3 +105,9 @@ FROM placed CROSS JOIN p LEFT JOIN run USING (rank)"""
 @query("op8_mix_sources", MIX_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(documents(spark, sf_dir))
+
+
+@query("op10_warc")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
