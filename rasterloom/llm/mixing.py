@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from rasterloom.llm.shared import SPACE, SPACE_CHARS, n_words, written
+from rasterloom.llm.shared import SPACE, SPACE_CHARS, n_words, row_struct, with_text, written
 
 #: 2**32 divided by the golden ratio, and the number of points.
 GOLDEN, POINTS = 2654435769, 1 << 32
@@ -199,7 +199,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     mine = docs.where(n_words(F.col("text")) > 0).select(
         shuffle_key(options.get("seed", 0)).alias("key"),
         n_words(F.col("text")).alias("size"),
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        row_struct(docs),
     )
     mine = mine.withColumn("n", F.row_number().over(W.partitionBy("key", "row.doc_id", "row.source").orderBy("size")))
     joined = mine.join(
@@ -213,11 +213,4 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     words = F.split(F.btrim(text, F.lit(SPACE_CHARS)), f"[{SPACE}]+")
     part = F.array_join(F.slice(words, (first + 1).cast("int"), (end - first).cast("int")), " ")
     out = joined.withColumn("cut", F.when((first == 0) & (end == F.col("size")), text).otherwise(part))
-    return out.select(
-        *[
-            F.col("cut").alias(c) if c == "text"
-            else F.char_length("cut").cast(t).alias(c) if c == "n_chars"
-            else F.col("row")[c].alias(c)
-            for c, t in docs.dtypes
-        ]
-    )
+    return with_text(out, docs, "cut")

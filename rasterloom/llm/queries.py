@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rasterloom.llm import exact_dedup, mixing, quality, sentencepiece_codec, sharding, warc
+from rasterloom.llm import exact_dedup, line_dedup, mixing, quality, sentencepiece_codec, sharding, substring_dedup, warc
 from rasterloom.llm.shared import documents, query
 
 #: Bytes of text in one shard.
@@ -48,6 +48,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.extendible_shards(documents(spark, sf_dir), SHARD_BYTES)
 
 
+@query("op4_substring_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query("op5_quality_rules")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
@@ -107,6 +113,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(documents(spark, sf_dir))
 
 
+@query("op9_line_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.dedup_lines(documents(spark, sf_dir))
+    return left.select("row.doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op10_warc")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")

@@ -57,3 +57,28 @@ def n_words(text: Column) -> Column:
     """Number of words of a text without materialising anything but the split."""
     body = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))
     return F.when(body == "", F.lit(0)).otherwise(F.size(F.split(body, f"[{SPACE}]+"))).cast("long")
+
+
+def row_struct(docs: DataFrame) -> Column:
+    """All columns of a relation in one, so that working columns cannot clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
+def with_text(df: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """The columns of ``docs`` out of ``row``, with another text and its length."""
+    return df.select(
+        *[
+            F.col(text).alias(c) if c == "text"
+            else F.char_length(text).cast(t).alias(c) if c == "n_chars"
+            else F.col("row")[c].alias(c)
+            for c, t in docs.dtypes
+        ]
+    )
+
+
+#: Stands for a null id wherever ids are compared: smaller than any other.
+NO_ID = -(1 << 63)
+
+
+def order_id(name: str = "doc_id") -> Column:
+    return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
