@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rasterloom.llm import exact_dedup, line_dedup, mixing, quality, sentencepiece_codec, sharding, substring_dedup, warc
+from rasterloom.llm import exact_dedup, line_dedup, mixing, ngram_join, quality, sentencepiece_codec, sharding, substring_dedup, warc
 from rasterloom.llm.shared import documents, query
 
 #: Bytes of text in one shard.
@@ -59,6 +59,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
 
+@query("op6_ngram_jaccard")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_classes(documents(spark, sf_dir))
+
+
 @query("op7_sentencepiece")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = sentencepiece_codec.encode_decode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -82,3 +83,21 @@ NO_ID = -(1 << 63)
 
 def order_id(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
+
+
+def given_id(name: str = "d") -> Column:
+    return F.when(F.col(name) != NO_ID, F.col(name))
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``written`` has written, once nothing will read it again."""
+    spark = df.sparkSession
+    for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let the driver drop finished jobs, so that Spark's cleaner deletes their shuffle files now."""
+    gc.collect()
+    spark._jvm.System.gc()
