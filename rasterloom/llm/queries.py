@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rasterloom.llm import exact_dedup, line_dedup, mixing, ngram_join, quality, sentencepiece_codec, sharding, substring_dedup, warc
+from rasterloom.llm import exact_dedup, line_dedup, mixing, ngram_join, pii, quality, sentencepiece_codec, sharding, substring_dedup, warc
 from rasterloom.llm.shared import documents, query
 
 #: Bytes of text in one shard.
@@ -23,6 +23,21 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+@query("op2_pii")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(documents(spark, sf_dir))
+
+    def number(i: int):
+        return F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
+
+    return found.select(
+        "doc_id",
+        *[number(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)],
+        F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"),
+        pii.spans_text(F.col("spans")).alias("spans"),
+    )
+
+
 SHARD_SQL = f"""
 WITH RECURSIVE doc AS MATERIALIZED (
   SELECT doc_id, strlen(coalesce(text, '')) AS bytes,
