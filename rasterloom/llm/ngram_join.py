@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from rasterloom.llm.graph import roots
 from rasterloom.llm.hashing import signed, windows, word_hashes
-from rasterloom.llm.shared import NO_ID, order_id, written
+from rasterloom.llm.shared import NO_ID, order_id, row_struct, written
 
 #: Frequencies are kept for so many classes of hashes: 2 MB, whatever the corpus.
 FREQ_BITS, FREQ_SLICE = 18, 1024
@@ -374,3 +374,16 @@ def similar_classes(docs: DataFrame, n: int = 4, percent: int = 85, hot_members:
     return whole.select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(root != F.lit(NO_ID), root).alias("component_id")
     )
+
+
+def one_per_class(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+    """The document of the smallest id of every class, with the columns of ``docs``.
+
+    Of rows with equal ids, which are one node, one stays.
+    """
+    classes = similar_classes(docs, n, percent)
+    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(order_id().alias("k")).distinct()
+    rows = docs.select(order_id().alias("d"), F.xxhash64("text").alias("h"), row_struct(docs))
+    # merged, not broadcast: the list grows with the corpus
+    stay = rows.hint("merge").join(kept, F.col("d") == F.col("k"), "left_semi")
+    return stay.groupBy("d").agg(F.min_by("row", "h").alias("row")).select("row.*")

@@ -54,12 +54,13 @@ class ChunkTable:
         return out
 
 
-def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """Encode every text and decode the ids again, without begin and end ids.
 
-    Returns ``doc_id, ids array<int>, decoded`` per row. Null and empty texts have no
-    ids and decode to ''. Repeated rows and ids are kept, null ids too. ``model`` is a
-    path that every executor can read. Other columns are ignored.
+    Returns ``doc_id, ids array<int>, decoded`` per row, and ``text`` if asked for. Null
+    and empty texts have no ids and decode to ''. Repeated rows and ids are kept, null
+    ids too; an empty table gives no rows. ``model`` is a path that every executor can
+    read. Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,10 +73,11 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                 ids = [table.encode(t.as_py()) for t in part.column(1)]
                 decoded = pa.array([sp.decode(i) for i in ids], pa.string())
                 columns = [part.column(0), pa.array(ids, pa.list_(pa.int32())), decoded]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"])
+                names = ["doc_id", "ids", "decoded"]
+                yield pa.RecordBatch.from_arrays(*((columns + [part.column(1)], names + ["text"]) if keep_text else (columns, names)))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded string" + (", text string" if keep_text else ""))
 
 
 def slices(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
