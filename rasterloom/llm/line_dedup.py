@@ -47,16 +47,17 @@ def _digest(body: bytes) -> tuple[int, int]:
     return int.from_bytes(both[:8], "big", signed=True), int.from_bytes(both[8:], "big", signed=True)
 
 
-def _chunk_rows(rows: DataFrame, wanted: bool) -> DataFrame:
+def _chunk_rows(rows: DataFrame, place: int, wanted: bool) -> DataFrame:
     """``d, a, b`` (and ``body`` if wanted) of every multi-line chunk with a word, once per document.
 
-    With ``wanted``, rows carry ``hs`` and only chunks listed there come out.
+    ``rows`` has ``d, row``, the text being field ``place`` of ``row``. With ``wanted``
+    it has ``hs`` too and only chunks listed there come out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, one, two, bodies = [], [], [], []
-            for k, (d, text) in enumerate(zip(batch.column(0), batch.column(1))):
+            for k, (d, text) in enumerate(zip(batch.column(0), batch.column(1).field(place))):
                 only = set(batch.column(2)[k].as_py()) if wanted else None
                 seen = set()
                 for n, has_word, body in chunks(text.as_py()):
@@ -77,14 +78,16 @@ def _chunk_rows(rows: DataFrame, wanted: bool) -> DataFrame:
     return rows.mapInArrow(run, "d long, a long, b long" + (", body binary" if wanted else ""))
 
 
-def repeated_chunks(texts: DataFrame) -> DataFrame:
+def repeated_chunks(docs: DataFrame, texts: DataFrame, place: int) -> DataFrame:
     """``d, gone``: per document its chunks that, byte by byte, a document of smaller id has too."""
-    rows = written(_chunk_rows(texts.select("d", "text"), False), "line-chunks")
+    alone = docs.select(order_id().alias("d"), F.struct("text").alias("row"))
+    rows = written(_chunk_rows(alone, 0, False), "line-chunks")
     ends = rows.groupBy("a", "b").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
     shared = written(ends.where("lo < hi").select("a", "b"), "line-shared")
     lists = rows.join(shared, ["a", "b"]).groupBy("d").agg(F.collect_list("a").alias("hs"))
     lists = written(lists, "line-lists")
-    bodies = _chunk_rows(texts.join(lists, "d").select("d", "text", "hs"), True)
+    # merged, not broadcast: lists grow with the corpus
+    bodies = _chunk_rows(texts.hint("merge").join(lists, "d").select("d", "row", "hs"), place, True)
     first = bodies.groupBy("a", "b", "body").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi")
     first = first.select(F.col("a").alias("a1"), F.col("body").alias("body1"), "lo")
     # joined on half the hash, so that both sides are exchanged and a hot chunk can be split
@@ -104,9 +107,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     are one empty line and stay empty; a null id is smaller than any other. An empty
     table gives no rows.
     """
-    texts = docs.select(order_id().alias("d"), "text")
-    gone = repeated_chunks(texts)
     place = docs.columns.index("text")
+    rows = docs.select(order_id().alias("d"), row_struct(docs))  # both joins read one exchange of it
+    gone = repeated_chunks(docs, rows, place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,8 +131,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             columns = [batch.column(0), pa.array(lines, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["row", "n_lines", "n_removed", "kept"])
 
-    rows = docs.select(order_id().alias("d"), row_struct(docs))
-    full = rows.join(gone, "d", "left").select("row", "gone")
+    full = rows.hint("merge").join(gone, "d", "left").select("row", "gone")
     kind = rows.schema["row"].dataType.simpleString()
     return full.mapInArrow(run, f"row {kind}, n_lines long, n_removed long, kept string")
 
