@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from rasterloom.llm.graph import roots
 from rasterloom.llm.hashing import signed, windows, word_hashes
-from rasterloom.llm.shared import NO_ID, order_id, row_struct, written
+from rasterloom.llm.shared import NO_ID, order_id, release_shuffles, row_struct, written
 
 #: Frequencies are kept for so many classes of hashes: 2 MB, whatever the corpus.
-FREQ_BITS, FREQ_SLICE = 18, 1024
-#: Parity bits of a signature, as longs.
-SIGN_WORDS = 8
+FREQ_BITS, FREQ_ROW = 18, 1024
+#: A signature has as many parity bits as its set has n-grams, rounded up to a power of two, and this many at least.
+LEAST_BITS = 512
 #: Members of a block by signature, n-grams of a block of sets, members of a very large cell.
 BLOCK_MEMBERS, BLOCK_TOKENS, HOT_MEMBERS = 256, 1 << 20, 20_000
 
@@ -48,15 +48,15 @@ def _class(tokens: np.ndarray) -> np.ndarray:
 
 def frequencies(texts: DataFrame, n: int) -> np.ndarray:
     """How often each class of n-gram hashes occurs over all documents: a table of fixed size."""
-    size, slices = 1 << FREQ_BITS, (1 << FREQ_BITS) // FREQ_SLICE
+    size, rows = 1 << FREQ_BITS, (1 << FREQ_BITS) // FREQ_ROW
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.uint32)
         for batch in batches:
             for text in batch.column(0):
                 np.add.at(total, _class(ngrams(text.as_py(), n)), 1)
-        parts = [zlib.compress(p.tobytes(), 1) for p in total.reshape(slices, FREQ_SLICE)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array(parts, pa.binary())], ["k", "c"])
+        parts = [zlib.compress(p.tobytes(), 1) for p in total.reshape(rows, FREQ_ROW)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(rows), pa.int32()), pa.array(parts, pa.binary())], ["k", "c"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -70,7 +70,7 @@ def frequencies(texts: DataFrame, n: int) -> np.ndarray:
     merged = texts.select("text").mapInArrow(count, "k int, c binary").repartition(16, "k").mapInArrow(add, "k int, c binary")
     out = np.zeros(size, np.int64)
     for row in merged.collect():  # 256 rows of 8 kB
-        out[row.k * FREQ_SLICE : (row.k + 1) * FREQ_SLICE] += np.frombuffer(row.c, np.int64)
+        out[row.k * FREQ_ROW : (row.k + 1) * FREQ_ROW] += np.frombuffer(row.c, np.int64)
     return out
 
 
@@ -82,6 +82,18 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def signature(tokens: np.ndarray) -> np.ndarray:
+    """Parity of the number of n-grams in each of some classes, as bits of longs."""
+    size = max(LEAST_BITS, 1 << (len(tokens) - 1).bit_length()) if len(tokens) else LEAST_BITS
+    odd = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def folded(sig: np.ndarray, words: int) -> np.ndarray:
+    """The signature of the same set in fewer bits."""
+    return np.bitwise_xor.reduce(sig.reshape(-1, words), axis=0)
+
+
 def sketches(texts: DataFrame, n: int, percent: int, often) -> DataFrame:
     """``doc_id, d, n, k1, k2, sig, prefix`` of every document; ``k1, k2`` name its set."""
 
@@ -92,11 +104,10 @@ def sketches(texts: DataFrame, n: int, percent: int, often) -> DataFrame:
             for text in batch.column(2):
                 tokens = ngrams(text.as_py(), n)
                 both = np.frombuffer(xxhash.xxh3_128_digest(tokens.tobytes()), np.int64)
-                bits = np.bincount((tokens & np.uint64(64 * SIGN_WORDS - 1)).astype(np.int64), minlength=64 * SIGN_WORDS) & 1
                 sizes.append(len(tokens))
                 one.append(both[0])
                 two.append(both[1])
-                sigs.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
+                sigs.append(signature(tokens))
                 prefixes.append(signed(rare_first(tokens, counts)[: prefix_length(len(tokens), percent) if len(tokens) else 0]))
             if sizes:
                 yield pa.RecordBatch.from_arrays(
@@ -122,7 +133,7 @@ def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
                 yield pa.Table.from_batches(held)
                 held = []
             if a < b:
-                held.append(batch.slice(a, b - a))
+                held.append(batch[a:b])
     if held:
         yield pa.Table.from_batches(held)
 
@@ -145,18 +156,27 @@ def spread(members: DataFrame, weight: str, limit: int) -> DataFrame:
     return cut.withColumn("cell", F.coalesce(name, F.col("cell"))).drop("_b", "_i", "_j")
 
 
-def _reachable(n: np.ndarray, sig: np.ndarray, probe: np.ndarray, percent: int) -> np.ndarray:
+def _reachable(n: np.ndarray, sigs: list[np.ndarray], probe: np.ndarray, percent: int) -> np.ndarray:
     """Members that sizes and signatures allow a link to, among pairs with a probing member."""
     alive = np.zeros(len(n), bool)
-    for k in np.nonzero(probe)[0]:
-        apart = np.bitwise_count(sig ^ sig[k]).sum(1).astype(np.int64)
-        # an element of one set only flips one bit, so the overlap is at most this
-        most = np.minimum((n + n[k] - apart) // 2, np.minimum(n, n[k]))
-        near = (100 + percent) * most >= percent * (n + n[k])
-        near[k] = False
-        if near.any():
-            alive |= near
-            alive[k] = True
+    words = np.array([len(s) for s in sigs])
+    # per length, the members that have as many bits or more, folded to that length
+    folds = {}
+    for w in np.unique(words):
+        who = np.nonzero(words >= w)[0]
+        folds[w] = (who, np.stack([folded(sigs[k], w) for k in who]))
+    for w, (who, sig) in folds.items():
+        for k in np.nonzero(probe[who])[0]:
+            me = who[k]
+            # members with more bits are met here if the probing one has just these
+            near = who if words[me] == w else who[words[who] == w]
+            apart = np.bitwise_count((sig if words[me] == w else sig[words[who] == w]) ^ sig[k]).sum(1).astype(np.int64)
+            # an element of one set only flips one bit, so the overlap is at most this
+            most = np.minimum((n[near] + n[me] - apart) // 2, np.minimum(n[near], n[me]))
+            ok = (100 + percent) * most >= percent * (n[near] + n[me])
+            ok[near == me] = False
+            if ok.any():
+                alive[near[ok]] = alive[me] = True
     return alive
 
 
@@ -266,8 +286,8 @@ def links_in_cells(texts: DataFrame, members: DataFrame, sketch: DataFrame, n: i
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in by_cell(batches):
             size = cell["n"].to_numpy()
-            sig = np.stack([x.values.to_numpy() for x in cell["sig"]]).view(np.uint64)
-            alive = _reachable(size, sig, cell["probe"].to_numpy(), percent)
+            sigs = [x.values.to_numpy().view(np.uint64) for x in cell["sig"]]
+            alive = _reachable(size, sigs, cell["probe"].to_numpy(), percent)
             if alive.any():
                 kept = cell.select(["cell", "d", "probe", "n"]).filter(pa.array(alive)).combine_chunks()
                 yield from kept.to_batches()
@@ -336,10 +356,11 @@ def similar_classes(docs: DataFrame, n: int = 4, percent: int = 85, hot_members:
 
     # every n-gram in a prefix names its leader
     prefix = nodes.select("d", F.explode("prefix").alias("t"))
-    leaders = prefix.groupBy("t").agg(F.min("d").alias("leader"), F.max("d").alias("hi")).where("leader < hi")
+    leaders = prefix.groupBy("t").agg(F.min("d").alias("leader"), F.count(F.lit(1)).alias("c")).where("c > 1")
     leaders = leaders.select(F.col("t").alias("t1"), "leader")
     follows = prefix.join(leaders, F.col("t") == F.col("t1")).select("leader", "d").distinct()
     follows = written(follows, "ngram-follows")
+    release_shuffles(spark)
     stars = written(follows.groupBy("leader").agg(F.count(F.lit(1)).alias("c")), "ngram-stars")
     cell = F.col("leader").cast("string")
     few = follows.join(stars.where(F.col("c") <= hot_members), "leader", "left_semi")
