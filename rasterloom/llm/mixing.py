@@ -211,6 +211,6 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     ).withColumn("take", F.explode("takes"))
     first, end, text = F.col("take.first"), F.col("take.end"), F.col("row.text")
     words = F.split(F.btrim(text, F.lit(SPACE_CHARS)), f"[{SPACE}]+")
-    part = F.array_join(F.slice(words, (first + 1).cast("int"), (end - first).cast("int")), " ")
+    part = F.array_join(F.filter(words, lambda w, i: (i >= first) & (i < end)), " ")
     out = joined.withColumn("cut", F.when((first == 0) & (end == F.col("size")), text).otherwise(part))
     return with_text(out, docs, "cut")

@@ -69,7 +69,7 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
         table = ChunkTable(sp)
         for batch in batches:
-            for part in slices(batch):
+            for part in portions(batch):
                 ids = [table.encode(t.as_py()) for t in part.column(1)]
                 decoded = pa.array([sp.decode(i) for i in ids], pa.string())
                 columns = [part.column(0), pa.array(ids, pa.list_(pa.int32())), decoded]
@@ -80,8 +80,8 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded string" + (", text string" if keep_text else ""))
 
 
-def slices(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def portions(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about ``limit`` bytes; a part has a row at least."""
     rows = max(1, int(batch.num_rows * limit / max(batch.nbytes, 1)))
     for start in range(0, batch.num_rows, rows):
-        yield batch.slice(start, rows)
+        yield batch[start : start + rows]
