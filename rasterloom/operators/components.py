@@ -48,10 +48,6 @@ def _stars(edges: DataFrame, keys: list[str]) -> DataFrame:
         return edges
     edges = checkpoint(edges)
 
-    def mark(e: DataFrame):
-        return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*keys, "u", "v") % 1000003)).first()
-
-    seen = mark(edges)
     while True:
         both = edges.unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(*key).agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -60,11 +56,12 @@ def _stars(edges: DataFrame, keys: list[str]) -> DataFrame:
         low = large.groupBy(*key).agg(F.min("v").alias("m"))
         small = large.join(low, key).select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select(*keys, "u", F.col("m").alias("v")))
-        edges = checkpoint(small.where("u <> v").distinct())
-        now = mark(edges)
-        if now == seen:
-            return edges
-        seen = now
+        now = checkpoint(small.where("u <> v").distinct())
+        same = [*keys, "u", "v"]
+        # done when not one row has changed
+        if now.join(edges, same, "left_anti").isEmpty() and edges.join(now, same, "left_anti").isEmpty():
+            return now
+        edges = now
 
 
 def label(cells: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from rasterloom.operators.axis import COL, KEYS
 
@@ -164,39 +165,61 @@ def distance(df: DataFrame, mask: str, out: str, keys=KEYS) -> DataFrame:
 def chunked(vol: DataFrame, cz: int, cy: int, cx: int) -> DataFrame:
     """Pack voxels into byte chunks, zero-filled, C order.
 
-    Only non-zero voxels travel; each one writes its byte and the run of zeros
-    up to the next, so a chunk costs what it holds and an empty chunk is never
-    stored.
+    Only non-zero voxels travel, each to the task that fills its chunk; an empty
+    chunk is never stored. Values outside 0..255 are an error.
     """
+    size = cz * cy * cx
     pos = (F.col("z") % cz * cy + F.col("y") % cy) * cx + F.col("x") % cx
     at = lambda c, n: F.floor(F.col(c) / n).cast("int")
-    packed = vol.where("v > 0").groupBy("seg", at("z", cz).alias("cz"), at("y", cy).alias("cy"), at("x", cx).alias("cx")).agg(
-        F.array_sort(F.collect_list(F.struct(pos.alias("p"), F.col("v").cast("long").alias("v")))).alias("e")
+
+    def fill(key, cells):
+        v = cells["v"].to_numpy()
+        if v.min() < 0 or v.max() > 255:
+            raise ValueError(f"not a byte: {v.min() if v.min() < 0 else v.max()}")
+        block = np.zeros(size, np.uint8)
+        block[cells["p"].to_numpy()] = v
+        return pa.table({**{n: [k.as_py()] for n, k in zip(CHUNK_KEY, key)}, "data": [block.tobytes()]}, _CHUNKS)
+
+    cells = vol.where("v <> 0").select(
+        "seg", at("z", cz).alias("cz"), at("y", cy).alias("cy"), at("x", cx).alias("cx"), pos.cast("int").alias("p"), F.col("v").cast("long").alias("v")
     )
-    size = cz * cy * cx
-    nxt = lambda i: F.coalesce(F.get(F.col("e.p"), i + 1), F.lit(size))
-    piece = lambda e, i: F.concat(F.lpad(F.hex(e["v"]), 2, "0"), F.repeat(F.lit("00"), nxt(i) - e["p"] - 1))
-    lead = F.repeat(F.lit("00"), F.get(F.col("e.p"), F.lit(0)))
-    raw = F.concat(lead, F.array_join(F.transform("e", piece), ""))
-    return packed.select("seg", "cz", "cy", "cx", F.unhex(raw).alias("data"))
+    return cells.groupBy(*CHUNK_KEY).applyInArrow(fill, "seg string, cz int, cy int, cx int, data binary")
+
+
+CHUNK_KEY = ["seg", "cz", "cy", "cx"]
+_CHUNKS = pa.schema([("seg", pa.string()), ("cz", pa.int32()), ("cy", pa.int32()), ("cx", pa.int32()), ("data", pa.binary())])
+
 
+def byte_sum(data: Column) -> Column:
+    """Sum of the bytes of each payload."""
 
-def byte_at(data: Column, pos: Column) -> Column:
-    return F.conv(F.hex(F.substring(data, pos + 1, F.lit(1))), 16, 10).cast("int")
+    def total(col: pd.Series) -> pd.Series:
+        return col.map(lambda b: int(np.frombuffer(b, np.uint8).sum(dtype=np.int64)))
+
+    return F.pandas_udf(total, "bigint")(data)
 
 
 def gather(points: DataFrame, chunks: DataFrame, cz: int, cy: int, cx: int) -> DataFrame:
-    """Nearest voxel of every point ``(seg, pz, py, px)``; 0 where nothing is stored."""
+    """Nearest voxel of every point ``(seg, pz, py, px)``; 0 where nothing is stored.
+
+    The points of a chunk meet its one payload in a task; no payload is copied per point.
+    """
     z, y, x = (F.rint(c).cast("int") for c in ("pz", "py", "px"))
     p = points.withColumns({"_z": z, "_y": y, "_x": x}).withColumns(
         {
             "cz": F.floor(F.col("_z") / cz).cast("int"),
             "cy": F.floor(F.col("_y") / cy).cast("int"),
             "cx": F.floor(F.col("_x") / cx).cast("int"),
-            "_p": (F.pmod("_z", F.lit(cz)) * cy + F.pmod("_y", F.lit(cy))) * cx + F.pmod("_x", F.lit(cx)),
+            "_p": ((F.pmod("_z", F.lit(cz)) * cy + F.pmod("_y", F.lit(cy))) * cx + F.pmod("_x", F.lit(cx))).cast("int"),
         }
-    )
-    got = p.join(chunks, ["seg", "cz", "cy", "cx"], "left")
-    return got.withColumn("v", F.coalesce(byte_at(F.col("data"), F.col("_p")), F.lit(0))).drop(
-        "data", "_z", "_y", "_x", "_p", "cz", "cy", "cx"
-    )
+    ).drop("_z", "_y", "_x")
+    names = points.columns
+
+    def read(left, right):
+        own = left.select(names)
+        at = left["_p"].to_numpy()
+        v = np.frombuffer(right["data"][0].as_py(), np.uint8)[at] if right.num_rows else np.zeros(len(at), np.uint8)
+        return own.append_column("v", pa.array(v.astype(np.int32)))
+
+    schema = T.StructType([*points.schema.fields, T.StructField("v", T.IntegerType())])
+    return p.groupBy(*CHUNK_KEY).cogroup(chunks.select(*CHUNK_KEY, "data").groupBy(*CHUNK_KEY)).applyInArrow(read, schema)

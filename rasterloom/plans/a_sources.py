@@ -40,15 +40,15 @@ def a01(spark, sf):
 
 
 @query(
-    "a02_read_slice",
+    "a02_read_window",
     with_volume(" SELECT seg AS vol, y, x, v FROM volume WHERE z = 12 AND y BETWEEN 2 AND 13 AND x BETWEEN 5 AND 7 AND v > 0"),
 )
 def a02(spark, sf):
-    """One slice cropped to a window: only the chunks it touches are opened."""
-    zi = S.clamp(S.round_half_up(F.lit(11.6)), 0, SHAPE[0] - 1)
-    box = chunkstore.read_chunks(spark, stored(spark, sf)).where("level = 0 AND cz = 1 AND cx = 0 AND cy >= 0 AND cy <= 1")
+    """One plane cropped to a window: only the chunks it touches are opened."""
+    z = min(max(int(11.6 + 0.5), 0), SHAPE[0] - 1)
+    box = chunkstore.window(chunkstore.read_chunks(spark, stored(spark, sf)), CHUNK, 0, z, 2, 14, 5, 8)
     cells = chunkstore.voxels(box, SHAPE, CHUNK)
-    hit = (F.col("z") == zi) & F.col("y").between(2, 13) & F.col("x").between(5, 7) & (F.col("v") > 0)
+    hit = (F.col("z") == z) & F.col("y").between(2, 13) & F.col("x").between(5, 7) & (F.col("v") > 0)
     return cells.where(hit).select("vol", "y", "x", "v")
 
 
@@ -193,12 +193,12 @@ def a12(spark, sf):
     "a13_true_scale",
     """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN p_size % 4 > 0 THEN p_size / 4.0::DOUBLE END AS true_um,
   coalesce(CASE WHEN p_size % 4 > 0 THEN p_size / 4.0::DOUBLE END, l_quantity) AS um, p_size % 4 = 0 AS fell_back
-FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 7""",
+FROM lineitem JOIN part ON p_partkey = l_partkey""",
 )
 def a13(spark, sf):
     """Measured scale where metadata has one; a missing one is reported, never stored."""
     meta = grids.table(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") % 4 > 0, F.col("p_size") / 4.0).alias("true_um"))
-    li = grids.table(spark, sf, "lineitem").where("l_linenumber = 7").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    li = grids.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     return li.join(meta, li.l_partkey == meta.p_partkey).select(
         "l_orderkey", "l_linenumber", "l_partkey", "true_um", F.coalesce("true_um", "l_quantity").alias("um"), F.col("true_um").isNull().alias("fell_back")
     )
@@ -326,12 +326,12 @@ def a21(spark, sf):
 @query(
     "a22_paired_maps",
     """SELECT l_partkey AS seg, min(l_orderkey) FILTER (l_linestatus = 'F') AS fine, min(l_orderkey) FILTER (l_linestatus = 'O') AS coarse
-FROM lineitem WHERE l_returnflag = 'R' AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 5)
+FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 5)
 GROUP BY l_partkey HAVING count(DISTINCT l_linestatus) = 2""",
 )
 def a22(spark, sf):
     held = grids.table(spark, sf, "part").where("p_size < 5").select(F.col("p_partkey").alias("l_partkey"))
-    li = grids.table(spark, sf, "lineitem").where("l_returnflag = 'R'").join(held, "l_partkey", "left_anti")
+    li = grids.table(spark, sf, "lineitem").join(held, "l_partkey", "left_anti")
     at = lambda s: F.min(F.when(F.col("l_linestatus") == s, F.col("l_orderkey")))
     pairs = li.groupBy(F.col("l_partkey").alias("seg")).agg(at("F").alias("fine"), at("O").alias("coarse"))
     return pairs.where("fine IS NOT NULL AND coarse IS NOT NULL")

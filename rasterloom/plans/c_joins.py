@@ -116,7 +116,7 @@ SELECT g.seg, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, a FROM g JOIN pl
 def c04(spark, sf):
     df = grids.plane(spark, sf)
     axis = lambda: F.explode(F.sequence(F.lit(0), F.lit(29)))
-    at = lambda c: F.least(F.lit(63), F.floor(F.col(c) * 20 / 8)).cast("int")
+    at = lambda c: F.least(F.lit((grids.PLANE_H if c == "r" else grids.PLANE_W) - 1), F.floor(F.col(c) * 20 / 8)).cast("int")
     grid = grids.segments(spark, sf).select("seg", axis().alias("r")).select("seg", "r", axis().alias("c"))
     grid = grid.withColumns({"y": at("r"), "x": at("c")})
     return grid.join(df.select("seg", "y", "x", "a"), ["seg", "y", "x"]).select("seg", "r", "c", "a")
@@ -240,7 +240,7 @@ SELECT seg, y, x FROM p WHERE EXISTS (SELECT 1 FROM f WHERE f.seg = p.seg AND po
 )
 def c10(spark, sf):
     df = grids.plane(spark, sf)
-    planted = df.where("b > 225").select("seg", "y", "x", (F.col("y") * 64 + F.col("x")).alias("id"))
+    planted = df.where("b > 225").select("seg", "y", "x", (F.col("y").cast("long") * F.col("w") + F.col("x")).alias("id"))
     found = df.where("a > 230").select("seg", "y", "x")
     return spatial.has_within(planted, found, ["seg"], ["y", "x"], 4.5, strict=False).select("seg", "y", "x")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from rasterloom.functions import scalars
 from rasterloom.operators import masks, quantiles, series, stats
 from rasterloom.plans.common import CALLED, r6, rounded
 from rasterloom.plans.j_agreement import called_plane
@@ -376,7 +377,7 @@ SELECT seg, round(um, 6) AS pitch_um, round(s, 6) AS strength,
 FROM b"""),
 )
 def d30(spark, sf):
-    pitch, um = 6180.0, 500.0
+    pitch, um = scalars.HAND["line_pitch"], 500.0
     df = grids.plane(spark, sf)
     mid = df.groupBy("seg").agg(((F.min("a") + F.max("a")) / 2.0).alias("mid"))
     proj = series.projection(

@@ -168,7 +168,7 @@ def d39(spark, sf):
 k AS (SELECT scroll, count(*) AS n, count(*) FILTER (d > 0) AS k, avg(d) AS mean_delta FROM d GROUP BY scroll)
 SELECT scroll, n, k, round(mean_delta, 6) AS mean_delta,
   round((SELECT sum(exp(lgamma(n + 1) - lgamma(i.range + 1) - lgamma(n - i.range + 1) - n * ln(2)))
-    FROM range(200) i WHERE i.range BETWEEN k AND n), 6) AS p FROM k"""),
+    FROM (SELECT unnest(range(k, n + 1)) AS range) i), 6) AS p FROM k"""),
 )
 def d40(spark, sf):
     left = F.col("x") < 32

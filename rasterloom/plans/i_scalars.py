@@ -38,25 +38,27 @@ def i02(spark, sf):
     return grids.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), um.alias("um"), label.alias("label"))
 
 
+LETTER, PITCH, ADVANCE = (int(S.HAND[k]) for k in ("letter_height", "line_pitch", "letter_advance"))
+#: The fixed scribes, and names that have none.
+SCROLLS = [*S.SCRIBES, "unknown", "unknown"]
+_SCROLLS = str(SCROLLS)
 _SCR = ", ".join(f"('{k}', {h}, {p})" for k, (h, p) in S.SCRIBES.items())
 
 
 @query(
     "i03_hand_for_scroll",
-    f"""WITH k AS (SELECT c_custkey AS id, 'PHerc' || CASE c_custkey % 8 WHEN 0 THEN 'Paris4' WHEN 1 THEN '0139' WHEN 2 THEN '0500P2' WHEN 3 THEN '0343P'
-  WHEN 4 THEN '1667' WHEN 5 THEN '0814' ELSE '9999' END AS scroll FROM customer)
-SELECT id, coalesce(h, 3000) AS letter_um, coalesce(p, 6180) AS pitch_um, CAST(floor(1860 * coalesce(h, 3000) / 3000 + 0.5) AS BIGINT) AS advance_um,
+    f"""WITH k AS (SELECT c_custkey AS id, ({_SCROLLS})[c_custkey % 8 + 1] AS scroll FROM customer)
+SELECT id, coalesce(h, {LETTER}) AS letter_um, coalesce(p, {PITCH}) AS pitch_um, CAST(floor({ADVANCE} * coalesce(h, {LETTER}) / {LETTER} + 0.5) AS BIGINT) AS advance_um,
   h IS NOT NULL AS measured FROM k LEFT JOIN (VALUES {_SCR}) t(scroll, h, p) USING (scroll)""",
 )
 def i03(spark, sf):
-    names = [*S.SCRIBES, "PHerc9999", "PHerc9999"]
-    scroll = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("c_custkey") % 8 + 1).cast("int"))
+    scroll = F.element_at(F.array(*[F.lit(n) for n in SCROLLS]), (F.col("c_custkey") % 8 + 1).cast("int"))
     # fixed lookup of a handful of scribes
     hand = lambda i: F.create_map(*[F.lit(v) for k, t in S.SCRIBES.items() for v in (k, t[i])])[scroll]
-    h = F.coalesce(hand(0), F.lit(3000))
+    h = F.coalesce(hand(0), F.lit(LETTER))
     return grids.table(spark, sf, "customer").select(
-        F.col("c_custkey").alias("id"), h.alias("letter_um"), F.coalesce(hand(1), F.lit(6180)).alias("pitch_um"),
-        S.round_half_up(h * 1860 / 3000).alias("advance_um"), hand(0).isNotNull().alias("measured"),
+        F.col("c_custkey").alias("id"), h.alias("letter_um"), F.coalesce(hand(1), F.lit(PITCH)).alias("pitch_um"),
+        S.round_half_up(h * ADVANCE / LETTER).alias("advance_um"), hand(0).isNotNull().alias("measured"),
     )
 
 
@@ -114,13 +116,13 @@ def i07(spark, sf):
     "i08_arrays",
     """WITH v AS (SELECT vec_id, [round(e::DOUBLE, 5) FOR e IN embedding] AS e FROM embeddings)
 SELECT vec_id, CAST(list_position(e, list_max(e)) - 1 AS INTEGER) AS argmax, round(list_sum(e[1:16]), 7) AS head, CAST(len(list_distinct(e)) AS INTEGER) AS uniq,
-  round(e[10] + (e[11] - e[10]) * 0.5, 7) AS mid, round(list_max(list_transform(range(1, 64), lambda i: abs(e[i + 1] - e[i]))), 7) AS step FROM v""",
+  round(e[10] + (e[11] - e[10]) * 0.5, 7) AS mid, round(list_max(list_transform(range(1, len(e)), lambda i: abs(e[i + 1] - e[i]))), 7) AS step FROM v""",
 )
 def i08(spark, sf):
     e = F.transform("embedding", lambda v: F.round(v.cast("double"), 5))
     v = grids.table(spark, sf, "embeddings").select("vec_id", e.alias("e"))
-    total = F.aggregate(F.slice("e", 1, 16), F.lit(0.0), lambda s, x: s + x)
-    diff = F.transform(F.sequence(F.lit(0), F.lit(62)), lambda i: F.abs(F.get("e", i + 1) - F.get("e", i)))
+    total = F.aggregate(F.filter("e", lambda x, i: i < 16), F.lit(0.0), lambda s, x: s + x)
+    diff = F.transform(F.sequence(F.lit(0), F.size("e") - 2), lambda i: F.abs(F.get("e", i + 1) - F.get("e", i)))
     return v.select(
         "vec_id", (F.array_position("e", F.array_max("e")) - 1).cast("int").alias("argmax"), F.round(total, 7).alias("head"),
         F.size(F.array_distinct("e")).alias("uniq"), F.round(F.get("e", F.lit(9)) + (F.get("e", F.lit(10)) - F.get("e", F.lit(9))) * 0.5, 7).alias("mid"),

@@ -258,7 +258,8 @@ def j10(spark, sf):
 
 def number_rows(df, order: str):
     """0-based row numbers in ``order``: counts per range, then places inside each range."""
-    b = df.withColumn("_b", F.substring(order, 1, 4))
+    # a prefix long enough for about a thousand rows per range, however many there are
+    b = df.withColumn("_b", F.substring(order, 1, max(4, len(str(df.count() // 1000)) + 2)))
     sizes = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from rasterloom.operators import axis, depth, fields, masks, quantiles, ranking, spatial, stats
 from rasterloom.plans.common import CALLED, r6, rounded
@@ -98,8 +98,9 @@ def l05(spark, sf):
     long = band.join(cols, ["seg", "y", "x"]).select(F.substring("seg", 1, 1).alias("scroll"), "band", "pos", F.explode(models).alias("e"))
     u = quantiles.auc(long.select("scroll", "band", "pos", "e.*"), ["scroll", "model", "band"], "f", F.col("pos"))
     u = u.withColumn("auc", F.round("auc", 6))
-    # a scroll has one row per model and band, a handful
-    return ranking.top_per_group(u, ["scroll"], [F.desc("auc"), F.col("model"), F.col("band")], 1000).select("scroll", "model", "band", "auc", "place")
+    # a scroll has one row per model and band, a handful; all of them are placed
+    place = F.row_number().over(Window.partitionBy("scroll").orderBy(F.desc("auc"), "model", "band"))
+    return u.select("scroll", "model", "band", "auc", place.alias("place"))
 
 
 @query(
@@ -173,9 +174,8 @@ SELECT seg, count(*) FILTER (top > 0) AS stored, CAST(sum(s) AS BIGINT) AS mass
 )
 def l12(spark, sf):
     ch = spatial.chunked(grids.volume(spark, sf), *CHUNK).where("cz = 1")
-    byte = F.transform(F.sequence(F.lit(0), F.length("data") - 1), lambda i: spatial.byte_at(F.col("data"), i))
-    mass = F.aggregate(byte, F.lit(0).cast("long"), lambda s, v: s + v)
-    return ch.groupBy("seg").agg(F.count(F.lit(1)).alias("stored"), F.sum(mass).alias("mass"))
+    ch = ch.select("seg", spatial.byte_sum(F.col("data")).alias("mass"))
+    return ch.groupBy("seg").agg(F.count(F.lit(1)).alias("stored"), F.sum("mass").alias("mass"))
 
 
 @query(
@@ -238,8 +238,8 @@ def l15(spark, sf):
 @query("l16_longest_tracks")
 def l16(spark, sf):
     """The longest tracks by point count."""
-    n = tracks(spark, sf).groupBy("seg", "by", "bx", "track").agg(F.count(F.lit(1)).alias("points"))
-    return n.orderBy(F.desc("points"), "seg", "by", "bx", "track").limit(25)
+    n = tracks(spark, sf).groupBy("seg", "track_y", "track_x").agg(F.count(F.lit(1)).alias("points"))
+    return n.orderBy(F.desc("points"), "seg", "track_y", "track_x").limit(25)
 
 
 @query(

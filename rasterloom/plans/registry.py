@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 # Relations shared by the SQL twins, spelled with cross joins and left joins so
 # that they do not mirror how the Spark side builds the same grids.
 CELL = """cell AS MATERIALIZED (
-  SELECT l_returnflag || lpad(CAST(l_orderkey // 2048 AS VARCHAR), 5, '0') AS seg,
+  SELECT l_returnflag || CAST(l_orderkey // 2048 AS VARCHAR) AS seg,
          CAST(l_orderkey % 2048 AS INTEGER) AS key,
          l_partkey * 7 + l_suppkey + l_linenumber AS crs,
          CAST(l_linenumber - 1 AS INTEGER) AS layer,

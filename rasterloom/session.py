@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,7 +50,9 @@ def scratch(spark: SparkSession, name: str) -> str:
 
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
-        folder = folder.removeprefix("file:").rstrip("/")
+        folder = re.sub("^file:(//)?(?=/)", "", folder).rstrip("/")
+        if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", folder):
+            raise RuntimeError(f"a chunk store needs a mounted folder, not {folder}")
     elif spark.sparkContext.master.startswith("local"):
         folder = tempfile.gettempdir()
     else:

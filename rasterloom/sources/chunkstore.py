@@ -42,8 +42,20 @@ def read_sidecar(folder: str) -> dict | None:
         return None
 
 
+def codec(meta: dict) -> bool:
+    """Whether chunks are zlib-packed; formats that are not read here are an error."""
+    kind = (meta.get("compressor") or {}).get("id")
+    known = {"dtype": ("|u1", "u1", "uint8"), "order": ("C",)}
+    for key, values in known.items():
+        if meta.get(key, values[0]) not in values:
+            raise ValueError(f"unsupported {key}: {meta[key]}")
+    if kind not in (None, "zlib") or meta.get("filters"):
+        raise ValueError(f"unsupported codec: {kind or meta['filters']}")
+    return kind == "zlib"
+
+
 def level_names(volume: str) -> list[str]:
-    """Level folders from the multiscale attributes, or the numbered fallback."""
+    """Level folders from the multiscale attributes, or all numbered folders in order."""
     try:
         with open(os.path.join(volume, ".zattrs")) as f:
             sets = json.load(f)["multiscales"][0]["datasets"]
@@ -52,7 +64,7 @@ def level_names(volume: str) -> list[str]:
             return names
     except (OSError, ValueError, KeyError, IndexError, TypeError):
         pass
-    return [str(i) for i in range(6)]
+    return sorted((d for d in os.listdir(volume) if d.isdigit()), key=int)
 
 
 @dataclass
@@ -108,7 +120,7 @@ class ChunkReader(DataSourceReader):
     def read(self, part):
         meta = json.loads(part.meta)
         sep = meta.get("dimension_separator", ".")
-        packed = bool(meta.get("compressor"))
+        packed = codec(meta)
         for k in range(part.first, part.last):
             (z0, _), (y0, ny), (x0, nx) = meta["box"]
             cz, cy, cx = z0 + k // (ny * nx), y0 + k // nx % ny, x0 + k % nx
@@ -221,6 +233,13 @@ def read_levels(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("chunkstore").option("path", path).option("kind", "levels").load()
 
 
+def damaged(chunks: DataFrame, dims) -> DataFrame:
+    """Chunks whose payload does not have the size of a chunk."""
+    size = int(np.prod(dims))
+    wrong = F.coalesce(F.octet_length("data") != size, F.lit(True))
+    return chunks.where(wrong).select("vol", "level", "cz", "cy", "cx", F.octet_length("data").alias("bytes"))
+
+
 def write_chunks(chunks: DataFrame, path: str, shape, dims) -> None:
     register(chunks.sparkSession)
     (
@@ -233,13 +252,29 @@ def write_chunks(chunks: DataFrame, path: str, shape, dims) -> None:
     )
 
 
-def voxels(chunks: DataFrame, shape, dims) -> DataFrame:
-    """Cells of decoded chunks, trimmed to the array; wrong-sized payloads are dropped."""
+def window(chunks: DataFrame, dims, level: int, z: int, y0: int, y1: int, x0: int, x1: int) -> DataFrame:
+    """Chunks that one plane of a box touches (ends exclusive), as filters the reader prunes by."""
+    dz, dy, dx = dims
+    rows = F.col("cy").between(y0 // dy, (y1 - 1) // dy) & F.col("cx").between(x0 // dx, (x1 - 1) // dx)
+    return chunks.where((F.col("level") == level) & (F.col("cz") == z // dz) & rows)
+
+
+def voxels(chunks: DataFrame, shape, dims, skip_damaged: bool = False) -> DataFrame:
+    """Cells of decoded chunks, trimmed to the array.
+
+    A payload of the wrong size is an error unless ``skip_damaged``; ``damaged`` lists those.
+    """
     size = int(np.prod(dims))
+    if skip_damaged:
+        chunks = chunks.where(F.octet_length("data") == size)
 
     def decode(data: pd.Series) -> pd.Series:
-        ok = lambda b: np.frombuffer(b, np.uint8).astype(np.int16) if b is not None and len(b) == size else None
-        return data.map(ok)
+        def cells(b: bytes) -> np.ndarray:
+            if b is None or len(b) != size:
+                raise ValueError(f"chunk of {0 if b is None else len(b)} bytes, expected {size}")
+            return np.frombuffer(b, np.uint8).astype(np.int16)
+
+        return data.map(cells)
 
     dz, dy, dx = dims
     cells = chunks.select(

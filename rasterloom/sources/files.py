@@ -11,10 +11,16 @@ def _le(value: Column, size: int) -> Column:
     return F.concat(*[F.substring(h, 2 * (size - i) - 1, 2) for i in range(size)])
 
 
+def byte_hex(value: Column) -> Column:
+    """Two hex digits of a byte; a value outside 0..255 is an error, not cut."""
+    fault = F.raise_error(F.concat(F.lit("not a byte: "), value.cast("string"))).cast("string")
+    return F.when(value.between(0, 255), F.lpad(F.hex(value.cast("long")), 2, "0")).otherwise(fault)
+
+
 def gray_tiff(pixels: Column, width: Column, height: Column) -> Column:
     """Single-strip 8-bit grey TIFF of an array of byte values in row order."""
     n = F.size(pixels)
-    body = F.array_join(F.transform(pixels, lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")), "")
+    body = F.array_join(F.transform(pixels, byte_hex), "")
     # Tag numbers, field types and the header of the file format.
     short, long = 3, 4
     tags = [
@@ -38,7 +44,9 @@ def label_layers(df: DataFrame, keys: list[str], layer: str, value: str) -> Data
         (F.max("x") - F.min("x") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"),
     )
     g = g.where("painted > 0")
-    name = F.concat_ws("-", *keys, F.concat(F.lit("layer"), F.lpad(F.col(layer).cast("string"), 3, "0"), F.lit("-ink.tif")))
+    digits = F.col(layer).cast("string")
+    numbered = F.lpad(digits, F.greatest(F.length(digits), F.lit(3)), F.lit("0"))
+    name = F.concat_ws("-", *keys, F.concat(F.lit("layer"), numbered, F.lit("-ink.tif")))
     return g.select(*keys, layer, name.alias("file"), "painted", gray_tiff(F.col("px"), F.col("w"), F.col("h")).alias("tiff"))
 
 

@@ -5,7 +5,7 @@ from check import compare, duck
 from tests.conftest import SF
 
 SAMPLE = [
-    "a02_read_slice", "a14_map_catalog", "a24_merge_upsert", "a28_label_manifest", "b02_fit_budget", "b13_silence_reason",
+    "a02_read_window", "a14_map_catalog", "a24_merge_upsert", "a28_label_manifest", "b02_fit_budget", "b13_silence_reason",
     "c02_substring_join", "c06_nearest_neighbour", "d02_top_decile", "d09_auc_average_ties", "d22_height_map", "d45_depth_contrast",
     "e02_density_preserving_null", "e12_power_curve", "f09_distance_transform", "f12_structure_tensor", "f16_column_bank",
     "f26_mesh_normals", "g01_separated_peaks", "g07_consensus_labels", "h01_lru_cache", "h02_burst_wall_clock", "i01_format_bytes",

@@ -4,10 +4,10 @@ import struct
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from rasterloom.operators import catalog, spatial
-from rasterloom.sources import chunkstore, files
+from rasterloom.sources import chunkstore, files, grids
 from tests.helpers import plane_df, volume_df
 
 RNG = np.random.default_rng(3)
@@ -51,9 +51,43 @@ def test_filters_prune_chunks_before_files_open(spark, store):
     assert np.array_equal(got[4:8], VOL[4:8]) and not got[:4].any() and not got[8:].any()
 
 
-def test_a_truncated_payload_yields_nothing(spark):
+def test_a_truncated_payload_is_an_error_or_listed(spark):
     df = spark.createDataFrame([("v", 0, 0, 0, 0, bytearray(b"abc"))], chunkstore.SCHEMA)
-    assert chunkstore.voxels(df, VOL.shape, DIMS).isEmpty()
+    with pytest.raises(Exception, match="expected 64"):
+        chunkstore.voxels(df, VOL.shape, DIMS).collect()
+    assert chunkstore.voxels(df, VOL.shape, DIMS, skip_damaged=True).isEmpty()
+    assert [r.bytes for r in chunkstore.damaged(df, DIMS).collect()] == [3]
+
+
+@pytest.mark.parametrize("change", [{"compressor": {"id": "blosc"}}, {"dtype": "<f4"}, {"order": "F"}])
+def test_unread_formats_are_refused(change):
+    with pytest.raises(ValueError, match="unsupported"):
+        chunkstore.codec({"dtype": "|u1", "order": "C", "compressor": {"id": "zlib"}, **change})
+
+
+def test_all_numbered_levels_are_found(tmp_path):
+    for k in range(9):
+        (tmp_path / str(k)).mkdir()
+    assert chunkstore.level_names(str(tmp_path)) == [str(k) for k in range(9)]
+
+
+@pytest.mark.parametrize("keys", [(204_799_999, 204_800_000), (1 << 33, (1 << 33) + 2048)])
+def test_large_order_keys_make_segments_of_their_own(spark, tmp_path, keys):
+    row = dict(l_partkey=1, l_suppkey=1, l_linenumber=1, l_quantity=1.0, l_discount=0.0, l_returnflag="A")
+    near = [k // 2048 // 10 * 2048 for k in keys]
+    rows = [Row(l_orderkey=k, **row) for k in (*keys, *near)]
+    spark.createDataFrame(rows).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert grids.segments(spark, str(tmp_path)).count() == len({k // 2048 for k in (*keys, *near)})
+
+
+def test_layers_beyond_999_and_values_beyond_a_byte(spark):
+    df = spark.createDataFrame([(1000, 0, 0, 5), (1001, 0, 0, 5)], "z int, y int, x int, v int").withColumn("seg", F.lit("s"))
+    names = {r.file for r in files.label_layers(df, ["seg"], "z", "v").collect()}
+    assert names == {"s-layer1000-ink.tif", "s-layer1001-ink.tif"}
+    with pytest.raises(Exception, match="not a byte"):
+        files.label_layers(df.withColumn("v", F.lit(300)), ["seg"], "z", "v").collect()
+    with pytest.raises(Exception, match="not a byte"):
+        spatial.chunked(df.withColumn("v", F.lit(300)), 4, 4, 4).collect()
 
 
 def test_writer_refuses_wrong_sizes(spark, tmp_path):

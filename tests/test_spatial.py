@@ -123,12 +123,66 @@ def test_trilinear_is_exact_on_a_ramp(spark):
     assert got[0] == pytest.approx(1.25 * 3 + 2.5 * 5 + 3.75 * 7) and got[1] == pytest.approx(7)
 
 
-def test_walks_follow_a_ridge(spark):
-    n = 32
-    r = np.zeros((n, n))
-    r[:, 15:18] = [4.0, 10.0, 4.0]
-    one = np.ones((n, n))
-    df = plane_df(spark, {"r": r, "vy": one, "vx": one * 0, "c": one})
-    t = fields.walk_ridges(df, "r", "vy", "vx", "c", block=32, spacing=2)
-    best = t.groupBy("track").count().orderBy(F.desc("count")).first()
-    assert best["count"] >= 25 and t.where(F.abs(F.col("x") - 16) > 1).isEmpty()
+def follow(r, vy, vx, c, node):
+    """One step of a directed cell (y, x, way), written out plainly."""
+    y, x, s = node
+    h, w = r.shape
+    if not (1 <= y < h - 1 and 1 <= x < w - 1) or r[y, x] < 0.5 or c[y, x] < 0.25:
+        return None
+    ay, ax = round(1000 * vy[y, x]), round(1000 * vx[y, x])
+    best = None
+    for o in range(-4, 5):
+        ny, nx = (2000 * y + 2 * s * ay - ax * o + 1000) // 2000, (2000 * x + 2 * s * ax + ay * o + 1000) // 2000
+        if 1 <= ny < h - 1 and 1 <= nx < w - 1 and (best is None or r[ny, nx] > r[best]):
+            best = (ny, nx)
+    if best is None or best == (y, x):
+        return None
+    by, bx = round(1000 * vy[best]), round(1000 * vx[best])
+    return (*best, s if ay * by + ax * bx >= 0 else -s)
+
+
+def test_tracks_run_across_the_sheet(spark):
+    h, w = 40, 700
+    ys, xs = np.mgrid[0:h, 0:w]
+    crest = 20 + 8 * np.sin(xs / 25)
+    r = np.round(12 - 3 * np.abs(ys - crest), 6)
+    slope = 8 / 25 * np.cos(xs / 25)
+    vy, vx = slope / np.hypot(1, slope), 1 / np.hypot(1, slope)
+    flip = RNG.random((h, w)) < 0.5  # directions have no sign
+    vy, vx = np.where(flip, -vy, vy), np.where(flip, -vx, vx)
+    c = np.where(xs == 650, 0.1, 0.9)
+    df = plane_df(spark, {"r": r, "vy": vy, "vx": vx, "c": c})
+    rows = fields.ridge_tracks(df, "r", "vy", "vx", "c", spacing=12, least=40).collect()
+    tracks = {}
+    for t in rows:
+        tracks.setdefault((t.track_y, t.track_x), {})[t.step] = (t.y, t.x)
+    assert tracks and max(map(len, tracks.values())) > 600
+    for (y, x), places in tracks.items():
+        want = {0: (y, x)}
+        for way in (1, -1):
+            node, seen, k = (y, x, way), {(y, x, way)}, 0
+            while (node := follow(r, vy, vx, c, node)) is not None and node not in seen:
+                seen.add(node)
+                k += 1
+                want[way * k] = node[:2]
+        assert places == want
+    # seeds keep apart: taken strongest first, none beside another
+    grid = sorted(((r[y, x], -y, -x) for y in range(10, h - 10, 12) for x in range(10, w - 10, 12) if r[y, x] > 3 and c[y, x] > 0.4), reverse=True)
+    taken = []
+    for _, y, x in grid:
+        if all(max(abs(-y - a), abs(-x - b)) > 12 for a, b in taken):
+            taken.append((-y, -x))
+    seeds = {(t.y, t.x) for t in fields.separated_seeds(df, "r", "c", 12).collect()}
+    assert seeds == set(taken)
+
+
+def test_tracks_stop_where_they_meet_themselves(spark):
+    n = 41
+    ys, xs = np.mgrid[0:n, 0:n] - 20
+    rad = np.hypot(ys, xs)
+    r = np.round(12 - 4 * np.abs(rad - 12), 6)
+    vy, vx = xs / np.maximum(rad, 1), -ys / np.maximum(rad, 1)
+    df = plane_df(spark, {"r": r, "vy": vy, "vx": vx, "c": np.ones((n, n))})
+    t = fields.ridge_tracks(df, "r", "vy", "vx", "c", spacing=6, least=20)
+    sizes = [x["count"] for x in t.groupBy("track_y", "track_x").count().collect()]
+    assert sizes and all(60 < k < 400 for k in sizes)
