@@ -16,18 +16,17 @@ def last_wins(df: DataFrame, keys: list[str], order: str, values: list[str]) ->
 def longest_stem(files: DataFrame, stems: DataFrame, keys: list[str], base: str, stem: str) -> DataFrame:
     """Each file with the longest stem of its own group contained in its name.
 
-    A name is expanded to its substrings of the lengths that stems of its group
-    have, which turns containment into equality: work is linear in the names and
-    a group with most of the files and stems spreads over its substrings.
+    Every stem is anchored by its first letters, as many as the shortest stem has; a
+    name is expanded to its parts of that length and meets the stems whose anchor it
+    holds, which are then looked for in it. A name makes at most one row per place,
+    and a group with most of the files and stems spreads over its anchors.
     """
     stems = stems.select(*keys, stem).distinct()
-    lengths = stems.groupBy(*keys).agg(F.collect_set(F.length(stem)).alias("_ls"))
-    cut = lambda n: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(base) - n + 1, F.lit(1))), lambda i: F.substring(F.col(base), i, n)
-    )
-    parts = F.array_distinct(F.flatten(F.transform("_ls", cut)))
-    named = files.join(lengths, keys).withColumn(stem, F.explode(parts)).drop("_ls")
-    hit = named.join(stems, [*keys, stem], "left_semi")
+    shortest = stems.agg(F.min(F.length(stem))).first()[0] or 0
+    anchor = lambda c, i: F.substring(F.col(c), i, F.lit(shortest))
+    places = F.sequence(F.lit(1), F.greatest(F.length(base) - shortest + 1, F.lit(1)))
+    named = files.withColumn("_at", F.explode(F.array_distinct(F.transform(places, lambda i: anchor(base, i)))))
+    hit = named.join(stems.withColumn("_at", anchor(stem, F.lit(1))), [*keys, "_at"]).where(F.contains(base, stem))
     best = F.max_by(stem, F.struct(F.length(stem), F.col(stem)))
     return hit.groupBy(*files.columns).agg(best.alias(stem))
 

@@ -116,27 +116,36 @@ def columns_as_arrays(vol: DataFrame) -> DataFrame:
     )
 
 
+#: Shares a segment's columns are dealt into, and matrices a task holds at most.
+SHARES, HELD = 8, 512
+
+
 def layer_covariance(vol: DataFrame) -> DataFrame:
     """Covariance of layers across columns, per segment: rows (seg, i, j, c).
 
-    Each Arrow batch contributes one small cross-product matrix, so the shuffle
-    carries depth x depth sums instead of voxels.
+    Columns of a segment are brought together, a large segment in several shares;
+    a task adds up one small cross-product matrix per share, so the sums that meet
+    are a few per segment however many batches there are.
     """
-    cols = columns_as_arrays(vol).select("seg", "prof")
+    cols = columns_as_arrays(vol).repartition("seg", F.pmod(F.xxhash64("y", "x"), F.lit(SHARES))).select("seg", "prof")
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, np.ndarray] = {}
+
+        def told() -> Iterator[pd.DataFrame]:
+            for seg, g in held.items():
+                i, j = np.indices(g.shape)
+                yield pd.DataFrame({"seg": seg, "i": i.ravel() - 1, "j": j.ravel() - 1, "s": g.ravel()})
+            held.clear()
+
         for pdf in batches:
-            out = []
             for seg, part in pdf.groupby("seg"):
                 x = np.stack(part["prof"].to_numpy())
                 x = np.concatenate([np.ones((len(x), 1)), x], axis=1)
-                g = x.T @ x
-                i, j = np.indices(g.shape)
-                out.append(
-                    pd.DataFrame({"seg": seg, "i": i.ravel() - 1, "j": j.ravel() - 1, "s": g.ravel()})
-                )
-            if out:
-                yield pd.concat(out)
+                held[seg] = held.get(seg, 0) + x.T @ x
+            if len(held) > HELD:
+                yield from told()
+        yield from told()
 
     sums = cols.mapInPandas(grams, "seg string, i int, j int, s double").groupBy("seg", "i", "j").agg(
         F.sum("s").alias("s")

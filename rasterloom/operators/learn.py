@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rasterloom.operators import nulls, quantiles
+from rasterloom.operators import nulls, quantiles, stats
 
 
 def calibrate_floor(df, keys, score: str, ink: Column, blank: Column, fpr: float) -> DataFrame:
@@ -14,7 +14,7 @@ def calibrate_floor(df, keys, score: str, ink: Column, blank: Column, fpr: float
     )
     hit = F.when(F.col(score) > F.col("floor"), 1.0).otherwise(0.0)
     return (
-        df.join(floors, list(keys))
+        stats.beside(df, floors, list(keys))
         .groupBy(*keys, "floor")
         .agg(
             F.avg(F.when(ink, hit)).alias("sensitivity"),
@@ -75,27 +75,36 @@ def effect_summary(df: DataFrame, fine: str, coarse: str, bar: float) -> DataFra
 def depth_contrast(vol: DataFrame, masks: DataFrame, shifts) -> DataFrame:
     """Standardised ink-minus-bare contrast per layer and its rolled-label envelope.
 
-    Each target column gathers its label under every draw first (a short array),
-    joins its voxels once, and only then fans out into partial sums.
+    Each target column gathers its labels under all draws as bits of three numbers,
+    and voxels are summed per layer for all draws at once: no row is repeated.
     """
     draws = [(-1, 0, 0), *[(k, sy, sx) for k, (sy, sx) in enumerate(shifts)]]
     table = F.explode(
-        F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).alias("sy"), F.lit(b).alias("sx")) for k, a, b in draws])
+        F.array(*[F.struct(F.lit(1 << i).cast("long").alias("bit"), F.lit(a).alias("sy"), F.lit(b).alias("sx")) for i, (_, a, b) in enumerate(draws)])
     )
+    bit = F.col("s.bit")
     moved = masks.select("seg", "y", "x", "h", "w", "ink", "bare", table.alias("s")).select(
         "seg",
         F.pmod(F.col("y") + F.col("s.sy"), F.col("h")).alias("y"),
         F.pmod(F.col("x") + F.col("s.sx"), F.col("w")).alias("x"),
-        F.struct(F.col("s.k").alias("k"), "ink", "bare").alias("m"),
+        bit.alias("here"),
+        F.when(F.col("ink"), bit).otherwise(0).alias("ink"),
+        F.when(F.col("bare"), bit).otherwise(0).alias("bare"),
     )
-    gathered = moved.groupBy("seg", "y", "x").agg(F.collect_list("m").alias("ms"))
-    cells = vol.join(gathered, ["seg", "y", "x"]).select("seg", "z", "v", F.explode("ms").alias("m"))
-    v = F.col("v")
-    curves = cells.groupBy("seg", "z", F.col("m.k").alias("k")).agg(
-        (
-            (F.avg(F.when(F.col("m.ink"), v)) - F.avg(F.when(F.col("m.bare"), v))) / F.stddev_pop("v")
-        ).alias("c")
+    flags = moved.groupBy("seg", "y", "x").agg(*[F.bit_or(c).alias(c) for c in ("here", "ink", "bare")])
+    v = F.col("v").cast("double")
+
+    def under(c: str, i: int, value: Column) -> Column:
+        return F.when(F.col(c).bitwiseAND(F.lit(1 << i)) != 0, value)
+
+    def curve(i: int) -> Column:
+        lift = F.avg(under("ink", i, v)) - F.avg(under("bare", i, v))
+        return F.try_divide(lift, F.stddev_pop(under("here", i, v)))
+
+    layers = vol.join(flags, ["seg", "y", "x"]).groupBy("seg", "z").agg(
+        F.array(*[F.struct(F.lit(k).alias("k"), curve(i).alias("c")) for i, (k, _, _) in enumerate(draws)]).alias("cs")
     )
+    curves = layers.select("seg", "z", F.explode("cs").alias("e")).select("seg", "z", "e.k", "e.c")
     null = F.when(F.col("k") >= 0, F.col("c"))
     return curves.groupBy("seg", "z").agg(
         F.max(F.when(F.col("k") == -1, F.col("c"))).alias("contrast"),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rasterloom.session import checkpoint
+
 
 def separated_peaks(df: DataFrame, keys: list[str], value: str, k: int, min_sep: int) -> DataFrame:
     """Top ``k`` cells per group, each blanking a box of ``min_sep`` around it.
@@ -28,6 +30,8 @@ def separated_peaks(df: DataFrame, keys: list[str], value: str, k: int, min_sep:
             left = cells.alias("c").join(p, cond, "left_anti")
         best = left.groupBy(*keys).agg(F.max_by(F.struct("y", "x", "v"), order).alias("b"))
         best = best.select(*keys, F.lit(i + 1).alias("place"), "b.y", "b.x", "b.v")
+        # written: later rounds read the picks, they don't find them again
+        best = checkpoint(best)
         picks = best if picks is None else picks.unionByName(best)
     return picks
 

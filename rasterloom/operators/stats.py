@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rasterloom.session import checkpoint
+
 
 def n_where(c: Column) -> Column:
     return F.count_if(c)
@@ -32,6 +34,12 @@ def guarded_sd(sd: Column, floor: float = 1e-9) -> Column:
     return F.when(sd > floor, sd).otherwise(1.0)
 
 
+def beside(df: DataFrame, small: DataFrame, keys: list[str], limit: int = 10_000) -> DataFrame:
+    """Join figures per group to the rows: made first, counted, broadcast if they are few."""
+    small = checkpoint(small)
+    return df.join(F.broadcast(small) if small.count() <= limit else small, keys)
+
+
 def zscore(df: DataFrame, keys: list[str], cols: dict[str, str], where: Column | None = None):
     """Population z-scores against the whole group or against ``where`` only.
 

@@ -124,7 +124,7 @@ def j04(spark, sf):
         "seg", F.substring("seg", 1, 1).alias("scroll"), "y", "x", (F.col("s") / 25.0).alias("bm"), (F.col("c") == 0).alias("legal")
     ).where("legal").persist()
     thr = quantiles.percentiles(box, ["scroll"], "bm", {"thr": 95})
-    hot = box.join(thr, "scroll").where("bm > thr")
+    hot = stats.beside(box, thr, ["scroll"]).where("bm > thr")
     s = components.shapes(components.label(hot, ["seg"]), ["seg"], least=2)
     return s.groupBy("seg").agg(F.count(F.lit(1)).alias("clusters"), F.max("area").alias("biggest"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rasterloom.operators import catalog, controls, learn, nulls, quantiles
+from rasterloom.operators import catalog, controls, learn, nulls, quantiles, stats
 from rasterloom.plans.a_sources import stored
 from rasterloom.plans.c_joins import NN, STEMS, neighbour_sheets, stems_and_files
 from rasterloom.plans.common import r6, rounded
@@ -113,7 +113,7 @@ def j20(spark, sf):
     """Planted letters recovered per strength over a whole scroll, and the weakest reliable one."""
     m = planted_boxes(spark, sf).withColumn("scroll", F.substring("seg", 1, 1)).persist()
     thr = quantiles.percentiles(m.where("alpha = 0"), ["scroll"], "m", {"thr": 95})
-    power = m.join(thr, "scroll").groupBy("scroll", "alpha").agg(
+    power = stats.beside(m, thr, ["scroll"]).groupBy("scroll", "alpha").agg(
         F.count(F.lit(1)).alias("planted"), (F.count_if(F.col("m") > F.col("thr")) / F.count(F.lit(1))).alias("power")
     )
     return rounded(power.join(controls.detection_limit(power, ["scroll"]), "scroll"))
