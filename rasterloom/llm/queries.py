@@ -63,7 +63,20 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.extendible_shards(documents(spark, sf_dir), SHARD_BYTES)
 
 
-@query("op4_substring_dedup")
+WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+SUBSTRING_SQL = f"""
+WITH w AS MATERIALIZED (SELECT doc_id, {WORDS} AS ws FROM documents),
+win AS (SELECT doc_id, s, array_to_string(ws[s:s + 19], ' ') AS g FROM w, unnest(range(1, len(ws) - 18)) t(s) WHERE len(ws) >= 20),
+rep AS (SELECT doc_id, s FROM win QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, s) > 1),
+gone AS (SELECT DISTINCT doc_id, s + o.range AS p FROM rep CROSS JOIN range(20) o),
+one AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS k, count(*) AS n FROM one ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)"""
+
+
+@query("op4_substring_dedup", SUBSTRING_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.remove_repeats(documents(spark, sf_dir))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -74,7 +87,20 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
 
-@query("op6_ngram_jaccard")
+CLASS_SQL = f"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT doc_id, {WORDS.replace("text", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+sh AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(ws[s:s + 3], ' ') AS g FROM w, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) t(s) WHERE len(ws) > 0),
+sz AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS n FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS MATERIALIZED (
+  SELECT u, v FROM pair JOIN sz x ON x.doc_id = u JOIN sz y ON y.doc_id = v WHERE 100 * pair.n >= 85 * (x.n + y.n - pair.n)),
+reach AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT reach.u, link.v FROM reach JOIN link ON link.u = reach.v)
+SELECT u AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(v) AS component_id FROM reach LEFT JOIN sz ON doc_id = u GROUP BY u"""
+
+
+@query("op6_ngram_jaccard", CLASS_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_classes(documents(spark, sf_dir))
 
@@ -139,7 +165,17 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("row.doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op10_warc")
+WARC_SQL = """
+WITH p AS MATERIALIZED (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY t) AS first FROM p)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((('0x' || substr(h, (i // 4) * 5 + 1, 5))::INTEGER >> (15 - 5 * (i % 4))) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f"""
+
+
+@query("op10_warc", WARC_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
