@@ -91,19 +91,20 @@ def c02(spark, sf):
     "c03_plane_overlay",
     with_plane("""
 , p2 AS (SELECT left(seg, 1) AS flag, substr(seg, 2) AS blk, y, x, a FROM plane WHERE n > 0)
-SELECT blk, count(*) AS cells, round(corr(u.a, v.a), 6) AS r FROM (SELECT * FROM p2 WHERE flag = 'A') u
-JOIN (SELECT * FROM p2 WHERE flag = 'N') v USING (blk, y, x) GROUP BY blk"""),
+SELECT blk, u.flag || v.flag AS pair, count(*) AS cells, round(corr(u.a, v.a), 6) AS r
+FROM p2 u JOIN p2 v USING (blk, y, x) WHERE u.flag < v.flag GROUP BY ALL"""),
 )
 def c03(spark, sf):
     on = grids.plane(spark, sf).where("n > 0").select(
         F.substring("seg", 1, 1).alias("flag"), F.expr("substring(seg, 2)").alias("blk"), "y", "x", "a"
     )
-    # both planes come from one relation: pivoting by cell is one exchange, no join
-    pair = on.groupBy("blk", "y", "x").agg(
-        F.max(F.when(F.col("flag") == "A", F.col("a"))).alias("u"),
-        F.max(F.when(F.col("flag") == "N", F.col("a"))).alias("v"),
-    ).where("u IS NOT NULL AND v IS NOT NULL")
-    return pair.groupBy("blk").agg(F.count(F.lit(1)).alias("cells"), r6(F.corr("u", "v"), "r"))
+    # all planes come from one relation: gathering a cell's few sheets is one exchange, no join
+    cell = on.groupBy("blk", "y", "x").agg(F.array_sort(F.collect_list(F.struct("flag", "a"))).alias("s"))
+    later = lambda u: F.transform(F.filter("s", lambda v: v["flag"] > u["flag"]), lambda v: F.struct(u.alias("u"), v.alias("v")))
+    pair = cell.select("blk", F.explode(F.flatten(F.transform("s", later))).alias("p"))
+    return pair.groupBy("blk", F.concat("p.u.flag", "p.v.flag").alias("pair")).agg(
+        F.count(F.lit(1)).alias("cells"), r6(F.corr("p.u.a", "p.v.a"), "r")
+    )
 
 
 @query(
@@ -165,14 +166,38 @@ nn AS MATERIALIZED (SELECT u.blk, u.r, u.c, u.py, u.px, u.pz, pow(u.pz - v.pz, 2
   QUALIFY row_number() OVER (PARTITION BY u.blk, u.r, u.c ORDER BY d2, v.pz, v.py, v.px) = 1)"""
 
 
+#: Sheets of a block, one per flag; every two of them are a pair.
+SHEETS = ["A", "N", "R"]
+
+
+def neighbour_pairs(spark, sf, reach=4.0):
+    """Nearest point of each later sheet of the block, for every point of a sheet."""
+    p = points(spark, sf)
+    pairs = lambda mine: F.filter(
+        F.array(*[F.lit(u + v) for u in SHEETS for v in SHEETS if u < v]), lambda n: F.substring(n, mine, 1) == F.col("flag")
+    )
+    rim = p.withColumn("pair", F.explode(pairs(1))).drop("flag")
+    body = p.withColumn("pair", F.explode(pairs(2))).select("blk", "pair", "py", "px", "pz")
+    return spatial.nearest_within(rim, body, ["blk", "pair"], ["r", "c", "py", "px", "pz"], ["pz", "py", "px"], reach)
+
+
+NN_ALL = f""", {POINTS},
+offs AS MATERIALIZED (SELECT u.*, dy.range * 2 AS dy, dx.range * 2 AS dx FROM pts u CROSS JOIN range(-2, 3) dy CROSS JOIN range(-2, 3) dx),
+nn AS MATERIALIZED (SELECT u.blk, u.flag || v.flag AS pair, u.r, u.c, u.py, u.px, u.pz, pow(u.pz - v.pz, 2) + pow(u.py - v.py, 2) + pow(u.px - v.px, 2) AS d2,
+    v.pz AS qz, v.py AS qy, v.px AS qx
+  FROM offs u JOIN pts v ON v.flag > u.flag AND v.blk = u.blk AND v.py = u.py + u.dy AND v.px = u.px + u.dx
+  WHERE pow(u.pz - v.pz, 2) + pow(u.py - v.py, 2) + pow(u.px - v.px, 2) <= 16
+  QUALIFY row_number() OVER (PARTITION BY u.blk, u.flag, v.flag, u.r, u.c ORDER BY d2, v.pz, v.py, v.px) = 1)"""
+
+
 @query(
     "c06_nearest_neighbour",
-    with_plane(f"{NN} SELECT blk, r, c, CAST(d2 AS INTEGER) AS d2, qz, qy, qx FROM nn"),
+    with_plane(f"{NN_ALL} SELECT blk, pair, r, c, CAST(d2 AS INTEGER) AS d2, qz, qy, qx FROM nn"),
 )
 def c06(spark, sf):
-    nn = neighbour_sheets(spark, sf)
+    nn = neighbour_pairs(spark, sf)
     return nn.select(
-        "blk", "r", "c", F.col("d2").cast("int").alias("d2"),
+        "blk", "pair", "r", "c", F.col("d2").cast("int").alias("d2"),
         F.col("r_pz").alias("qz"), F.col("r_py").alias("qy"), F.col("r_px").alias("qx"),
     )
 
@@ -291,20 +316,22 @@ def c13(spark, sf):
 
 @query(
     "c14_seam_classes",
-    with_plane(f"""{NN},
-k AS (SELECT blk, d2, (qy - py) * 0.6e0 + (qz - pz) * 0.8e0 AS perp FROM nn),
-m AS (SELECT blk, abs(perp) AS perp, sqrt(greatest(d2 - perp * perp, 0)) AS inplane FROM k)
-SELECT blk, count(*) AS near, count(*) FILTER (inplane > perp) AS seam,
+    with_plane(f"""{NN_ALL},
+k AS (SELECT blk, pair, d2, (qy - py) * 0.6e0 + (qz - pz) * 0.8e0 AS perp FROM nn),
+m AS (SELECT blk, pair, abs(perp) AS perp, sqrt(greatest(d2 - perp * perp, 0)) AS inplane FROM k)
+SELECT blk, pair, count(*) AS near, count(*) FILTER (inplane > perp) AS seam,
   round(count(*) FILTER (inplane > perp) / count(*), 3) AS edge_on,
   round(median(perp) FILTER (inplane > perp), 6) AS perp, round(median(inplane) FILTER (inplane > perp), 6) AS inplane,
-  CASE WHEN count(*) / (SELECT count(*) FROM pts p WHERE flag = 'A' AND p.blk = m.blk) > 0.5 THEN 'duplicate' ELSE 'seam' END AS kind
-FROM m GROUP BY blk HAVING count(*) FILTER (inplane > perp) >= 20"""),
+  CASE WHEN count(*) / (SELECT count(*) FROM pts p WHERE flag = left(m.pair, 1) AND p.blk = m.blk) > 0.5 THEN 'duplicate' ELSE 'seam' END AS kind
+FROM m GROUP BY blk, pair HAVING count(*) FILTER (inplane > perp) >= 20"""),
 )
 def c14(spark, sf):
-    rim = points(spark, sf).where("flag = 'A'").groupBy("blk").agg(F.count(F.lit(1)).alias("body"))
-    nn = neighbour_sheets(spark, sf)
+    sizes = points(spark, sf).groupBy("blk", "flag").agg(F.count(F.lit(1)).alias("body"))
+    pairs = F.array(*[F.lit(u + v) for u in SHEETS for v in SHEETS if u < v])
+    rim = sizes.withColumn("pair", F.explode(pairs)).where(F.substring("pair", 1, 1) == F.col("flag")).drop("flag")
+    nn = neighbour_pairs(spark, sf)
     return rounded(
-        catalog.seam_classes(nn, rim, ["blk"], {"pz": 0.8, "py": 0.6, "px": 0.0}, least=20)
+        catalog.seam_classes(nn, rim, ["blk", "pair"], {"pz": 0.8, "py": 0.6, "px": 0.0}, least=20)
     )
 
 
