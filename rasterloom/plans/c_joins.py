@@ -149,35 +149,22 @@ def points(spark, sf):
     )
 
 
-def neighbour_sheets(spark, sf, reach=4.0):
-    p = points(spark, sf)
-    rim = p.where("flag = 'A'").drop("flag")
-    body = p.where("flag = 'N'").select("blk", "py", "px", "pz")
-    return spatial.nearest_within(rim, body, ["blk"], ["r", "c", "py", "px", "pz"], ["pz", "py", "px"], reach)
-
-
-NN = f""", {POINTS},
-offs AS MATERIALIZED (SELECT u.*, dy.range * 2 AS dy, dx.range * 2 AS dx FROM pts u CROSS JOIN range(-2, 3) dy CROSS JOIN range(-2, 3) dx
-  WHERE u.flag = 'A'),
-nn AS MATERIALIZED (SELECT u.blk, u.r, u.c, u.py, u.px, u.pz, pow(u.pz - v.pz, 2) + pow(u.py - v.py, 2) + pow(u.px - v.px, 2) AS d2,
-    v.pz AS qz, v.py AS qy, v.px AS qx
-  FROM offs u JOIN pts v ON v.flag = 'N' AND v.blk = u.blk AND v.py = u.py + u.dy AND v.px = u.px + u.dx
-  WHERE pow(u.pz - v.pz, 2) + pow(u.py - v.py, 2) + pow(u.px - v.px, 2) <= 16
-  QUALIFY row_number() OVER (PARTITION BY u.blk, u.r, u.c ORDER BY d2, v.pz, v.py, v.px) = 1)"""
-
-
 #: Sheets of a block, one per flag; every two of them are a pair.
 SHEETS = ["A", "N", "R"]
 
 
+def in_pairs(df, place: int):
+    """Rows of a sheet once for each pair (``pair``) whose first or second sheet it is."""
+    pairs = F.array(*[F.lit(u + v) for u in SHEETS for v in SHEETS if u < v])
+    mine = F.filter(pairs, lambda n: F.substring(n, place, 1) == F.col("flag"))
+    return df.withColumn("pair", F.explode(mine)).drop("flag")
+
+
 def neighbour_pairs(spark, sf, reach=4.0):
     """Nearest point of each later sheet of the block, for every point of a sheet."""
     p = points(spark, sf)
-    pairs = lambda mine: F.filter(
-        F.array(*[F.lit(u + v) for u in SHEETS for v in SHEETS if u < v]), lambda n: F.substring(n, mine, 1) == F.col("flag")
-    )
-    rim = p.withColumn("pair", F.explode(pairs(1))).drop("flag")
-    body = p.withColumn("pair", F.explode(pairs(2))).select("blk", "pair", "py", "px", "pz")
+    rim = in_pairs(p, 1)
+    body = in_pairs(p, 2).select("blk", "pair", "py", "px", "pz")
     return spatial.nearest_within(rim, body, ["blk", "pair"], ["r", "c", "py", "px", "pz"], ["pz", "py", "px"], reach)
 
 
@@ -327,8 +314,7 @@ FROM m GROUP BY blk, pair HAVING count(*) FILTER (inplane > perp) >= 20"""),
 )
 def c14(spark, sf):
     sizes = points(spark, sf).groupBy("blk", "flag").agg(F.count(F.lit(1)).alias("body"))
-    pairs = F.array(*[F.lit(u + v) for u in SHEETS for v in SHEETS if u < v])
-    rim = sizes.withColumn("pair", F.explode(pairs)).where(F.substring("pair", 1, 1) == F.col("flag")).drop("flag")
+    rim = in_pairs(sizes, 1)
     nn = neighbour_pairs(spark, sf)
     return rounded(
         catalog.seam_classes(nn, rim, ["blk", "pair"], {"pz": 0.8, "py": 0.6, "px": 0.0}, least=20)

@@ -224,16 +224,25 @@ def f32(spark, sf):
 @query(
     "f33_depth_coherence",
     with_volume(f"""
-, plane AS MATERIALIZED (SELECT seg, y, x, arg_max(z, (v, -z)) AS dm FROM volume GROUP BY ALL), {sbox('lc', 'plane', {'lc': 'dm'}, 2, 16)}
-SELECT seg, round(avg(CAST(abs(dm - lc) <= 3 AS INT)), 6) AS coherence FROM plane JOIN lc USING (seg, y, x) GROUP BY seg"""),
+, plane AS MATERIALIZED (SELECT seg, y, x, arg_max(z, (v, -z)) AS dm FROM volume GROUP BY ALL), {sbox('lc', 'plane', {'lc': 'dm'}, 2, 16)},
+shuf AS MATERIALIZED (SELECT seg, CAST(i // 16 AS INTEGER) AS y, CAST(i % 16 AS INTEGER) AS x, dm
+  FROM (SELECT seg, ((y * 16 + x) * 7919 + 4242) % 256 AS i, dm FROM plane)), {sbox('ls', 'shuf', {'ls': 'dm'}, 2, 16)},
+c AS (SELECT seg, avg(CAST(abs(dm - lc) <= 3 AS INT)) AS coherence FROM plane JOIN lc USING (seg, y, x) GROUP BY seg),
+s AS (SELECT seg, avg(CAST(abs(dm - ls) <= 3 AS INT)) AS shuffled FROM shuf JOIN ls USING (seg, y, x) GROUP BY seg)
+SELECT seg, round(coherence, 6) AS coherence, round(shuffled, 6) AS shuffled FROM c JOIN s USING (seg)"""),
 )
 def f33(spark, sf):
     r = depth.response_label(grids.volume(spark, sf), 0, 0).select(
         "seg", "y", "x", F.col("depth").alias("dm"), F.lit(grids.VOL_H).alias("h"), F.lit(grids.VOL_W).alias("w")
     )
-    lc = axis.box_mean(r, {"lc": ("dm", 2)})
-    near = F.abs(F.col("dm") - F.col("lc")) <= 3
-    return lc.groupBy("seg").agg(r6(stats.share(near), "coherence"))
+    def coherence(df, name):
+        lc = axis.box_mean(df, {"lc": ("dm", 2)})
+        return lc.groupBy("seg").agg(r6(stats.share(F.abs(F.col("dm") - F.col("lc")) <= 3), name))
+
+    # the baseline deals the same depths to other cells: a stride that shares no factor with the size
+    to = F.pmod((F.col("y") * F.col("w") + F.col("x")) * 7919 + 4242, F.col("h") * F.col("w"))
+    dealt = r.withColumn("i", to).withColumns({"y": F.floor(F.col("i") / F.col("w")).cast("int"), "x": (F.col("i") % F.col("w")).cast("int")})
+    return coherence(r, "coherence").join(coherence(dealt.drop("i"), "shuffled"), "seg")
 
 
 CUTS = [150, 160, 170, 180, 190]
@@ -244,10 +253,11 @@ _MASKS = ", ".join(f"a + (b % {i + 2}) * 9 > {c} AS m{i}" for i, c in enumerate(
     "f34_stability",
     with_plane(f""", m AS (SELECT seg, {_MASKS} FROM plane),
 j AS ({' UNION ALL '.join(f"SELECT seg, count(*) FILTER (m{i} AND m{j}) / nullif(count(*) FILTER (m{i} OR m{j}), 0) AS j FROM m GROUP BY seg" for i in range(5) for j in range(i + 1, 5))})
-SELECT seg, round(median(j), 6) AS stability FROM j GROUP BY seg"""),
+SELECT seg, round(median(j), 6) AS stability, (SELECT round(avg(({'+'.join(f'CAST(m{i} AS INT)' for i in range(5))}) / 5), 6) FROM m q WHERE q.seg = j.seg) AS consensus
+FROM j GROUP BY seg"""),
 )
 def f34(spark, sf):
-    """Median Jaccard over all pairs of mask variants.
+    """Median Jaccard over all pairs of mask variants, and the mean share of variants that call a cell.
 
     Cells collapse to how often each combination of variants occurs, a number
     bounded by the variants alone; pairs are counted on that table.
@@ -262,8 +272,11 @@ def f34(spark, sf):
         F.sum(F.when(on(i) & on(j), F.col("n")).otherwise(0)) / F.nullif(F.sum(F.when(on(i) | on(j), F.col("n")).otherwise(0)), F.lit(0))
         for i, j in pairs
     ]
-    per = combos.groupBy("seg").agg(F.array(*js).alias("js"))
-    return per.select("seg", F.explode("js").alias("j")).groupBy("seg").agg(r6(F.median("j"), "stability"))
+    share = F.sum(F.col("n") * F.bit_count("bits")) / F.sum("n") / len(CUTS)
+    per = combos.groupBy("seg").agg(F.array(*js).alias("js"), share.alias("share"))
+    return per.select("seg", "share", F.explode("js").alias("j")).groupBy("seg").agg(
+        r6(F.median("j"), "stability"), r6(F.first("share"), "consensus")
+    )
 
 
 @query(

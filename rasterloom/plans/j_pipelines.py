@@ -8,7 +8,7 @@ from rasterloom.functions import scalars as S
 from rasterloom.operators import axis, components, controls, depth, fields, gates, learn, masks
 from rasterloom.operators import nulls, quantiles, ranking, search, spatial, stats
 from rasterloom.plans.b_filters import NAMES_SQL, scan_names
-from rasterloom.plans.c_joins import CHUNK, NN, neighbour_sheets, points
+from rasterloom.plans.c_joins import CHUNK, NN_ALL, in_pairs, neighbour_pairs, points
 from rasterloom.plans.common import CALLED, ROLLED, SHIFTS, r6, rounded, with_components
 from rasterloom.plans.d_core import AUC_SQL, CODE_SQL, SILENCE_SQL, silence, simple_code
 from rasterloom.plans.d_depth import PEAK
@@ -299,10 +299,10 @@ def j11(spark, sf):
 
 @query(
     "j12_seam_finder",
-    with_plane(f"""{NN}, bb AS (SELECT flag, blk, min(py) AS y0, max(py) AS y1, min(px) AS x0, max(px) AS x1, count(*) AS body FROM pts GROUP BY ALL)
-SELECT nn.blk, count(*) AS near, round(count(*) / any_value(a.body), 3) AS overlap, CASE WHEN count(*) / any_value(a.body) > 0.5 THEN 'duplicate' ELSE 'seam' END AS kind
-FROM nn JOIN bb a ON a.flag = 'A' AND a.blk = nn.blk JOIN bb b ON b.flag = 'N' AND b.blk = nn.blk
-WHERE a.y0 <= b.y1 + 4 AND b.y0 <= a.y1 + 4 AND a.x0 <= b.x1 + 4 AND b.x0 <= a.x1 + 4 GROUP BY nn.blk HAVING count(*) >= 20"""),
+    with_plane(f"""{NN_ALL}, bb AS (SELECT flag, blk, min(py) AS y0, max(py) AS y1, min(px) AS x0, max(px) AS x1, count(*) AS body FROM pts GROUP BY ALL)
+SELECT nn.blk, nn.pair, count(*) AS near, round(count(*) / any_value(a.body), 3) AS overlap, CASE WHEN count(*) / any_value(a.body) > 0.5 THEN 'duplicate' ELSE 'seam' END AS kind
+FROM nn JOIN bb a ON a.flag = left(nn.pair, 1) AND a.blk = nn.blk JOIN bb b ON b.flag = right(nn.pair, 1) AND b.blk = nn.blk
+WHERE a.y0 <= b.y1 + 4 AND b.y0 <= a.y1 + 4 AND a.x0 <= b.x1 + 4 AND b.x0 <= a.x1 + 4 GROUP BY nn.blk, nn.pair HAVING count(*) >= 20"""),
 )
 def j12(spark, sf):
     """Sheet pairs whose boxes overlap, by how much of one lies on the other."""
@@ -310,12 +310,12 @@ def j12(spark, sf):
     box = p.groupBy("flag", "blk").agg(
         F.min("py").alias("y0"), F.max("py").alias("y1"), F.min("px").alias("x0"), F.max("px").alias("x1"), F.count(F.lit(1)).alias("body")
     )
-    a, b = box.where("flag = 'A'").drop("flag"), box.where("flag = 'N'").drop("flag", "body")
-    pairs = spatial.overlapping_boxes(a, b, ["blk"], size=64, slack=4).select("blk", "body")
-    near = neighbour_sheets(spark, sf).groupBy("blk").agg(F.count(F.lit(1)).alias("near")).where("near >= 20")
+    a, b = in_pairs(box, 1), in_pairs(box, 2).drop("body")
+    pairs = spatial.overlapping_boxes(a, b, ["blk", "pair"], size=64, slack=4).select("blk", "pair", "body")
+    near = neighbour_pairs(spark, sf).groupBy("blk", "pair").agg(F.count(F.lit(1)).alias("near")).where("near >= 20")
     share = F.col("near") / F.col("body")
-    return near.join(pairs, "blk").select(
-        "blk", "near", F.round(share, 3).alias("overlap"), F.when(share > 0.5, "duplicate").otherwise("seam").alias("kind")
+    return near.join(pairs, ["blk", "pair"]).select(
+        "blk", "pair", "near", F.round(share, 3).alias("overlap"), F.when(share > 0.5, "duplicate").otherwise("seam").alias("kind")
     )
 
 
@@ -435,24 +435,25 @@ def j18(spark, sf):
 
 @query(
     "j22_sandwich",
-    with_plane(f"""{NN},
-s AS (SELECT nn.blk, a.a AS mine, v.b AS nb FROM nn JOIN plane a ON a.seg = 'A' || nn.blk AND a.y = nn.r AND a.x = nn.c
-  JOIN plane v ON v.seg = 'N' || nn.blk AND v.y = nn.qy // 2 AND v.x = nn.qx // 2),
-q AS (SELECT substr(seg, 2) AS blk, quantile_cont(b, 0.9) AS hi, quantile_cont(b, 0.5) AS lo FROM plane WHERE seg LIKE 'N%' AND n > 0 GROUP BY 1),
-scored AS (SELECT blk AS seg, mine AS f, nb >= hi AS pos FROM s JOIN q USING (blk) WHERE nb >= hi OR nb < lo){AUC_SQL}"""),
+    with_plane(f"""{NN_ALL},
+s AS (SELECT nn.blk, pair, a.a AS mine, v.b AS nb FROM nn JOIN plane a ON a.seg = left(pair, 1) || nn.blk AND a.y = nn.r AND a.x = nn.c
+  JOIN plane v ON v.seg = right(pair, 1) || nn.blk AND v.y = nn.qy // 2 AND v.x = nn.qx // 2),
+q AS (SELECT left(seg, 1) AS flag, substr(seg, 2) AS blk, quantile_cont(b, 0.9) AS hi, quantile_cont(b, 0.5) AS lo FROM plane WHERE n > 0 GROUP BY 1, 2),
+scored AS (SELECT pair || s.blk AS seg, mine AS f, nb >= hi AS pos FROM s JOIN q ON q.blk = s.blk AND q.flag = right(pair, 1) WHERE nb >= hi OR nb < lo){AUC_SQL}"""),
 )
 def j22(spark, sf):
     """Do a sheet's scores rise where the touching sheet is inked?"""
     df = grids.plane(spark, sf).where("n > 0").select(F.substring("seg", 1, 1).alias("flag"), F.expr("substring(seg, 2)").alias("blk"), "y", "x", "a", "b")
-    nn = neighbour_sheets(spark, sf).select(
-        "blk", F.col("r").alias("y"), F.col("c").alias("x"), F.floor(F.col("r_py") / 2).cast("int").alias("ny"), F.floor(F.col("r_px") / 2).cast("int").alias("nx")
+    nn = neighbour_pairs(spark, sf).select(
+        "blk", "pair", F.col("r").alias("y"), F.col("c").alias("x"), F.floor(F.col("r_py") / 2).cast("int").alias("ny"), F.floor(F.col("r_px") / 2).cast("int").alias("nx")
     )
-    mine = nn.join(df.where("flag = 'A'").select("blk", "y", "x", "a"), ["blk", "y", "x"])
-    other = df.where("flag = 'N'").select("blk", F.col("y").alias("ny"), F.col("x").alias("nx"), "b")
-    cuts = df.where("flag = 'N'").groupBy("blk").agg(
+    mine = nn.join(in_pairs(df, 1).select("blk", "pair", "y", "x", "a"), ["blk", "pair", "y", "x"])
+    other = in_pairs(df, 2).select("blk", "pair", F.col("y").alias("ny"), F.col("x").alias("nx"), "b")
+    cuts = in_pairs(df, 2).groupBy("blk", "pair").agg(
         quantiles.byte_percentile(F.col("b"), 90).alias("hi"), quantiles.byte_percentile(F.col("b"), 50).alias("lo")
     )
-    s = mine.join(other, ["blk", "ny", "nx"]).join(cuts, "blk").where("b >= hi OR b < lo").withColumnRenamed("blk", "seg")
+    s = mine.join(other, ["blk", "pair", "ny", "nx"]).join(cuts, ["blk", "pair"]).where("b >= hi OR b < lo")
+    s = s.withColumn("seg", F.concat("pair", "blk"))
     return rounded(quantiles.auc(s, ["seg"], "a", F.col("b") >= F.col("hi")))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.operators import catalog, controls, learn, nulls, quantiles, stats
 from rasterloom.plans.a_sources import stored
-from rasterloom.plans.c_joins import NN, STEMS, neighbour_sheets, stems_and_files
+from rasterloom.plans.c_joins import NN_ALL, STEMS, in_pairs, neighbour_pairs, stems_and_files
 from rasterloom.plans.common import r6, rounded
 from rasterloom.plans.d_depth import DSHIFTS
 from rasterloom.plans.e_nulls import INJECT, planted_boxes
@@ -71,12 +71,13 @@ NSHIFTS = nulls.draw_shifts(seed=11, n=8, lo=8, h=64, w=64)
 
 @query(
     "e09_neighbour_auc_null",
-    with_plane(f"""{NN},
-q AS (SELECT substr(seg, 2) AS blk, quantile_cont(b, 0.9) AS hi, quantile_cont(b, 0.5) AS lo FROM plane WHERE seg LIKE 'N%' AND n > 0 GROUP BY 1),
-t AS MATERIALIZED (SELECT nn.blk, nn.r, nn.c, v.b >= hi AS pos FROM nn JOIN plane v ON v.seg = 'N' || nn.blk AND v.y = nn.qy // 2 AND v.x = nn.qx // 2
-  JOIN q ON q.blk = nn.blk WHERE v.b >= hi OR v.b < lo),
+    with_plane(f"""{NN_ALL},
+q AS (SELECT left(seg, 1) AS flag, substr(seg, 2) AS blk, quantile_cont(b, 0.9) AS hi, quantile_cont(b, 0.5) AS lo FROM plane WHERE n > 0 GROUP BY 1, 2),
+t AS MATERIALIZED (SELECT pair || nn.blk AS blk, left(pair, 1) || nn.blk AS seg, nn.r, nn.c, v.b >= hi AS pos
+  FROM nn JOIN plane v ON v.seg = right(pair, 1) || nn.blk AND v.y = nn.qy // 2 AND v.x = nn.qx // 2
+  JOIN q ON q.blk = nn.blk AND q.flag = right(pair, 1) WHERE v.b >= hi OR v.b < lo),
 s AS (SELECT -1 AS k, 0 AS sy, 0 AS sx UNION ALL SELECT * FROM {nulls.sql_shifts(NSHIFTS)}),
-d AS MATERIALIZED (SELECT blk, k, pos, 'A' || blk AS seg, (r - sy + 64) % 64 AS y, (c - sx + 64) % 64 AS x FROM t CROSS JOIN s),
+d AS MATERIALIZED (SELECT blk, k, pos, seg, (r - sy + 64) % 64 AS y, (c - sx + 64) % 64 AS x FROM t CROSS JOIN s),
 f AS (SELECT blk, k, pos, a AS f FROM d JOIN plane p ON p.seg = d.seg AND p.y = d.y AND p.x = d.x),
 r AS (SELECT blk, k, pos, rank() OVER (PARTITION BY blk, k ORDER BY f) + (count(*) OVER (PARTITION BY blk, k, f) - 1) / 2.0 AS rk FROM f),
 u AS (SELECT blk, k, round((sum(rk) FILTER (pos) - count(*) FILTER (pos) * (count(*) FILTER (pos) + 1) / 2.0) / (count(*) FILTER (pos) * count(*) FILTER (NOT pos)), 9) AS auc FROM r GROUP BY ALL),
@@ -87,20 +88,21 @@ FROM u JOIN o USING (blk) WHERE k >= 0 GROUP BY blk, obs"""),
 def e09(spark, sf):
     """Neighbour-inked AUC against the sheet's own scores rolled out of register."""
     df = grids.plane(spark, sf).select(F.substring("seg", 1, 1).alias("flag"), F.expr("substring(seg, 2)").alias("blk"), "h", "w", "y", "x", "a", "b", "n")
-    nn = neighbour_sheets(spark, sf).select("blk", "r", "c", F.floor(F.col("r_py") / 2).cast("int").alias("y"), F.floor(F.col("r_px") / 2).cast("int").alias("x"))
-    other = df.where("flag = 'N'")
-    cuts = other.where("n > 0").groupBy("blk").agg(quantiles.byte_percentile(F.col("b"), 90).alias("hi"), quantiles.byte_percentile(F.col("b"), 50).alias("lo"))
-    t = nn.join(other.select("blk", "y", "x", "h", "w", "b"), ["blk", "y", "x"]).join(cuts, "blk").where("b >= hi OR b < lo")
+    nn = neighbour_pairs(spark, sf).select("blk", "pair", "r", "c", F.floor(F.col("r_py") / 2).cast("int").alias("y"), F.floor(F.col("r_px") / 2).cast("int").alias("x"))
+    other, pair = in_pairs(df, 2), ["blk", "pair"]
+    cuts = other.where("n > 0").groupBy(*pair).agg(quantiles.byte_percentile(F.col("b"), 90).alias("hi"), quantiles.byte_percentile(F.col("b"), 50).alias("lo"))
+    t = nn.join(other.select(*pair, "y", "x", "h", "w", "b"), [*pair, "y", "x"]).join(cuts, pair).where("b >= hi OR b < lo")
     t = t.withColumn("s", nulls.shift_column([(0, 0), *NSHIFTS])).select(
-        "blk", F.col("s.k").alias("k"), (F.col("b") >= F.col("hi")).alias("pos"),
+        *pair, F.col("s.k").alias("k"), (F.col("b") >= F.col("hi")).alias("pos"),
         F.pmod(F.col("r") - F.col("s.sy"), F.col("h")).alias("y"), F.pmod(F.col("c") - F.col("s.sx"), F.col("w")).alias("x"),
     )
-    f = t.join(df.where("flag = 'A'").select("blk", "y", "x", "a"), ["blk", "y", "x"])
+    f = t.join(in_pairs(df, 1).select(*pair, "y", "x", "a"), [*pair, "y", "x"])
+    f = f.withColumn("blk", F.concat("pair", "blk"))
     u = quantiles.auc(f, ["blk", "k"], "a", F.col("pos")).withColumn("auc", F.round("auc", 9))
-    obs = u.where("k = 0").select("blk", F.col("auc").alias("obs"))
-    return rounded(u.where("k > 0").join(obs, "blk").groupBy("blk", F.col("obs").alias("auc")).agg(
-        F.avg(u["auc"]).alias("null_mean"), nulls.exceedance(u["auc"], F.col("obs"), True).alias("p")
-    ))
+    held = controls.against_draws(u, ["blk"], F.col("auc"))
+    n = F.size("others")
+    total = F.aggregate("others", F.lit(0.0), lambda s, v: s + v)
+    return rounded(held.select("blk", F.col("obs").alias("auc"), (total / n).alias("null_mean"), ((F.col("p") * n + 1) / (n + 1)).alias("p")))
 
 
 @query(
