@@ -7,6 +7,8 @@ smallest hash, and equal windows contain equal ones. Only those smallest windows
 are compared over the corpus (about a sixth of all), and only windows around one
 that occurs in two documents go on. Nothing that repeats is missed.
 
+Copies of whole texts are settled by a digest, and one of them goes on.
+
 Rows name a document and a hash; per document each hash is listed once, so a hot
 window has at most one row per document, and minima are taken before the
 shuffle. What repeats inside one document is found where the document is.
@@ -22,15 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from rasterloom.llm.hashing import pair_hash, signed, sliding, windows, word_hashes
-from rasterloom.llm.shared import order_id, written
+from rasterloom.llm.shared import discard, given_id, order_id, release_shuffles, written
 
 #: Turns word hashes into a second, independent family.
 SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
 def _both(ones: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes, 128 bits together, of each window."""
-    return windows(ones, length), windows(pair_hash(ones, ones ^ SALT), length)
+    """Two independent hashes of each window, 96 bits together."""
+    return windows(ones, length), windows(pair_hash(ones, ones ^ SALT), length) >> np.uint64(32)
 
 
 def _smallest(ones: np.ndarray, half: int) -> np.ndarray:
@@ -39,7 +41,8 @@ def _smallest(ones: np.ndarray, half: int) -> np.ndarray:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(order_id().alias("d"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """Id and text only: both joins below then read one and the same exchange."""
+    return docs.select(order_id().alias("d"), "text")
 
 
 def _long_rows(doc: list, values: list) -> list[pa.Array]:
@@ -63,10 +66,13 @@ def anchors(texts: DataFrame, half: int) -> DataFrame:
 
 
 def shared_lists(rows: DataFrame) -> DataFrame:
-    """``d, hs``: per document its hashes that another document has as well."""
-    ends = rows.groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-    shared = written(ends.where("lo < hi").select("h"), "substring-shared")
-    return rows.join(shared, "h").groupBy("d").agg(F.collect_list("h").alias("hs"))
+    """``d, hs``: per document its hashes that another row has as well; ``rows`` go after that."""
+    shared = written(rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "substring-shared")
+    lists = written(rows.join(shared, "h").groupBy("d").agg(F.collect_list("h").alias("hs")), "substring-lists")
+    discard(rows)
+    discard(shared)
+    release_shuffles(rows.sparkSession)
+    return lists
 
 
 def candidates(texts: DataFrame, lists: DataFrame, length: int) -> DataFrame:
@@ -87,13 +93,13 @@ def candidates(texts: DataFrame, lists: DataFrame, length: int) -> DataFrame:
             if doc:
                 yield pa.RecordBatch.from_arrays(_long_rows(doc, [one, two]), ["d", "a", "b"])
 
-    near = texts.join(lists, "d").select("d", "text", "hs")
+    near = texts.hint("merge").join(lists, "d").select("d", "text", "hs")
     return near.mapInArrow(run, "d long, a long, b long")
 
 
 def earlier_lists(rows: DataFrame) -> DataFrame:
     """``d, gone``: per document the windows that a document of smaller id has as well."""
-    first = rows.groupBy("a", "b").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi")
+    first = rows.groupBy("a", "b").agg(F.min("d").alias("lo"), F.count(F.lit(1)).alias("c")).where("c > 1")
     first = first.select(F.col("a").alias("a1"), F.col("b").alias("b1"), "lo")
     # joined on one half of the hash, so that both sides are exchanged and adaptive
     # execution can split a hot window; the other half is compared as it meets
@@ -101,6 +107,18 @@ def earlier_lists(rows: DataFrame) -> DataFrame:
     return again.groupBy("d").agg(F.collect_list("a").alias("gone"))
 
 
+def copies(texts: DataFrame) -> DataFrame:
+    """``d``: documents whose text is that of a document of smaller id.
+
+    An id with several texts is not among them.
+    """
+    rows = texts.select("d", F.unhex(F.sha2("text", 256)).alias("digest"))
+    groups = rows.groupBy("digest").agg(F.min("d").alias("lo"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    again = rows.join(written(groups.select("digest", "lo"), "substring-equal"), "digest", "left")
+    whole = again.groupBy("d").agg(F.every(F.coalesce(F.col("d") > F.col("lo"), F.lit(False))).alias("copy"))
+    return whole.where("copy").select("d")
+
+
 def remove_repeats(docs: DataFrame, length: int = 20) -> DataFrame:
     """Remove every word covered by a ``length``-word window that also starts earlier.
 
@@ -114,9 +132,14 @@ def remove_repeats(docs: DataFrame, length: int = 20) -> DataFrame:
     half = length // 2
     texts = _texts(docs)
     # level 1: windows of half the length that occur in two documents
-    lists = written(shared_lists(written(anchors(texts, half), "substring-anchors")), "substring-lists")
+    lists = shared_lists(written(anchors(texts, half), "substring-anchors"))
+    # a copy of a whole text has all its windows in the document of smaller id, which alone goes on
+    same = written(copies(texts), "substring-copies")
+    release_shuffles(docs.sparkSession)
     # level 2: extended to the full length
-    gone = earlier_lists(candidates(texts, lists, length))
+    gone = earlier_lists(candidates(texts, lists.join(same, "d", "left_anti"), length))
+    # no document is in both: an empty list stands for all windows
+    gone = gone.unionByName(same.select("d", F.array().cast("array<bigint>").alias("gone")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,7 +148,9 @@ def remove_repeats(docs: DataFrame, length: int = 20) -> DataFrame:
                 words = (text.as_py() or "").encode().split()
                 n = len(words)
                 keep = np.ones(n, bool)
-                if n >= length:
+                if n >= length and hs.is_valid and not len(hs):
+                    keep[:] = False
+                elif n >= length:
                     hashes = signed(windows(word_hashes(words), length))
                     _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
                     again = first[which] != np.arange(len(hashes))
@@ -140,10 +165,12 @@ def remove_repeats(docs: DataFrame, length: int = 20) -> DataFrame:
                 for o, v in zip(out, (n, n - kept, b" ".join(words if kept == n else compress(words, keep)).decode())):
                     o.append(v)
             columns = [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "text"])
+            yield pa.RecordBatch.from_arrays(columns, ["d", "n_words", "n_removed", "text"])
 
-    full = texts.join(gone, "d", "left").select("doc_id", "text", "gone")
-    return full.mapInArrow(run, "doc_id long, n_words long, n_removed long, text string")
+    # merged, not broadcast: lists grow with the corpus
+    full = texts.hint("merge").join(gone, "d", "left").select("d", "text", "gone")
+    done = full.mapInArrow(run, "d long, n_words long, n_removed long, text string")
+    return done.select(given_id().alias("doc_id"), "n_words", "n_removed", "text")
 
 
 def longest_repeats(docs: DataFrame, start: int = 10) -> DataFrame:
@@ -154,19 +181,18 @@ def longest_repeats(docs: DataFrame, start: int = 10) -> DataFrame:
     next if the window that follows them directly is shared as well.
     """
     texts, level, out = _texts(docs), 2 * start, None
-    rows = candidates(texts, written(shared_lists(written(anchors(texts, start), "repeat-anchors")), "repeat-lists"), level)
+    lists = shared_lists(written(anchors(texts, start), "repeat-anchors"))
+    rows = candidates(texts, lists, level)
     while True:
-        rows = written(rows.withColumn("h", F.xxhash64("a", "b")), "repeat-level")
-        lists = written(shared_lists(rows.select("d", "h")), "repeat-lists")
-        if lists.isEmpty():
+        rows = written(rows.dropDuplicates(["d", "a", "b"]), "repeat-level")
+        ends = rows.groupBy("a", "b").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi")
+        alive = written(rows.join(ends, ["a", "b"]).groupBy("d").agg(F.collect_list("a").alias("hs")), "repeat-lists")
+        if alive.isEmpty():
             break
-        named = lists.select(
-            F.lit(level).alias("length"), F.when(F.col("d") > F.lit(-(1 << 63)), F.col("d")).alias("doc_id"),
-            F.size("hs").cast("long").alias("windows"),
-        )
+        named = alive.select(
+            F.lit(level).alias("length"), given_id().alias("doc_id"), F.size("hs").cast("long").alias("windows")
+        )
         out = named if out is None else out.unionByName(named)
-        alive = rows.join(lists.select("d", F.explode("hs").alias("h")), ["d", "h"], "left_semi")
-        alive = alive.groupBy("d").agg(F.collect_list("a").alias("hs"))
         rows, level = _extended(texts, alive, level), level * 2
     return out if out is not None else docs.sparkSession.createDataFrame([], "length int, doc_id long, windows long")
 
@@ -189,4 +215,4 @@ def _extended(texts: DataFrame, alive: DataFrame, length: int) -> DataFrame:
             if doc:
                 yield pa.RecordBatch.from_arrays(_long_rows(doc, [one, two]), ["d", "a", "b"])
 
-    return texts.join(alive, "d").select("d", "text", "hs").mapInArrow(run, "d long, a long, b long")
+    return texts.hint("merge").join(alive, "d").select("d", "text", "hs").mapInArrow(run, "d long, a long, b long")
