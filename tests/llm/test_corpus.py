@@ -178,6 +178,14 @@ def test_substrings_on_the_table(spark):
     assert got == {r[0]: r for r in brute.substring(rows)}
 
 
+def test_substrings_of_an_id_with_several_texts(spark):
+    rnd = random.Random(6)
+    a, b = some_words(rnd, 60), some_words(rnd, 60)
+    rows = [(1, a), (2, b), (3, a), (3, b + " " + a), (4, b), (4, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted_rows(substring_dedup.remove_repeats(df)) == sorted(brute.substring(rows), key=lambda r: tuple((x is None, str(x)) for x in r))
+
+
 def test_repeats_double_until_none_survives(odd, odd_texts):
     got = {(r.length, r.doc_id): r.windows for r in substring_dedup.longest_repeats(odd, 5).collect()}
     want, length = {}, 10
