@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rasterloom.operators import nulls, quantiles, stats
+from rasterloom.operators import quantiles, stats
 
 
 def calibrate_floor(df, keys, score: str, ink: Column, blank: Column, fpr: float) -> DataFrame:

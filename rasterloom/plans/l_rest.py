@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Window, functions as F
 
-from rasterloom.operators import axis, depth, fields, masks, quantiles, ranking, spatial, stats
+from rasterloom.operators import axis, depth, fields, masks, quantiles, spatial, stats
 from rasterloom.plans.common import CALLED, r6, rounded
 from rasterloom.plans.c_joins import CHUNK
 from rasterloom.plans.d_core import AUC_SQL

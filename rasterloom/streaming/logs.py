@@ -47,20 +47,18 @@ def lru_cache(requests: DataFrame, client: str, key: str, size: str, order: str,
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = OrderedDict(zip(*state.get)) if state.exists else OrderedDict()
         total = sum(held.values())
-        for pdf in batches:
-            hits = []
-            pdf = pdf.sort_values(order)
-            for name, n in zip(pdf[key], pdf[size]):
-                if name in held:
-                    held.move_to_end(name)
-                    hits.append(True)
-                    continue
-                hits.append(False)
-                held[name] = int(n)
-                total += int(n)
-                while total > budget and len(held) > 1:
-                    total -= held.popitem(last=False)[1]
-            yield pd.DataFrame({client: k[0], order: pdf[order].to_numpy(), "hit": hits})
+        # a client's rows of one trigger come in several batches, in no order
+        rows, hits = pd.concat(list(batches)).sort_values(order), []
+        for name, n in zip(rows[key], rows[size]):
+            hits.append(name in held)
+            if hits[-1]:
+                held.move_to_end(name)
+                continue
+            held[name] = int(n)
+            total += int(n)
+            while total > budget and len(held) > 1:
+                total -= held.popitem(last=False)[1]
+        yield pd.DataFrame({client: k[0], order: rows[order].to_numpy(), "hit": hits})
         state.update((list(held.keys()), list(held.values())))
 
     return requests.groupBy(client).applyInPandasWithState(
