@@ -101,6 +101,18 @@ def test_private_data(spark, odd, none):
     assert pii.find_spans(odd, model).count() == odd.count()
 
 
+def test_redaction(spark, odd):
+    texts = ["mail é😀 a.b@c.d, or +1 (234) 555-0100!", "1.2.3.4", "4111 1111 1111 1111 and 4111.1111.1111.1111", "none", None, ""]
+    df = spark.createDataFrame([(k, t, 0) for k, t in enumerate(texts)], "doc_id long, text string, n_chars long").withColumn("row", F.lit("x"))
+    got = pii.redacted(df, pii.Model([], [], {}))
+    assert got.columns == df.columns
+    rows = {r.doc_id: r for r in got.collect()}
+    assert [rows[k].text for k in range(6)] == [
+        "mail é😀 [EMAIL], or [PHONE]!", "[IP]", "[CARD] and 4111.1111.1111.1111", "none", None, "",
+    ]
+    assert rows[1].n_chars == 4 and rows[4].n_chars is None
+
+
 def test_private_model_adds_what_looks_alike(spark):
     rnd = random.Random(5)
     rows = []
