@@ -1,14 +1,16 @@
-"""Line deduplication by content-defined chunks of lines.
-
-A rolling hash over the last line hashes sets chunk boundaries, so the same
-passage is cut alike wherever it stands. Chunks of several lines that occur in
-more than one document are fetched as text, compared byte by byte, and stay in the
-document of the smallest id only.
+"""Line deduplication by runs of lines, or by content-defined chunks of lines.
+
+A repeated run of lines is the union of its two-line windows, so ``dedup_runs`` looks
+at every window of two lines and finds runs of any length wherever they begin.
+``dedup_lines`` takes coarser pieces: a rolling hash over the last line hashes sets
+chunk boundaries, so the same passage is cut alike wherever it stands, but only whole
+chunks go. Pieces that occur in more than one document are fetched as text, compared
+byte by byte, and stay in the earliest document only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,97 +49,153 @@ def _digest(body: bytes) -> tuple[int, int]:
     return int.from_bytes(both[:8], "big", signed=True), int.from_bytes(both[8:], "big", signed=True)
 
 
-def _chunk_rows(rows: DataFrame, place: int, wanted: bool) -> DataFrame:
-    """``d, a, b`` (and ``body`` if wanted) of every multi-line chunk with a word, once per document.
+def chunk_bodies(text: str | None) -> Iterator[bytes]:
+    """Chunks of two lines or more with a word."""
+    return (body for n, has_word, body in chunks(text) if n >= 2 and has_word)
+
+
+def pairs(lines: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    """``(place, bytes)`` of every window of two lines with a word."""
+    word = [bool(x.strip()) for x in lines]
+    return ((k, lines[k] + b"\n" + lines[k + 1]) for k in range(len(lines) - 1) if word[k] or word[k + 1])
+
+
+def pair_bodies(text: str | None) -> Iterator[bytes]:
+    return (body for _, body in pairs((text or "").encode().split(b"\n")))
 
-    ``rows`` has ``d, row``, the text being field ``place`` of ``row``. With ``wanted``
-    it has ``hs`` too and only chunks listed there come out.
+
+Pieces = Callable[[str | None], Iterator[bytes]]
+
+
+def _piece_rows(rows: DataFrame, place: int, wanted: bool, pieces: Pieces) -> DataFrame:
+    """``d, h, a, b`` (and ``body`` if wanted) of every piece, once per document.
+
+    ``rows`` has ``d, h, row``, the text being field ``place`` of ``row``. With ``wanted``
+    it has ``hs`` too and only pieces listed there come out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, one, two, bodies = [], [], [], []
-            for k, (d, text) in enumerate(zip(batch.column(0), batch.column(1).field(place))):
-                only = set(batch.column(2)[k].as_py()) if wanted else None
+            doc, text_hash, one, two, bodies = [], [], [], [], []
+            for k, (d, h, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).field(place))):
+                only = set(batch.column(3)[k].as_py()) if wanted else None
                 seen = set()
-                for n, has_word, body in chunks(text.as_py()):
-                    if n < 2 or not has_word:
-                        continue
+                for body in pieces(text.as_py()):
                     a, b = _digest(body)
                     if (a, b) in seen or (only is not None and a not in only):
                         continue
                     seen.add((a, b))
-                    doc.append(d.as_py())
+                    doc.append(d)
+                    text_hash.append(h)
                     one.append(a)
                     two.append(b)
                     if wanted:
                         bodies.append(body)
-            columns = [pa.array(x, pa.int64()) for x in (doc, one, two)] + ([pa.array(bodies, pa.binary())] if wanted else [])
-            yield pa.RecordBatch.from_arrays(columns, ["d", "a", "b", *(["body"] if wanted else [])])
+            columns = [pa.array(x, pa.int64()) for x in (doc, text_hash, one, two)] + ([pa.array(bodies, pa.binary())] if wanted else [])
+            yield pa.RecordBatch.from_arrays(columns, ["d", "h", "a", "b", *(["body"] if wanted else [])])
 
-    return rows.mapInArrow(run, "d long, a long, b long" + (", body binary" if wanted else ""))
+    return rows.mapInArrow(run, "d long, h long, a long, b long" + (", body binary" if wanted else ""))
 
 
-def repeated_chunks(docs: DataFrame, texts: DataFrame, place: int) -> DataFrame:
-    """``d, gone``: per document its chunks that, byte by byte, a document of smaller id has too."""
-    alone = docs.select(order_id().alias("d"), F.struct("text").alias("row"))
-    rows = written(_chunk_rows(alone, 0, False), "line-chunks")
-    ends = rows.groupBy("a", "b").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+def repeated_pieces(docs: DataFrame, texts: DataFrame, place: int, pieces: Pieces) -> DataFrame:
+    """``d, h, gone``: per document its pieces that, byte by byte, an earlier document has too."""
+    alone = docs.select(order_id().alias("d"), F.xxhash64("text").alias("h"), F.struct("text").alias("row"))
+    rows = written(_piece_rows(alone, 0, False, pieces), "line-pieces")
+    at = F.struct("d", "h")
+    ends = rows.groupBy("a", "b").agg(F.min(at).alias("lo"), F.max(at).alias("hi"))
     shared = written(ends.where("lo < hi").select("a", "b"), "line-shared")
-    lists = rows.join(shared, ["a", "b"]).groupBy("d").agg(F.collect_list("a").alias("hs"))
+    lists = rows.join(shared, ["a", "b"]).groupBy("d", "h").agg(F.collect_set("a").alias("hs"))
     lists = written(lists, "line-lists")
     # merged, not broadcast: lists grow with the corpus
-    bodies = _chunk_rows(texts.hint("merge").join(lists, "d").select("d", "row", "hs"), place, True)
-    first = bodies.groupBy("a", "b", "body").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi")
+    wanted = texts.hint("merge").join(lists, ["d", "h"]).select("d", "h", "row", "hs")
+    bodies = _piece_rows(wanted, place, True, pieces)
+    first = bodies.groupBy("a", "b", "body").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).where("lo < hi")
     first = first.select(F.col("a").alias("a1"), F.col("body").alias("body1"), "lo")
-    # joined on half the hash, so that both sides are exchanged and a hot chunk can be split
+    # joined on half the hash, so that both sides are exchanged and a hot piece can be split
     equal = F.concat("body", F.lit(b"")) == F.col("body1")
-    again = bodies.join(first, (F.col("a") == F.col("a1")) & (F.col("d") > F.col("lo"))).where(equal)
-    return again.groupBy("d").agg(F.collect_list("a").alias("gone"))
+    again = bodies.join(first, (F.col("a") == F.col("a1")) & (at > F.col("lo"))).where(equal)
+    return again.groupBy("d", "h").agg(F.collect_set("a").alias("gone"))
+
+
+Left = Callable[[str | None, set[int]], tuple[int, int, bytes]]
+
+
+def _dedup(docs: DataFrame, pieces: Pieces, left: Left) -> DataFrame:
+    """``row, n_lines, n_removed, kept``: what ``left`` leaves of each text without its repeated pieces."""
+    place = docs.columns.index("text")
+    # both joins read one exchange of it
+    rows = docs.select(order_id().alias("d"), F.xxhash64("text").alias("h"), row_struct(docs))
+    gone = repeated_pieces(docs, rows, place, pieces)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [left(text.as_py(), set(hs.as_py() or ())) for text, hs in zip(batch.column(0).field(place), batch.column(1))]
+            columns = [pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)] + [pa.array([r[2].decode() for r in out], pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["row", "n_lines", "n_removed", "kept"])
+
+    full = rows.hint("merge").join(gone, ["d", "h"], "left").select("row", "gone")
+    kind = rows.schema["row"].dataType.simpleString()
+    return full.mapInArrow(run, f"row {kind}, n_lines long, n_removed long, kept string")
+
+
+def left_of_chunks(text: str | None, drop: set[int]) -> tuple[int, int, bytes]:
+    seen, out, n, cut = set(), [], 0, 0
+    for size, has_word, body in chunks(text):
+        n += size
+        if size >= 2 and has_word:
+            if body in seen or (drop and _digest(body)[0] in drop):
+                cut += size
+                continue
+            seen.add(body)
+        out.append(body)
+    return n, cut, b"\n".join(out)
+
+
+def left_of_runs(text: str | None, drop: set[int]) -> tuple[int, int, bytes]:
+    lines = (text or "").encode().split(b"\n")
+    first: dict[bytes, int] = {}
+    stay = [True] * len(lines)
+    for k, body in pairs(lines):
+        # a window that overlaps its first occurrence does not repeat it
+        if k - first.setdefault(body, k) >= 2 or (drop and _digest(body)[0] in drop):
+            stay[k] = stay[k + 1] = False
+    out = [x for x, s in zip(lines, stay) if s]
+    return len(lines), len(lines) - len(out), b"\n".join(out)
+
+
+def dedup_runs(docs: DataFrame) -> DataFrame:
+    """Remove every repeated run of two lines or more.
+
+    Returns ``row`` (a struct of all columns of ``docs``), ``n_lines, n_removed, kept``
+    per row, ``kept`` being the text that is left. Lines are parts between newlines. A
+    line goes if a window of two lines that it is in, with a word in at least one of
+    them, stands in an earlier document, or earlier in the same one without overlap; so
+    of a run with words every line goes, but for blank lines that have only blank lines
+    beside them. Documents are ordered by id, those with equal ids by a hash of their
+    text; rows equal in both are not earlier than each other. Windows are judged on the
+    input. Null and empty texts are one empty line and stay empty; a null id is smaller
+    than any other. An empty table gives no rows.
+    """
+    return _dedup(docs, pair_bodies, left_of_runs)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """Remove repeated multi-line chunks.
+    """Remove repeated multi-line chunks; coarser than ``dedup_runs``.
 
     Returns ``row`` (a struct of all columns of ``docs``), ``n_lines, n_removed, kept``
     per row, ``kept`` being the text that is left. Lines are parts between newlines; a
     chunk counts if it has two lines or more and a word. Of equal chunks the one in the
-    document of the smallest id stays, and the first one in it; rows with equal ids are
-    not earlier than each other. Chunks are judged on the input. Null and empty texts
+    document of the smallest id stays, and the first one in it; documents with equal ids
+    are ordered by a hash of their text, and rows equal in both are not earlier than each
+    other. Chunks are judged on the input. Null and empty texts
     are one empty line and stay empty; a null id is smaller than any other. An empty
     table gives no rows.
     """
-    place = docs.columns.index("text")
-    rows = docs.select(order_id().alias("d"), row_struct(docs))  # both joins read one exchange of it
-    gone = repeated_chunks(docs, rows, place)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lines, removed, kept = [], [], []
-            for text, hs in zip(batch.column(0).field(place), batch.column(1)):
-                drop = set(hs.as_py() or ())
-                seen, out, n, cut = set(), [], 0, 0
-                for size, has_word, body in chunks(text.as_py()):
-                    n += size
-                    if size >= 2 and has_word:
-                        if body in seen or (drop and _digest(body)[0] in drop):
-                            cut += size
-                            continue
-                        seen.add(body)
-                    out.append(body)
-                lines.append(n)
-                removed.append(cut)
-                kept.append(b"\n".join(out).decode())
-            columns = [batch.column(0), pa.array(lines, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "n_lines", "n_removed", "kept"])
-
-    full = rows.hint("merge").join(gone, "d", "left").select("row", "gone")
-    kind = rows.schema["row"].dataType.simpleString()
-    return full.mapInArrow(run, f"row {kind}, n_lines long, n_removed long, kept string")
+    return _dedup(docs, chunk_bodies, left_of_chunks)
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the texts that are left; documents of which no word is left go."""
-    left = dedup_lines(docs)
+    left = dedup_runs(docs)
     had, has = F.coalesce(F.col("row.text"), F.lit("")), F.col("kept")
     return with_text(left.where((F.col("n_removed") == 0) | has.rlike(r"[^\x20\x09-\x0D]") | (had == "")), docs, "kept")

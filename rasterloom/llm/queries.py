@@ -161,7 +161,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_line_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = line_dedup.dedup_lines(documents(spark, sf_dir))
+    left = line_dedup.dedup_runs(documents(spark, sf_dir))
     return left.select("row.doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 

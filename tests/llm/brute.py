@@ -51,6 +51,29 @@ def substring(rows, length=20):
     return out
 
 
+def line_runs(rows):
+    """What is left when every line of a run of two lines or more, with a word, that occurs before is gone."""
+    low = float("-inf")
+    order = sorted(rows, key=lambda r: low if r[0] is None else r[0])
+    lines = [(t or "").split("\n") for _, t in order]
+    out = []
+    for k, (i, _) in enumerate(order):
+        mine, gone = lines[k], set()
+        for e in range(k + 1):
+            if e < k and order[e] == order[k]:
+                continue
+            other = lines[e]
+            for a in range(len(mine)):
+                for b in range(len(other)):
+                    n = 0
+                    while a + n < len(mine) and b + n < len(other) and mine[a + n] == other[b + n] and not (e == k and b + n >= a):
+                        n += 1
+                    if n >= 2 and any(WORD.search(x) for x in mine[a : a + n]):
+                        gone |= set(range(a, a + n))
+        out.append((i, len(mine), len(gone), "\n".join(x for p, x in enumerate(mine) if p not in gone)))
+    return out
+
+
 def counts(text):
     w = words(text)
     seen, dup = set(), 0

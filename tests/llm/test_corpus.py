@@ -419,6 +419,33 @@ def test_lines(odd, odd_texts, none):
     assert left.columns == odd.columns and {r.n_chars for r in left.where("doc_id = 12").collect()} != {None}
 
 
+def test_every_repeated_run_of_lines_goes(spark, odd, odd_texts, none):
+    rnd = random.Random(12)
+    passage = [[some_words(rnd, 6) for _ in range(n)] for n in range(2, 9) for _ in range(6)]
+    rows, k = [], 100
+    for p in passage:  # planted in random surroundings, twice in other documents and in one of three twice in one
+        for times in (1, 1 + (k % 3 == 0)):
+            parts = [some_words(rnd, 6) for _ in range(3)]
+            for _ in range(times):
+                parts += [*p, some_words(rnd, 5), ""]
+            rows.append((k, "\n".join(parts)))
+            k += 1
+    rows += [(k, "a\na\na"), (k + 1, "b b\nb b\nb b\nb b\nc"), (k + 2, "d\n\ne"), (k + 3, "x\n\ne\nd\n\n\nf"), (k + 4, "\n \n\n"), (k + 5, "\n \n\n")]
+    more = spark.createDataFrame(rows, "doc_id long, text string")
+    df = odd.select("doc_id", "text").unionByName(more).repartition(3)
+    key = lambda r: str(r)
+    got = sorted(((r.row.doc_id, r.n_lines, r.n_removed, r.kept) for r in line_dedup.dedup_runs(df).collect()), key=key)
+    assert got == sorted(brute.line_runs(odd_texts + rows), key=key)
+    kept = {r[0]: r[3].split("\n") for r in got if r[0] is not None}
+    assert not any(line in kept[101 + 2 * n] for n, p in enumerate(passage) for line in p)
+    assert line_dedup.dedup_runs(none).count() == 0
+    # rows without an id are held against each other too
+    twice = [(None, "p q\nr s\nt u"), (None, "v w\nr s\nt u")]
+    left = line_dedup.dedup_runs(spark.createDataFrame(twice, "doc_id long, text string")).collect()
+    assert sum(r.n_removed for r in left) == 2
+    assert QUERIES["op9_line_dedup"](spark, SF).agg(F.sum("n_removed")).first()[0] > line_dedup.dedup_lines(documents(spark, SF)).agg(F.sum("n_removed")).first()[0]
+
+
 def test_line_chunks_resist_shifts():
     rnd = random.Random(8)
     body = [some_words(rnd, 5).encode() for _ in range(200)]
