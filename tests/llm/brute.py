@@ -93,8 +93,8 @@ def shingles(text, n=4):
     return frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
 
 
-def classes(rows, percent=85):
-    sets = {i: shingles(t) for i, t in rows}
+def classes(rows, percent=85, n=4):
+    sets = {i: shingles(t, n) for i, t in rows}
     ids = sorted(sets)
     root = {i: i for i in ids}
 

@@ -532,3 +532,27 @@ def test_pipeline_on_the_table(spark):
     texts = sorted(r.text for r in mixed.collect())
     out = corpus_pipeline.encode_stage(spark, mixed, SF)
     assert sorted(map(str, (r.ids for r in out.collect()))) == sorted(str(sp.encode(t)) for t in texts)
+
+
+def test_pipeline_near_stage_takes_five_words_at_80(spark):
+    rnd = random.Random(21)
+    seed = [f"w{rnd.randrange(10**6)}" for _ in range(300)]
+    rows = [(1, " ".join(seed))]
+    for k, (edits, gap) in enumerate([(5, 60), (6, 50), (7, 40), (9, 30)]):  # scattered
+        mine = list(seed)
+        for e in range(edits):
+            mine[7 + e * gap] = f"new{k}x{e}"
+        rows.append((10 + k, " ".join(mine)))
+    for k, length in enumerate((20, 26, 34)):  # in one place
+        other = [f"v{k}x{rnd.randrange(10**6)}" for _ in range(300)]
+        rows.append((20 + 2 * k, " ".join(other)))
+        rows.append((21 + 2 * k, " ".join(other[:100] + [f"z{k}x{j}" for j in range(length)] + other[100 + length :])))
+    full = [(i, t, "en", "a", len(t)) for i, t in rows]
+    near = corpus_pipeline.near_stage(spark, spark.createDataFrame(full, SCHEMA), SF)
+    want = {c for _, c in brute.classes(rows, percent=80, n=5).values()}
+    assert want != {c for _, c in brute.classes(rows).values()}
+    assert sorted(r.doc_id for r in near.collect()) == sorted(want)
+    lines = corpus_pipeline.line_stage(spark, documents(spark, SF), SF)
+    rows = [(r.doc_id, r.text) for r in lines.collect()]
+    near = corpus_pipeline.near_stage(spark, lines, SF)
+    assert sorted(r.doc_id for r in near.collect()) == sorted({c for _, c in brute.classes(rows, percent=80, n=5).values()})
