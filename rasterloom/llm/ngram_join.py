@@ -22,11 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rasterloom.llm.graph import roots
 from rasterloom.llm.hashing import signed, windows, word_hashes
-from rasterloom.llm.shared import NO_ID, order_id, release_shuffles, row_struct, written
+from rasterloom.llm.shared import NO_ID, SPACE, order_id, release_shuffles, row_struct, written
 
 #: Frequencies are kept for so many classes of hashes: 2 MB, whatever the corpus.
 FREQ_BITS, FREQ_ROW = 18, 1024
@@ -95,7 +95,7 @@ def folded(sig: np.ndarray, words: int) -> np.ndarray:
 
 
 def sketches(texts: DataFrame, n: int, percent: int, often) -> DataFrame:
-    """``doc_id, d, n, k1, k2, sig, prefix`` of every document; ``k1, k2`` name its set."""
+    """``doc_id, d, n, k1, k2, sig, prefix`` of every row; ``d`` is its key, ``k1, k2`` name its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = often.value
@@ -300,8 +300,12 @@ def links_in_cells(texts: DataFrame, members: DataFrame, sketch: DataFrame, n: i
 
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = often.value
+        last = None
         for batch in batches:
             for d, text, cells in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
+                if last is not None and d.as_py() == last:  # equal rows follow each other
+                    continue
+                last = d.as_py()
                 tokens = signed(rare_first(ngrams(text.as_py(), n), counts)[::-1])
                 rows = len(cells)
                 yield pa.RecordBatch.from_arrays(
@@ -329,25 +333,25 @@ def links_in_cells(texts: DataFrame, members: DataFrame, sketch: DataFrame, n: i
     return sets.mapInArrow(joined, "u long, v long").distinct()
 
 
-def similar_classes(docs: DataFrame, n: int = 4, percent: int = 85, hot_members: int = HOT_MEMBERS) -> DataFrame:
-    """Classes of documents joined by links between n-gram sets.
+def row_key() -> Column:
+    """Key of a row: a hash of its id and text, so that one id with several texts has several keys."""
+    return F.xxhash64(order_id(), F.coalesce("text", F.lit("")))
 
-    Words are parts between white space, A-Z lower-cased; a document's set holds its
-    distinct ``n``-word shingles, or its whole sequence if it has fewer words. Two
-    documents link when ``100 * intersection >= percent * union``. Returns ``doc_id,
-    n_shingles, component_id`` per row, ``component_id`` being the smallest id reachable.
 
-    Texts that are null or have no word have an empty set and are alone. A null id is
-    smaller than any other and is given back as null. Rows with equal ids are one node.
-    An empty table gives no rows. Other columns are ignored.
+def _classes(docs: DataFrame, n: int, percent: int, hot_members: int = HOT_MEMBERS) -> tuple[DataFrame, DataFrame]:
+    """``(rows, classes)``: ``doc_id, n, k1, k2`` per row, and ``e1, e2, first`` per set.
+
+    ``first`` has ``id, d``: the smallest id of the set's class and the key of a row
+    that has it.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), order_id().alias("d"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("d"), "text")
     often = spark.sparkContext.broadcast(frequencies(texts, n))  # 2 MB, fixed
     sketch = written(sketches(texts, n, percent, often), "ngram-sketches")
 
-    # equal sets are one node, named by their smallest document
-    equal = sketch.where("n > 0").groupBy("k1", "k2").agg(F.min("d").alias("rep"), F.max("d").alias("hi"))
+    # equal sets are one node, named by the smallest key of their rows; ids are labels for later
+    least = F.min(F.struct(order_id().alias("id"), "d")).alias("first")
+    equal = sketch.where("n > 0").groupBy("k1", "k2").agg(F.min("d").alias("rep"), F.max("d").alias("hi"), least)
     equal = written(equal, "ngram-equal")
     copies = sketch.select("d", "k1", "k2").join(equal.where("rep < hi").select(F.col("k1").alias("e1"), F.col("k2").alias("e2"), "rep"),
         (F.col("k1") == F.col("e1")) & (F.col("k2").bitwiseXOR(F.col("e2")) == 0) & (F.col("d") > F.col("rep")))
@@ -385,26 +389,48 @@ def similar_classes(docs: DataFrame, n: int = 4, percent: int = 85, hot_members:
 
     found = roots(links)
     classes = equal.join(found, F.col("rep") == F.col("u"), "left").select(
-        F.col("k1").alias("e1"), F.col("k2").alias("e2"), F.coalesce("v", "rep").alias("root")
+        F.col("k1").alias("e1"), F.col("k2").alias("e2"), F.coalesce("v", "rep").alias("root"), "first"
     )
-    # rows with equal ids are one node, whichever of their sets was compared
-    named = written(classes, "ngram-classes")
+    classes = written(classes, "ngram-classes")
+    firsts = classes.groupBy("root").agg(F.min("first").alias("first"))
+    named = written(classes.drop("first").join(firsts, "root").select("e1", "e2", "first"), "ngram-named")
+    return sketch.select("doc_id", "n", "k1", "k2"), named
+
+
+def similar_classes(docs: DataFrame, n: int = 4, percent: int = 85, hot_members: int = HOT_MEMBERS) -> DataFrame:
+    """Classes of documents joined by links between n-gram sets.
+
+    Words are parts between white space, A-Z lower-cased; a document's set holds its
+    distinct ``n``-word shingles, or its whole sequence if it has fewer words. Two
+    documents link when ``100 * intersection >= percent * union``. Returns ``doc_id,
+    n_shingles, component_id`` per row, ``component_id`` being the smallest id reachable.
+
+    Texts that are null or have no word have an empty set and are alone. A null id is
+    smaller than any other and is given back as null. Rows with equal ids are compared
+    each with its own text, and linked only if their texts are. An empty table gives no
+    rows. Other columns are ignored.
+    """
+    rows, named = _classes(docs, n, percent, hot_members)
     on = (F.col("k1") == F.col("e1")) & (F.col("k2").bitwiseXOR(F.col("e2")) == 0) & (F.col("n") > 0)
-    whole = sketch.select("doc_id", "d", "n", "k1", "k2").join(named, on, "left")
-    root = F.coalesce("root", "d")
-    return whole.select(
+    root = F.coalesce("first.id", order_id())
+    return rows.join(named, on, "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(root != F.lit(NO_ID), root).alias("component_id")
     )
 
 
 def one_per_class(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """The document of the smallest id of every class, with the columns of ``docs``.
+    """One row of every class, of its smallest id, with the columns of ``docs``.
 
-    Of rows with equal ids, which are one node, one stays.
+    Rows go only if another one stands for their class, whatever their ids; rows
+    without a word are alone and stay.
     """
-    classes = similar_classes(docs, n, percent)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(order_id().alias("k")).distinct()
-    rows = docs.select(order_id().alias("d"), F.xxhash64("text").alias("h"), row_struct(docs))
+    _, named = _classes(docs, n, percent)
+    kept = named.select(F.col("first.d").alias("k")).distinct()
+    word = F.coalesce("text", F.lit("")).rlike(f"[^{SPACE}]")
+    others = [f"`{c}`" for c, t in docs.dtypes if "map<" not in t]
+    rows = docs.where(word).select(row_key().alias("d"), F.xxhash64(*others).alias("h"), row_struct(docs))
     # merged, not broadcast: the list grows with the corpus
     stay = rows.hint("merge").join(kept, F.col("d") == F.col("k"), "left_semi")
-    return stay.groupBy("d").agg(F.min_by("row", "h").alias("row")).select("row.*")
+    # rows of one id and text, alike but for other columns
+    first = stay.groupBy("d").agg(F.min_by("row", "h").alias("row")).select("row.*")
+    return first.unionByName(docs.where(~word))

@@ -300,6 +300,33 @@ def test_ngram_nulls_and_repeats(odd):
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.where("doc_id = 18 or doc_id < 4").collect()) == [1, 18]
 
 
+def test_ngram_rows_that_share_an_id(spark):
+    rnd = random.Random(31)
+    texts = [some_words(rnd, 120) for _ in range(12)]
+    near = [" ".join([*t.split()[:60], f"changed{k}", *t.split()[61:]]) for k, t in enumerate(texts)]
+    rows = [(None, t) for t in texts[:6]] + [(7, t) for t in texts[6:]]  # different texts under one id or none
+    rows += [(20 + k, t) for k, t in enumerate(near[:9])] + [(7, near[9]), (None, near[10]), (None, near[10])]
+    rows += [(None, ""), (None, None), (7, " \n"), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("d", F.lit("clash")).repartition(4)
+    low = -1  # below all ids
+    want = brute.classes(list(enumerate(t for _, t in rows)))
+    label = {}
+    for k, (_, c) in want.items():
+        label[c] = min(label.get(c, 10**9), low if rows[k][0] is None else rows[k][0])
+    expected = sorted(str((rows[k][0], n, None if label[c] == low else label[c])) for k, (n, c) in want.items())
+    for _ in range(2):
+        got = ngram_join.similar_classes(df.repartition(3))
+        assert sorted(str(tuple(r)) for r in got.collect()) == expected
+    kept = ngram_join.one_per_class(df)
+    assert kept.columns == df.columns
+    left = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(left) == len(label) and len([t for _, t in left if not (t or "").strip()]) == 4
+    place = {t: k for k, (_, t) in enumerate(rows)}
+    classes = [want[place[t]][1] for _, t in left if (t or "").strip()]
+    assert len(set(classes)) == len(classes) == 12
+    assert all((low if i is None else i) == label[want[place[t]][1]] for i, t in left if (t or "").strip())
+
+
 def test_tree_finds_all_classes():
     rnd = random.Random(4)
     for percent in (60, 85):
