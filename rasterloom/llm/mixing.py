@@ -5,7 +5,8 @@ an integer so that every run and engine agrees; the point falls into the
 interval of cumulative target shares that belongs to a source. The slots of a
 source, ranked, take that source's blocks in turn. Blocks hold equally many words
 of the source's documents in a shuffled (hash) order, read at most
-``max_epochs`` times.
+``max_epochs`` times. A source whose target is a few blocks only would be missed by the
+points, or hit too often: it has shorter blocks of its own, in slots at even distances.
 
 Ranks and word offsets are running sums in levels: inside bounded chunks, over
 chunk totals, over totals of totals. No window ever holds all rows of a source.
@@ -25,6 +26,8 @@ CHUNK_ROWS, FAN = 500, 1000
 CELLS = 4096
 #: A block has at most this many words, and small corpora get about this many slots.
 BLOCK_WORDS, LEAST_SLOTS = 4096, 1 << 17
+#: A source with a target of fewer blocks than this gets about so many shorter ones.
+OWN_BLOCKS = 128
 
 
 def source_targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_epochs: int = 2) -> DataFrame:
@@ -87,6 +90,16 @@ def shuffle_key(seed: int = 0) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
+def has_own_blocks(block: int) -> Column:
+    return F.col("target") < OWN_BLOCKS * block
+
+
+def block_length(block: int) -> Column:
+    """Words of a block of the source with a ``target``."""
+    own = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("target") / OWN_BLOCKS).cast("long"))
+    return F.when(has_own_blocks(block), own).otherwise(F.lit(block).cast("long"))
+
+
 def mix(
     docs: DataFrame,
     weights=(5, 2, 1),
@@ -101,7 +114,8 @@ def mix(
     that the mix takes: ``slot, source, rank, block, doc_id, row_key, start, epoch,
     word_from, word_to`` (words of the document, end exclusive). ``placed`` has
     ``doc_id, source, rank, size, row_key, start, source_size, target`` per document;
-    ``start`` is its first word's place in its source.
+    ``start`` is its first word's place in its source. A slot that a source with blocks
+    of its own takes has the number of the slot that it stands beside.
 
     A null text has size 0 and is never taken; a null source is a source; documents
     with equal ids follow each other by size. Empty tables give empty results.
@@ -135,7 +149,8 @@ def mix(
     bounds = targets.where("target > 0").select("rank", lo.alias("lo"))
     bounds = bounds.withColumn("hi", F.coalesce(F.lead("lo").over(W.orderBy("rank")), F.lit(POINTS)))
     cell = POINTS // CELLS
-    cells = bounds.where("lo < hi").withColumn(
+    small = targets.where(F.col("target") > 0).where(has_own_blocks(block)).select("rank", block_length(block).alias("words"), "target")
+    cells = bounds.where("lo < hi").join(small.select("rank"), "rank", "left_anti").withColumn(
         "cell", F.explode(F.sequence(F.floor(F.col("lo") / cell), F.floor((F.col("hi") - 1) / cell)))
     )
     slots = docs.sparkSession.range(n_slots).select(
@@ -149,19 +164,25 @@ def mix(
     )
     n_parts = max(1, -(-n_slots // CHUNK_ROWS))
     ranked = running_total(hit, "rank", "part", n_parts, ["slot"], F.lit(1), "block").drop("part")
+    # small sources: as many blocks as come nearest to the target, at even distances
+    many = F.greatest(F.lit(1).cast("long"), F.round(F.col("target") / F.col("words")).cast("long"))
+    own = small.withColumn("many", many).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)))
+    beside = F.floor((2 * F.col("block") + 1) * n_slots / (2 * F.col("many"))).cast("long")
+    ranked = ranked.select("slot", "rank", "block").unionByName(own.select(beside.alias("slot"), "rank", "block"))
 
     # block parts of documents, once per epoch
-    at, size = F.col("at"), F.col("size")
+    at, size, words = F.col("at"), F.col("size"), F.col("words")
     parts = (
         placed.where("size > 0")
         .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))))
         .withColumn("at", F.col("epoch") * F.col("source_size") + F.col("start"))
-        .withColumn("block", F.explode(F.sequence(F.floor(at / block), F.floor((at + size - 1) / block))))
+        .withColumn("words", block_length(block))
+        .withColumn("block", F.explode(F.sequence(F.floor(at / words), F.floor((at + size - 1) / words))))
     )
     pieces = parts.join(ranked, ["rank", "block"]).select(
         "slot", "source", "rank", "block", "doc_id", "row_key", "start", "epoch",
-        F.greatest(F.col("block") * block - at, F.lit(0)).alias("word_from"),
-        F.least((F.col("block") + 1) * block - at, size).alias("word_to"),
+        F.greatest(F.col("block") * words - at, F.lit(0)).alias("word_from"),
+        F.least((F.col("block") + 1) * words - at, size).alias("word_to"),
     )
     return pieces, placed
 

@@ -421,6 +421,24 @@ def test_mix_reaches_targets(spark):
     assert all(abs(t - n) <= 0.02 * t + 50 for t, n in by.values())
 
 
+def test_mix_takes_small_sources(spark):
+    """Sources of less than a block up to a few hundred blocks of 256 words beside a large one."""
+    sizes = {f"s{k:02}": n for k, n in enumerate([3, 7, 20, 31, 90, 250, 256, 600, 1_000, 2_500, 6_000, 14_000, 30_000])} | {"large": 400_000}
+    rows = []
+    for s, n in sizes.items():
+        step = max(1, n // 40)
+        rows += [(len(rows) + k, " ".join(f"w{j}" for j in range(min(step, n - a))), "en", s, 1) for k, a in enumerate(range(0, n, step))]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    taken = mixing.taken_words(docs, block_words=256).join(docs.select("doc_id", "source"), "doc_id")
+    got = {r.source: (r.target, r.taken) for r in taken.groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()}
+    assert set(got) == set(sizes)
+    for s, (target, n) in got.items():
+        assert abs(target - n) <= 0.02 * target + 1, (s, target, n)
+    mixed = mixing.mixed_documents(docs, block_words=256)
+    words = {r.source: r.n for r in mixed.groupBy("source").agg(F.sum(n_words(F.col("text"))).alias("n")).collect()}
+    assert words == {s: n for s, (_, n) in got.items()}
+
+
 def mixing_rows(spark):
     docs = documents(spark, SF)
     taken = mixing.taken_words(docs)
