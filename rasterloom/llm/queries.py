@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rasterloom.llm import exact_dedup, line_dedup, mixing, ngram_join, pii, quality, sentencepiece_codec, sharding, substring_dedup, warc
+from rasterloom.llm import (
+    exact_dedup, language_id, line_dedup, merkle, mixing, ngram_join, pii, quality, sentencepiece_codec, sharding, substring_dedup, token_alignment, warc,
+)
 from rasterloom.llm.shared import documents, query
 
 #: Bytes of text in one shard.
@@ -179,3 +181,72 @@ FROM f"""
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def field_sql(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR) END"
+
+
+def leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(map(field_sql, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+#: Node rows hold a run's digests; trees are sources by their order, the tree over them is -1.
+MERKLE_SQL = f"""
+WITH RECURSIVE crc AS (
+  SELECT doc_id, CAST(doc_id AS VARCHAR) AS s, 0 AS i, 4294967295::BIGINT AS c FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+  UNION ALL
+  SELECT doc_id, s, i + 1, list_reduce([xor(c, CASE WHEN i % 9 = 0 THEN ord(s[i // 9 + 1]) ELSE 0 END), 0],
+    lambda x, y: CASE WHEN i % 9 = 0 THEN x WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) FROM crc WHERE i < 9 * length(s)),
+changed AS MATERIALIZED (SELECT doc_id FROM crc WHERE i = 9 * length(s) AND xor(c, 4294967295) % 5 = 0),
+doc AS MATERIALIZED (
+  SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, {leaf_sql("text")} AS leaf,
+         CASE WHEN doc_id IN (SELECT doc_id FROM changed)
+              THEN {leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {leaf_sql("text")} END AS proved
+  FROM documents),
+leafy AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM doc),
+low AS (
+  SELECT tree, 0 AS level, idx, n, leaf AS h, '' AS run FROM leafy
+  UNION ALL
+  SELECT tree, level + 1, idx // 16, (any_value(n) + 15) // 16, sha256(string_agg(h, '' ORDER BY idx)), string_agg(h, '' ORDER BY idx)
+  FROM low WHERE n > 1 GROUP BY tree, level, idx // 16),
+sub AS MATERIALIZED (SELECT tree AS idx, h, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS (
+  SELECT -1 AS tree, 0 AS level, idx, n, h, '' AS run FROM sub
+  UNION ALL
+  SELECT tree, level + 1, idx // 16, (any_value(n) + 15) // 16, sha256(string_agg(h, '' ORDER BY idx)), string_agg(h, '' ORDER BY idx)
+  FROM high WHERE n > 1 GROUP BY tree, level, idx // 16),
+node AS MATERIALIZED (
+  SELECT tree, level, idx, n, run FROM low WHERE level > 0 UNION ALL SELECT tree, level, idx, n, run FROM high WHERE level > 0),
+climb AS (
+  SELECT doc_id, leaf, tree AS own, tree, 0 AS level, idx, n, proved AS folded, '' AS others, row_number() OVER () AS i FROM leafy
+  UNION ALL
+  SELECT c.doc_id, c.leaf, c.own, node.tree, node.level, node.idx, node.n,
+         sha256(left(run, c.pos * 64) || c.folded || substr(run, c.pos * 64 + 65)), c.others || left(run, c.pos * 64) || substr(run, c.pos * 64 + 65), c.i
+  FROM (SELECT *, CASE WHEN n = 1 THEN own ELSE idx END % 16 AS pos FROM climb WHERE n > 1 OR (tree >= 0 AND (SELECT count(*) FROM sub) > 1)) c
+  JOIN node ON node.tree = CASE WHEN c.n > 1 THEN c.tree ELSE -1 END AND node.level = CASE WHEN c.n > 1 THEN c.level + 1 ELSE 1 END
+    AND node.idx = CASE WHEN c.n > 1 THEN c.idx ELSE c.own END // 16)
+SELECT c.doc_id, c.leaf, s.h AS subroot, r.h AS root, sha256(others) AS proof_sha256, folded AS folded_root, folded = r.h AS verified
+FROM climb c JOIN sub s ON s.idx = c.own JOIN (SELECT h FROM high WHERE n = 1) r ON true
+WHERE c.n = 1 AND (c.tree = -1 OR s.n = 1)"""
+
+
+@query("op11_merkle_manifest", MERKLE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return merkle.verify(docs, tampered, F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
+@query("op12_language_id")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without an id count as those of an empty one: remainder 0, not held out."""
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
+    return language_id.identify(documents(spark, sf_dir), held_out)
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path
+    return token_alignment.align(documents(spark, sf_dir), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
