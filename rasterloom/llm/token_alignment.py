@@ -26,7 +26,9 @@ from rasterloom.llm.sentencepiece_codec import portions, splits_at_markers
 from rasterloom.llm.shared import written
 
 #: Bytes of text in one block; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+#: Chunks that are encoded at once.
+PART = 2048
 #: A chunk starts at a space after a visible character, or at a line end between two: neither tokenizer crosses there.
 BREAK = re.compile("(?<=[!-~¡-ɏ])(?= |\n[!-~¡-ɏ])")
 #: Bits of a key that hold the byte end within a document.
@@ -83,11 +85,16 @@ class Coder:
 
     def encode(self, chunks: list[str]) -> list[pa.Array]:
         """Ids of each chunk, by A as it stands and by B, which puts a space in front of its own accord."""
-        a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
-        b = self.b.encode([c.removeprefix(" ") for c in chunks], num_threads=1)
-        # before a line end that space stands alone and goes again; a chunk of one space is what B calls an empty text
-        b = [(ids if len(c) > 1 else [self.lone]) if c[0] == " " else ids[1:] for c, ids in zip(chunks, b)]
-        return [pa.array(x, pa.list_(pa.int32())) for x in (a, b)]
+        parts = []
+        # in small parts: what the encoders return holds far more than the ids
+        for s in range(0, len(chunks), PART):
+            part = chunks[s : s + PART]
+            a = [e.ids for e in self.a.encode_batch_fast(part, add_special_tokens=False)]
+            b = self.b.encode([c.removeprefix(" ") for c in part], num_threads=1)
+            # before a line end that space stands alone and goes again; a chunk of one space is what B calls an empty text
+            b = [(ids if len(c) > 1 else [self.lone]) if c[0] == " " else ids[1:] for c, ids in zip(part, b)]
+            parts.append([pa.array(x, pa.list_(pa.int32())) for x in (a, b)])
+        return [pa.concat_arrays([p[k] for p in parts] or [pa.array([], pa.list_(pa.int32()))]) for k in (0, 1)]
 
 
 def _joined(lists: pa.ListArray, table: pa.Array) -> pa.Array:
