@@ -10,8 +10,8 @@ from rasterloom.llm import (
 )
 from rasterloom.llm.shared import documents, query
 
-#: Bytes of text in one shard.
-SHARD_BYTES = 256 << 20
+#: Bytes of text in one shard: small enough that shards of a few texts stand beside those of a single long one.
+SHARD_BYTES = 64 << 10
 
 
 @query(
