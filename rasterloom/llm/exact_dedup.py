@@ -3,14 +3,15 @@
 The index is a Parquet table bucketed and sorted by the SHA-256 of a text. A
 batch is reduced to one row per digest, anti-joined with the index by
 sort-merge (the index side is read bucket by bucket and is never shuffled), and
-the digests that are new are appended. Running a batch again after a failure
-appends nothing twice, because what was committed is no longer new.
+the digests that are new are appended under the batch's name. A batch that is run again under
+its name, because its output was lost, appends nothing twice and gets the same verdicts.
 """
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rasterloom.llm.shared import shared_folder, written
@@ -21,34 +22,51 @@ SCHEMA = "digest binary, keep_id bigint, batch string"
 class DigestIndex:
     """Digest index stored at ``path``; opening an existing path continues it.
 
-    ``buckets`` is fixed when the index is made and must be given again when it
-    is reopened with another number of shuffle partitions.
+    The number of buckets is kept beside the index; opening it with another one is an error.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark, self.path = spark, path
-        self.buckets = buckets or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.buckets = self._layout(buckets)
         self.table = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
             f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT, batch STRING) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
         )
 
+    def _layout(self, wanted: int | None) -> int:
+        side = f"{self.path.rstrip('/')}.layout"
+        try:
+            held = self.spark.read.schema("buckets int").parquet(side).first()
+        except AnalysisException:
+            held = None
+        if held is None:
+            buckets = wanted or max(16, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+            self.spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(side)
+            return buckets
+        if wanted not in (None, held.buckets):
+            raise ValueError(f"the index at {self.path} has {held.buckets} buckets, not {wanted}")
+        return held.buckets
+
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
         """Add a batch; one row per document, dropped ones too.
 
+        ``batch`` names the batch. The index is changed before the result exists, so a batch whose
+        output may get lost needs a name of its own: run again with the same rows under it,
+        it gives the same result. Without one every call is a new batch.
+
         Returns ``doc_id, keep_id, group_size, kept, text_sha256``. A text that the
-        index knows from an earlier batch keeps that batch's row, so all its new
+        index knows from another batch keeps that batch's row, so all its new
         copies are dropped. Of equal texts first seen in this batch the row with the
         largest id stays; ``group_size`` counts the batch's rows with that text.
         Null texts count as empty; a null id is smaller than any other. Rows that
         repeat an id and its text count each, and one of them stays. An empty batch
         gives no rows. Other columns of ``docs`` are ignored, whatever their names.
         """
-        batch = uuid.uuid4().hex
+        batch = batch or uuid.uuid4().hex
         rows = docs.select(
             F.col(id_col).cast("long").alias("doc_id"),
             F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("digest"),

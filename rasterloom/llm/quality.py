@@ -1,9 +1,10 @@
 """Quality rules: robust multivariate outliers per language and source.
 
 Every document gets counts and a vector of transformed statistics. Each group
-(language and source) gets a minimum-covariance-determinant estimate: starting
-from medians and median deviations, concentration steps keep the half of the
-group that is nearest and estimate from it again. A document is rejected if its
+(language and source) gets a minimum-covariance-determinant estimate: concentration
+steps keep the half of the group that is nearest and estimate from it again, until no determinant
+falls. Three starts, all from medians and median deviations, are tried for two steps, the one of least determinant
+goes on. A document is rejected if its
 Mahalanobis distance is beyond what a normal vector exceeds once in a million.
 
 Vectors are kept as integers (1024 to the unit), so sums are exact and every run,
@@ -38,11 +39,12 @@ FLOORS = {
     "punctuation": 0.20,  # log(0.05 + punctuation per word)
 }
 DIMS = len(FLOORS)
-#: Groups smaller than this are judged with the other small groups of their language.
-LEAST_GROUP = 20 * DIMS
+#: What a covariance of its own takes; groups smaller than this are judged with the other small groups of their language.
+LEAST_GROUP = 5 * DIMS
+#: Steps that every start gets, and by how much a determinant must fall to count as moved.
+TRIALS, MOVED = 2, 1e-9
 #: Tables of at most this many groups (about 0.5 kB each) are broadcast.
 BROADCAST_GROUPS = 10_000
-STEPS = 8
 
 
 def _without(data: bytes, chars: bytes) -> int:
@@ -149,8 +151,8 @@ def named(stats: DataFrame, names: DataFrame) -> DataFrame:
     return stats.join(_beside(names), on, "left").drop("l", "s")
 
 
-def _starts(rows: DataFrame) -> DataFrame:
-    """Per group the medians and scaled median deviations of each statistic, as an estimate."""
+def _medians(rows: DataFrame) -> DataFrame:
+    """Per group ``med`` and ``spread``: medians and scaled median deviations of each statistic, not below its floor."""
     hist = rows.select("gid", F.posexplode("v").alias("dim", "x")).groupBy("gid", "dim", "x").agg(F.count(F.lit(1)).alias("c"))
 
     def median(h: DataFrame, value: str, name: str) -> DataFrame:
@@ -166,20 +168,23 @@ def _starts(rows: DataFrame) -> DataFrame:
     med = median(hist, "x", "med")
     apart = hist.join(med, ["gid", "dim"]).groupBy("gid", "dim", F.abs(F.col("x") - F.col("med")).alias("a"))
     both = med.join(median(apart.agg(F.sum("c").alias("c")), "a", "mad"), ["gid", "dim"])
-    lists = both.groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("dim", "med", "mad"))).alias("s"))
+    floor = F.element_at(F.array(*[F.lit(f) for f in FLOORS.values()]), F.col("dim") + 1)
+    both = both.withColumn("spread", F.greatest(F.col("mad") * 1.4826 / UNIT, floor))
+    lists = both.groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("dim", "med", "spread"))).alias("s"))
+    return lists.select("gid", F.transform("s", lambda e: e["med"]).alias("med"), F.transform("s", lambda e: e["spread"]).alias("spread"))
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for gid, s in zip(pdf["gid"], pdf["s"]):
-                spread = np.maximum([r["mad"] * 1.4826 / UNIT for r in s], list(FLOORS.values()))
-                out.append((gid, [r["med"] / UNIT for r in s], (np.eye(DIMS) / spread**2).ravel().tolist(), float(np.prod(spread**2))))
-            yield pd.DataFrame(out, columns=["gid", "mu", "inv", "det"])
 
-    return lists.mapInPandas(run, ESTIMATE)
+def starts(rows: DataFrame) -> DataFrame:
+    """Three estimates ``k`` per group: from the half nearest to the medians by squares, by sums and by the largest of the scaled deviations."""
+    z = [F.abs(F.col("v")[i] - F.col("med")[i]) / UNIT / F.col("spread")[i] for i in range(DIMS)]
+    norms = [sum((x * x for x in z[1:]), z[0] * z[0]), sum(z[1:], z[0]), F.greatest(*z)]
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), _bin(n).alias("b")) for k, n in enumerate(norms)]))
+    medians = written(_medians(rows), "quality-medians")
+    placed = rows.join(_beside(medians), "gid").select("gid", "v", kinds.alias("e")).select("gid", "e.k", "v", "e.b")
+    return nearest_half(placed)
 
 
-ESTIMATE = "gid string, mu array<double>, inv array<double>, det double"
+ESTIMATE = "gid string, k int, mu array<double>, inv array<double>, det double"
 PAIRS = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
 
 
@@ -211,20 +216,19 @@ def _bin(d2: Column) -> Column:
     return F.floor(F.log1p(F.greatest(d2, F.lit(0.0))) * 64)
 
 
-def concentrate(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    """One concentration step: estimates from the nearest half of every group."""
-    placed = rows.join(_beside(estimate.select("gid", "mu", "inv")), "gid").select("gid", "v", _bin(distance()).alias("b"))
-    w = W.partitionBy("gid")
+def nearest_half(placed: DataFrame) -> DataFrame:
+    """Estimates from the nearest half of every group and start, ``placed`` being ``gid, k, v`` with a distance bin ``b``."""
+    w = W.partitionBy("gid", "k")
     cut = (
-        placed.groupBy("gid", "b").agg(F.count(F.lit(1)).alias("c"))
+        placed.groupBy("gid", "k", "b").agg(F.count(F.lit(1)).alias("c"))
         .withColumns({"_run": F.sum("c").over(w.orderBy("b")), "_all": F.sum("c").over(w)})
         .where(f"2 * _run >= _all + {DIMS + 1}")
-        .groupBy("gid")
+        .groupBy("gid", "k")
         .agg(F.min("b").alias("cut"))
     )
     cut = written(cut, "quality-cut")
-    near = placed.join(_beside(cut), "gid").where("b <= cut")
-    sums = near.groupBy("gid").agg(
+    near = placed.join(_beside(cut), ["gid", "k"]).where("b <= cut")
+    sums = near.groupBy("gid", "k").agg(
         F.count(F.lit(1)).alias("n"),
         F.array(*[F.sum(F.col("v")[i]) for i in range(DIMS)]).alias("s1"),
         F.array(*[F.sum(F.col("v")[i] * F.col("v")[j]) for i, j in PAIRS]).alias("s2"),
@@ -234,38 +238,54 @@ def concentrate(rows: DataFrame, estimate: DataFrame) -> DataFrame:
         floor = np.diag(np.square(list(FLOORS.values())))
         for pdf in batches:
             out = []
-            for gid, n, s1, s2 in zip(pdf["gid"], pdf["n"], pdf["s1"], pdf["s2"]):
+            for gid, k, n, s1, s2 in zip(pdf["gid"], pdf["k"], pdf["n"], pdf["s1"], pdf["s2"]):
                 # exact integers until the last division
                 cov = np.zeros((DIMS, DIMS))
                 for (i, j), s in zip(PAIRS, s2):
                     cov[i, j] = cov[j, i] = (int(s) * int(n) - int(s1[i]) * int(s1[j])) / (int(n) ** 2 * UNIT**2)
                 cov = cov * CONSISTENCY + floor
                 mu = [int(s) / (int(n) * UNIT) for s in s1]
-                out.append((gid, mu, np.linalg.inv(cov).ravel().tolist(), float(np.linalg.det(cov))))
-            yield pd.DataFrame(out, columns=["gid", "mu", "inv", "det"])
+                out.append((gid, k, mu, np.linalg.inv(cov).ravel().tolist(), float(np.linalg.det(cov))))
+            yield pd.DataFrame(out, columns=["gid", "k", "mu", "inv", "det"])
 
     return sums.mapInPandas(run, ESTIMATE)
 
 
-def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """Minimum-covariance-determinant estimates: steps until no group's determinant moves."""
-    now = written(_starts(rows), "quality-start")
-    for k in range(steps):
+def concentrate(rows: DataFrame, estimate: DataFrame) -> DataFrame:
+    """One concentration step for every estimate."""
+    beside = _beside(estimate.select("gid", "k", "mu", "inv"))
+    return nearest_half(rows.join(beside, "gid").select("gid", "k", "v", _bin(distance()).alias("b")))
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """Minimum-covariance-determinant estimates, one per group.
+
+    Of the three starts the one with the least determinant after ``TRIALS`` steps goes on (of equal ones
+    the first). A group is done when a step no longer lowers its determinant; what it had before stays. Every step lowers the
+    determinant of each group that is left, so the steps end, and only such groups are gone through again.
+    """
+    now = written(starts(rows), "quality-start")
+    for _ in range(TRIALS):
+        now = written(concentrate(rows, now), "quality-step")
+    best = F.min_by(F.struct("k", "mu", "inv", "det"), F.struct("det", "k")).alias("e")
+    now, done = written(now.groupBy("gid").agg(best).select("gid", "e.*"), "quality-step"), None
+    while True:
         after = written(concentrate(rows, now), "quality-step")
-        moved = after.join(now.select("gid", F.col("det").alias("was")), "gid").where("abs(det - was) > 1e-6 * was")
-        still = k > 0 and moved.isEmpty()
-        now = after
-        if still:
-            break
-    return now
+        fell = after.join(now.select("gid", F.col("det").alias("was")), "gid").where(f"det < was * (1 - {MOVED})").drop("was")
+        fell = written(fell, "quality-step")
+        still = now.join(fell.select("gid"), "gid", "left_anti")
+        done = still if done is None else done.unionByName(still)
+        if fell.isEmpty():
+            return written(done, "quality-estimates")
+        now = fell
 
 
-def fit(stats: DataFrame, least_group: int = LEAST_GROUP, steps: int = STEPS) -> tuple[DataFrame, DataFrame]:
+def fit(stats: DataFrame, least_group: int = LEAST_GROUP) -> tuple[DataFrame, DataFrame]:
     """Group names and estimates from all documents that pass the base rules."""
     good = stats.where("NOT base_failed")
     names = group_names(good, least_group)
     rows = written(named(good.select("lang", "source", "v"), names).where("gid IS NOT NULL").select("gid", "v"), "quality-vectors")
-    return names, estimates(rows, steps)
+    return names, estimates(rows)
 
 
 def verdicts(stats: DataFrame, names: DataFrame, found: DataFrame, tail: float) -> DataFrame:
@@ -276,7 +296,7 @@ def verdicts(stats: DataFrame, names: DataFrame, found: DataFrame, tail: float)
     return judged.withColumns({"distance": d2, "kept": ~F.col("base_failed") & within})
 
 
-def judge(docs: DataFrame, tail: float = 1e-6, least_group: int = LEAST_GROUP, steps: int = STEPS) -> DataFrame:
+def judge(docs: DataFrame, tail: float = 1e-6, least_group: int = LEAST_GROUP) -> DataFrame:
     """Counts and verdict per document.
 
     Returns ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
@@ -292,16 +312,16 @@ def judge(docs: DataFrame, tail: float = 1e-6, least_group: int = LEAST_GROUP, s
     An empty table gives no rows. Other columns are ignored.
     """
     stats = written(statistics(docs), "quality-stats")
-    names, found = fit(stats, least_group, steps)
+    names, found = fit(stats, least_group)
     return verdicts(stats, names, found, tail).select("row.doc_id", *COUNTS, "base_failed", "distance", "kept")
 
 
-def keep_good(docs: DataFrame, tail: float = 1e-6, least_group: int = LEAST_GROUP, steps: int = STEPS) -> DataFrame:
+def keep_good(docs: DataFrame, tail: float = 1e-6, least_group: int = LEAST_GROUP) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns.
 
     Estimates come first; then the texts are read once more and each row is judged
     where it stands, so texts are never shuffled and rows need no key.
     """
     stats = written(statistics(docs), "quality-stats")
-    names, found = fit(stats, least_group, steps)
+    names, found = fit(stats, least_group)
     return verdicts(statistics(docs, whole=True), names, found, tail).where("kept").select("row.*")

@@ -83,8 +83,26 @@ def test_digest_index_keeps_what_came_first(spark):
     assert second[5].kept and not second[4].kept and second[4].group_size == 2
     again = {r.doc_id: r for r in index.ingest(make([(5, "c")])).collect()}
     assert not again[5].kept and index.read().count() == 3
-    # the files alone are the index
-    assert exact_dedup.DigestIndex(spark, index.path, 4).read().count() == 3
+    # the files alone are the index, and they know their layout
+    assert exact_dedup.DigestIndex(spark, index.path).read().count() == 3
+    with pytest.raises(ValueError, match="4 buckets, not 8"):
+        exact_dedup.DigestIndex(spark, index.path, 8)
+
+
+def test_a_batch_may_run_again(spark):
+    """A batch whose output was lost gets the same verdicts under its name, and loses no row."""
+    index = exact_dedup.DigestIndex(spark, shared_folder(spark, "index"), 4)
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    first, later = make([(1, "a"), (2, "b"), (3, "b")]), make([(9, "b"), (8, "c")])
+    lost = sorted_rows(index.ingest(first, batch="monday"))
+    again = sorted_rows(index.ingest(first, batch="monday"))
+    assert again == lost and [r[3] for r in again] == [True, False, True]
+    assert index.read().count() == 2
+    tuesday = sorted_rows(index.ingest(later, batch="tuesday"))
+    assert [r[:4] for r in tuesday] == [(8, 8, 1, True), (9, 3, 1, False)]
+    # also after other batches have come
+    assert sorted_rows(index.ingest(first, batch="monday")) == lost
+    assert sorted_rows(exact_dedup.DigestIndex(spark, index.path).ingest(later, batch="tuesday")) == tuesday
 
 
 def test_private_data(spark, odd, none):
@@ -250,20 +268,91 @@ def test_robust_estimates_ignore_a_third_of_junk(spark):
     assert all(out[k] for k, *_ in clean) and not any(out[k] for k, *_ in junk)
 
 
+def plain_half(x, d):
+    """Estimate from the rows whose distance bin is among the nearest half's."""
+    bins = np.floor(np.log1p(np.maximum(d, 0)) * 64)
+    near = x[bins <= np.sort(bins)[-(-(len(x) + quality.DIMS + 1) // 2) - 1]]
+    cov = np.cov(near.T, bias=True) * quality.CONSISTENCY + np.diag(np.square(list(quality.FLOORS.values())))
+    return near.mean(0), cov, np.linalg.det(cov)
+
+
+def plain_distance(x, mu, cov):
+    return np.einsum("ij,jk,ik->i", x - mu, np.linalg.inv(cov), x - mu)
+
+
+def plain_estimate(v):
+    x = v / quality.UNIT
+    low = lambda a: np.sort(a, 0)[(len(a) + 1) // 2 - 1]
+    med = low(v)
+    spread = np.maximum(low(np.abs(v - med)) * 1.4826 / quality.UNIT, list(quality.FLOORS.values()))
+    z = np.abs(v - med) / quality.UNIT / spread
+    found = []
+    for d in ((z * z).sum(1), z.sum(1), z.max(1)):
+        e = plain_half(x, d)
+        for _ in range(quality.TRIALS):
+            e = plain_half(x, plain_distance(x, *e[:2]))
+        found.append(e)
+    e = min(found, key=lambda e: e[2])
+    while True:
+        after = plain_half(x, plain_distance(x, *e[:2]))
+        if not after[2] < e[2] * (1 - quality.MOVED):
+            return e
+        e = after
+
+
 def test_concentration_step_equals_numpy(spark):
     rnd = np.random.default_rng(1)
     v = np.rint(rnd.normal(0, 1, (301, quality.DIMS)) * quality.UNIT).astype(int)
     rows = spark.createDataFrame([("g", x.tolist()) for x in v], "gid string, v array<bigint>")
-    start = quality._starts(rows).first()
-    med = np.sort(v, 0)[150]
-    assert np.allclose(start.mu, med / quality.UNIT)
-    step = quality.concentrate(rows, quality._starts(rows)).first()
+    first = quality.starts(rows)
+    step = {r.k: r for r in quality.concentrate(rows, first).collect()}
+    assert len(step) == 3
     x = v / quality.UNIT
-    d2 = np.einsum("ij,jk,ik->i", x - start.mu, np.array(start.inv).reshape(quality.DIMS, -1), x - start.mu)
-    bins = np.floor(np.log1p(d2) * 64)
-    near = x[bins <= np.sort(bins)[(301 + quality.DIMS + 1 + 1) // 2 - 1]]
-    cov = np.cov(near.T, bias=True) * quality.CONSISTENCY + np.diag(np.square(list(quality.FLOORS.values())))
-    assert np.allclose(step.mu, near.mean(0)) and np.allclose(np.array(step.inv).reshape(quality.DIMS, -1), np.linalg.inv(cov))
+    for r in first.collect():
+        cov = np.linalg.inv(np.array(r.inv).reshape(quality.DIMS, -1))
+        mu, cov, det = plain_half(x, plain_distance(x, np.array(r.mu), cov))
+        assert np.allclose(step[r.k].mu, mu) and np.allclose(np.array(step[r.k].inv).reshape(quality.DIMS, -1), np.linalg.inv(cov))
+        assert np.isclose(step[r.k].det, det)
+
+
+def test_estimates_of_mixed_groups_equal_numpy(spark):
+    """Several groups, some with a large share of outliers, each to the end of its own steps."""
+    rnd = np.random.default_rng(4)
+    groups = {}
+    for g, (n, bad) in enumerate([(30, 0), (45, 20), (200, 90), (400, 10), (37, 37)]):
+        turn = rnd.normal(0, 1, (quality.DIMS, quality.DIMS))
+        v = rnd.normal(0, 1, (n, quality.DIMS)) @ turn
+        v[:bad] = v[:bad] * 0.3 + 6
+        groups[f"g{g}"] = np.rint(v * quality.UNIT).astype(int)
+    rows = spark.createDataFrame([(g, x.tolist()) for g, v in groups.items() for x in v], "gid string, v array<bigint>")
+    got = {r.gid: r for r in quality.estimates(rows).collect()}
+    assert set(got) == set(groups)
+    for g, v in groups.items():
+        mu, cov, det = plain_estimate(v)
+        assert np.isclose(got[g].det, det) and np.allclose(got[g].mu, mu)
+
+
+def test_kept_equals_a_plain_version(spark):
+    """Every language and source with enough documents has an estimate of its own, and it decides."""
+    sf = SF.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    stats = [(r.row.doc_id, r.lang, r.source, r.base_failed, r.v) for r in quality.statistics(docs).collect()]
+    groups, cut = {}, quality.chi2_quantile(1 - 1e-6, quality.DIMS)
+    for i, lang, source, failed, v in stats:
+        if not failed:
+            groups.setdefault((lang, source), []).append(v)
+    small = {k for k, v in groups.items() if len(v) < quality.LEAST_GROUP}
+    pooled = {}
+    for k in small:
+        pooled.setdefault(k[0], []).extend(groups[k])
+    own = {k: plain_estimate(np.array(v)) for k, v in groups.items() if k not in small}
+    of_lang = {k: plain_estimate(np.array(v)) for k, v in pooled.items() if len(v) >= quality.LEAST_GROUP}
+    assert len(own) >= 5 and len(of_lang) == 4
+    got = {r.doc_id: r for r in quality.judge(docs).collect()}
+    for i, lang, source, failed, v in stats:
+        e = own.get((lang, source)) or of_lang[lang]
+        d2 = plain_distance(np.array([v]) / quality.UNIT, *e[:2])[0]
+        assert np.isclose(got[i].distance, d2) and got[i].kept == (not failed and d2 <= cut)
 
 
 def test_chi_square_quantiles():
