@@ -11,7 +11,7 @@ from rasterloom.plans.common import r6, rounded
 from rasterloom.plans.d_depth import PEAK
 from rasterloom.plans.registry import CELL, query, with_plane, with_volume
 from rasterloom.session import scratch
-from rasterloom.sources import chunkstore, files, grids
+from rasterloom.sources import arraystore, chunkstore, files, grids
 
 SHAPE = (grids.VOL_D, grids.VOL_H, grids.VOL_W)
 HALF = (grids.VOL_D, grids.VOL_H // 2, grids.VOL_W // 2)
@@ -20,13 +20,19 @@ HALF = (grids.VOL_D, grids.VOL_H // 2, grids.VOL_W // 2)
 def stored(spark, sf):
     """The depth stacks as a two-level chunk store; depth is not downsampled."""
     path = scratch(spark, "store")
-    vol = grids.volume(spark, sf).select("seg", "z", "y", "x", "v")
-    coarse = vol.groupBy("seg", "z", F.floor(F.col("y") / 2).cast("int").alias("y"), F.floor(F.col("x") / 2).cast("int").alias("x")).agg(
-        F.floor(F.avg("v")).cast("int").alias("v")
+    levels = F.array(
+        *[
+            F.struct(F.lit(k).alias("level"), F.lit(1 << k).alias("step"), F.array(*map(F.lit, shape)).cast("array<long>").alias("shape"))
+            for k, shape in enumerate((SHAPE, HALF))
+        ]
     )
-    for level, (cells, shape) in enumerate(((vol, SHAPE), (coarse, HALF))):
-        packed = spatial.chunked(cells, *CHUNK).select(F.col("seg").alias("vol"), F.lit(level).alias("level"), "cz", "cy", "cx", "data")
-        chunkstore.write_chunks(packed, path, shape, CHUNK)
+    cells = grids.volume(spark, sf).where("v > 0").select(F.col("seg").alias("vol"), "z", "y", "x", "v", F.explode(levels).alias("l"))
+    at = lambda c: F.floor(F.col(c) / F.col("l.step")).cast("int").alias(c)
+    # a coarse cell is the mean of its four, unwritten ones included
+    mean = F.floor(F.sum("v") / F.first(F.col("l.step") * F.col("l.step"))).cast("int").alias("v")
+    cells = cells.groupBy("vol", "l.level", "l.shape", "z", at("y"), at("x")).agg(mean)
+    cells = cells.withColumn("chunks", F.array(*map(F.lit, CHUNK)).cast("array<long>"))
+    arraystore.write(arraystore.pack(cells), path)
     return path
 
 
@@ -68,11 +74,8 @@ SELECT seg AS vol, level, count(*) FILTER (v > 0) AS cells, CAST(sum(v) AS BIGIN
 )
 def a04(spark, sf):
     path = stored(spark, sf)
-    out = []
-    for level, shape in ((0, SHAPE), (1, HALF)):
-        cells = chunkstore.voxels(chunkstore.read_chunks(spark, path).where(F.col("level") == level), shape, CHUNK)
-        out.append(cells)
-    every = out[0].unionByName(out[1])
+    every = arraystore.voxels(arraystore.read(arraystore.wanted(arraystore.levels(spark, path)), path), keep_zero=False)
+    every = every.withColumn("v", F.col("v").cast("int"))
     moment = F.col("v") * (F.col("z") + 1) * (F.col("y") + 3) * (F.col("x") + 7)
     return every.groupBy("vol", "level").agg(
         F.count_if(F.col("v") > 0).alias("cells"), F.sum("v").alias("mass"), F.sum(moment).alias("moment")
