@@ -100,10 +100,12 @@ def levels(spark: SparkSession, root: str) -> DataFrame:
                 attrs = _json(fs, f"{base}/{vol}/.zattrs") or {}
                 sets = attrs.get("multiscales") or [{}]
                 paths = [d["path"] for d in sets[0].get("datasets", []) if isinstance(d.get("path"), str)] if isinstance(sets[0], dict) else []
+                ranked = list(enumerate(paths))
                 if not paths:
+                    # a folder's number is its level: one that holds nothing is missing, and the others keep theirs
                     held = fs.get_file_info(pafs.FileSelector(f"{base}/{vol}"))
-                    paths = sorted((i.base_name for i in held if i.base_name.isdigit()), key=int)
-                for i, name in enumerate(paths):
+                    ranked = sorted((int(i.base_name), i.base_name) for i in held if i.base_name.isdigit())
+                for i, name in ranked:
                     meta = _json(fs, f"{base}/{vol}/{name}/.zarray")
                     if meta is not None and len(meta["shape"]) in (2, 3):
                         out.append(_level(vol, i, f"{vol}/{name}", meta))
@@ -228,7 +230,7 @@ def _cells(parts: list) -> pa.RecordBatch:
 
 
 def pack(cells: DataFrame, dtype: str = "u1", run_bytes: int = 1 << 20) -> DataFrame:
-    """Cells ``vol, level, z, y, x, v`` with ``shape`` and ``chunks`` (arrays) as chunks; those without any value are not made.
+    """Cells ``vol, level, z, y, x, v`` with ``shape`` and ``chunks`` (arrays) as chunks; those without any value are not made, nor levels without any.
 
     Runs of neighbouring chunks, about ``run_bytes`` together, are filled in one call, so small chunks do not cost a call each
     and a task never holds a plane.

@@ -51,6 +51,13 @@ def test_mixed_shapes_in_one_read(spark, store):
     assert tiny.rdd.getNumPartitions() > 10
 
 
+def test_a_level_without_values_leaves_the_others_their_numbers(spark, tmp_path):
+    a = np.zeros((2, 4, 4), int)
+    both = cells_of(spark, {"v": a}, {"v": (2, 2, 2)}).unionByName(cells_of(spark, {"v": a + 3}, {"v": (2, 2, 2)}, level=1))
+    assert arraystore.write(arraystore.pack(both), str(tmp_path)) == 4
+    assert [r.level for r in arraystore.levels(spark, str(tmp_path)).collect()] == [1]
+
+
 def test_windows_by_each_sidecar(spark, store):
     path, arrays, _ = store
     levels = arraystore.levels(spark, path)
