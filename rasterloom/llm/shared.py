@@ -32,18 +32,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: The folder of a local master that names none.
+_LOCAL: list[str] = []
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A name for a fresh folder below ``spark.checkpoint.dir``.
 
-    A local master without that setting gets a temporary folder once per
-    session; there the driver's disk is the shared disk.
+    A local master without that setting gets one temporary folder; there the driver's disk is the shared disk.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="corpus-", dir=os.environ.get("TMPDIR"))
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _LOCAL:
+            _LOCAL.append("file://" + tempfile.mkdtemp(prefix="corpus-", dir=os.environ.get("TMPDIR")))
+        base = _LOCAL[0]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
