@@ -3,12 +3,16 @@
 Base spans follow fixed formats and checks and always stay. Generators propose more
 spans of the same kinds in looser formats, overlapping each other. Gradient
 boosted trees score every candidate by its format and context; per kind, the
-lowest score at which held-out candidates are right often enough selects.
+lowest score above which held-out candidates are right often enough selects.
 
-Labels need no annotation: candidates that are base spans are right, candidates
-that fail the check of their kind are wrong, all other candidates stay unlabelled and
-are only scored. Everything is expressions over one row, so texts never move; the
-trees become one expression.
+Labels need no annotation. Right are base spans; wrong are candidates that fail the check
+of their kind, that lie across a base span of another kind, or that a word such as ``version``
+or ``token`` announces as something else. The last two pass the check, so the
+trees choose among plausible candidates. All others stay unlabelled and are only scored.
+
+Everything is expressions over one row, so texts never move and are searched once; spans
+are sorted and swept, so the work of a text grows with its spans, not with their
+square. The trees become one expression.
 """
 
 from __future__ import annotations
@@ -17,9 +21,9 @@ from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from rasterloom.llm.shared import row_struct, with_text, written
+from rasterloom.llm.shared import discard, row_struct, with_text, written
 
 KINDS = ["email", "ip", "card", "phone"]
 # The base formats. Possessive quantifiers match the same, since nothing
@@ -39,7 +43,10 @@ AT, DOT = r"(?:@|\((?:at|AT)\)|\[(?:at|AT)\])", r"(?:\.|\((?:dot|DOT)\)|\[(?:dot
 LOOSE = [
     ("email", rf"(?<!{LOCAL}){LOCAL}++\x20?{AT}\x20?{LABEL}++(?:\x20?{DOT}\x20?{LABEL}++)*+", r"@|\([aA][tT]\)|\[[aA][tT]\]"),
     ("ip", r"(?<![0-9.])[0-9]{1,4}+(?:(?:\.|\[\.\])[0-9]{1,4}+){3}+(?![0-9])", r"[0-9](?:\.|\[\.\])[0-9]"),
-    ("card", r"(?<![0-9])[0-9]{4}+(?:[\x20.-]?[0-9]{4}+){2,3}+(?:[\x20.-]?[0-9]{1,3}+)?+(?![0-9])", r"[0-9]{4}"),
+    ("card", r"(?<![0-9])[0-9]{14,19}+(?![0-9])", r"[0-9]{14}"),
+    ("card", r"(?<![0-9])[0-9]{4}(?:[\x20.-][0-9]{4}){3}+(?![0-9])", r"[0-9]{4}[\x20.-][0-9]{4}[\x20.-]"),
+    ("card", r"(?<![0-9])[0-9]{4}(?:[\x20.-][0-9]{4}){3}+[\x20.-]?[0-9]{1,3}+(?![0-9])", r"[0-9]{4}[\x20.-][0-9]{4}[\x20.-]"),
+    ("card", r"(?<![0-9])[0-9]{4}[\x20.-][0-9]{6}[\x20.-][0-9]{5}(?![0-9])", r"[0-9]{4}[\x20.-][0-9]{6}"),
     ("phone", r"(?<![0-9+])(?:\+?[0-9]{1,3}[\x20.-])?\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])", r"[0-9]{4}"),
     ("phone", r"\+[0-9][\x20().0-9-]{3,40}[0-9]", r"\+[0-9]"),
 ]
@@ -50,33 +57,49 @@ KEYWORDS = [
     r"(?i)(?:card|visa|credit|pay|account)",
     r"(?i)(?:token|key|hash|version|build|order|=)",
 ]
-#: Documents that the sample for training and calibration takes at most, on average.
-SAMPLE_DOCS = 20_000
+#: What announces something else, right before a candidate.
+OTHERWISE = r"(?i)(?:token|key|hash|version|build|order|commit|sha|uuid|isbn|serial|\bv)[\s\p{Punct}]{0,3}$"
+#: Labelled candidates that training takes at most of a kind and label, on average.
+SAMPLE_ROWS = 20_000
 TREES, DEPTH = 12, 3
-#: Share of right ones among held-out candidates above a threshold, and how many it takes to tell.
-PRECISION, LEAST_RIGHT = 0.98, 20
+#: Share of right ones among held-out candidates above a threshold.
+PRECISION = 0.95
+#: Candidates of all kinds that a kind's own share is drawn towards, and steps of the score.
+WEIGHT, BINS = 20, 1000
 
 
-def prefix_sums(values: Column, chunk: int = 256) -> Column:
-    """Inclusive running sums of an array, in chunks so that long arrays stay cheap."""
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
 
-    def run(a: Column) -> Column:
-        zero = F.array(F.lit(0).cast("long"))
-        sums = F.aggregate(a, zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-        return F.filter(sums, lambda x, i: i > 0)
+def scan(values: Column, start: Column, step, kind: str, chunk: int = 256) -> Column:
+    """The states of a left fold, one per element, of SQL type ``kind``.
 
-    n = F.size(values)
+    Arrays can only be appended to by copying, so states are gathered in pieces.
+    """
 
-    def piece(c: Column) -> Column:
-        last = F.least((c + 1) * chunk, n) - 1
-        return F.transform(F.sequence(c * chunk, last), lambda k: F.get(values, k))
+    def piece(part: Column, state: Column) -> Column:
+        zero = F.struct(state.alias("s"), F.array().cast(f"array<{kind}>").alias("o"))
+        follow = lambda a, x: let(step(a["s"], x), lambda s: F.struct(s.alias("s"), F.concat(a["o"], F.array(s)).alias("o")))
+        return F.aggregate(part, zero, follow)
 
-    parts = F.transform(
-        F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int")), lambda c: run(piece(c))
-    )
-    totals = run(F.transform(parts, lambda p: F.element_at(p, -1)))
-    lifted = F.zip_with(parts, totals, lambda p, t: F.transform(p, lambda x: x + t - F.element_at(p, -1)))
-    return F.when(n > 0, F.flatten(lifted)).otherwise(F.array().cast("array<long>"))
+    def whole(v: Column) -> Column:
+        zero = F.struct(start.cast(kind).alias("s"), F.array().cast(f"array<array<{kind}>>").alias("o"))
+        follow = lambda a, c: let(
+            piece(F.slice(v, c * chunk + 1, F.lit(chunk)), a["s"]),
+            lambda r: F.struct(r["s"].alias("s"), F.concat(a["o"], F.array(r["o"])).alias("o")),
+        )
+        parts = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / chunk).cast("int"))
+        done = F.flatten(F.aggregate(parts, zero, follow)["o"])
+        return F.when(F.size(v) > 0, done).otherwise(F.array().cast(f"array<{kind}>"))
+
+    return let(values, whole)
+
+
+def prefix_sums(values: Column, chunk: int = 256) -> Column:
+    """Inclusive running sums of an array."""
+    return scan(values, F.lit(0), lambda total, x: (total + x).cast("long"), "bigint", chunk)
 
 
 SPAN = "array<struct<start:bigint,end:bigint,value:string,before:string,after:string>>"
@@ -151,10 +174,37 @@ def _named(spans: Column, kind: str) -> Column:
     )
 
 
+def reaches(base: Column, loose: Column) -> Column:
+    """Per candidate, the farthest end of each kind's base spans that begin before it ends.
+
+    A candidate meets a base span of a kind just if that end lies behind its start. Starts of base
+    spans and ends of candidates are swept together.
+    """
+    opens = F.transform(
+        base, lambda b: F.struct(b["start"].alias("pos"), F.lit(1).alias("opens"), F.lit(0).alias("at"), b["kind"].alias("kind"), b["end"].alias("end"))
+    )
+    closes = F.transform(
+        loose, lambda c, i: F.struct(c["end"].alias("pos"), F.lit(0).alias("opens"), i.alias("at"), c["kind"].alias("kind"), F.lit(0).cast("long").alias("end"))
+    )
+    step = lambda far, e: F.transform(
+        far, lambda v, k: F.when((e["opens"] == 1) & (e["kind"] == k), F.greatest(v, e["end"])).otherwise(v)
+    )
+    nothing = F.array(*[F.lit(0).cast("long") for _ in KINDS])
+
+    def swept(events: Column) -> Column:
+        both = F.zip_with(
+            events, scan(events, nothing, step, "array<bigint>"), lambda e, far: F.struct(e["at"].alias("at"), e["opens"].alias("opens"), far.alias("far"))
+        )
+        return F.transform(F.array_sort(F.filter(both, lambda r: r["opens"] == 0)), lambda r: r["far"])
+
+    return let(F.array_sort(F.concat(opens, closes)), swept)
+
+
 def base_and_candidates(docs: DataFrame, whole: bool = False) -> DataFrame:
     """``doc_id, base, loose``: checked base spans by start, and all proposed spans with the base matches that fail.
 
-    With ``whole``, ``row`` holds all columns of ``docs``.
+    A proposed span tells whether it is ``valid`` and meets a base span of its own kind
+    (``own``) or another (``other``). With ``whole``, ``row`` holds all columns of ``docs``.
     """
     keep = [row_struct(docs)] if whole else []
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *keep)
@@ -166,12 +216,25 @@ def base_and_candidates(docs: DataFrame, whole: bool = False) -> DataFrame:
 
     bad = [checked(k, False) for k in KINDS]
     more = [_named(F.col(f"l{k}"), kind) for k, (kind, _, _) in enumerate(LOOSE)]
-    return df.select(
+    once = lambda a: F.filter(a, lambda c, i: (i == 0) | (c != F.get(a, i - 1)))
+    df = df.select(
         "doc_id",
         *(["row"] if whole else []),
         F.array_sort(F.concat(*[checked(k, True) for k in KINDS])).alias("base"),
-        F.array_distinct(F.concat(*bad, *more)).alias("loose"),
+        let(F.array_sort(F.concat(*bad, *more)), once).alias("loose"),
     )
+    passes = lambda c: reduce(lambda a, b: a | b, [(c["kind"] == i) & valid(k, c["value"]) for i, k in enumerate(KINDS)])
+    more = F.zip_with(
+        "loose",
+        reaches(F.col("base"), F.col("loose")),
+        lambda c, far: F.struct(
+            *[c[x].alias(x) for x in ("start", "kind", "end", "value", "before", "after")],
+            passes(c).alias("valid"),
+            (F.get(far, c["kind"]) > c["start"]).alias("own"),
+            F.exists(F.transform(far, lambda v, k: (k != c["kind"]) & (v > c["start"])), lambda x: x).alias("other"),
+        ),
+    )
+    return df.withColumn("loose", more)
 
 
 def features(c: Column) -> Column:
@@ -194,12 +257,15 @@ def features(c: Column) -> Column:
 
 
 def labelled(spans: DataFrame) -> DataFrame:
-    """``doc_id, kind, label, f`` of candidates that are known to be right (base) or wrong (check fails)."""
-    base = spans.select("doc_id", F.explode("base").alias("c")).withColumn("label", F.lit(1.0))
-    loose = spans.select("doc_id", F.explode("loose").alias("c"))
-    fails = reduce(lambda a, b: a | b, [(F.col("c.kind") == i) & ~valid(k, F.col("c.value")) for i, k in enumerate(KINDS)])
-    both = base.unionByName(loose.where(fails).withColumn("label", F.lit(0.0)))
-    return both.select("doc_id", "c.kind", "c.start", "label", features(F.col("c")).alias("f"))
+    """``kind, label, f, h`` of candidates that are known to be right or wrong; ``h`` hashes kind and value."""
+    doubtful = lambda c: c["before"].rlike(OTHERWISE)
+    right = F.filter("base", lambda c: ~doubtful(c))
+    wrong = F.filter("loose", lambda c: ~c["valid"] | c["other"] | (doubtful(c) & ~c["own"]))
+    tagged = lambda a, label: F.transform(
+        a, lambda c: F.struct(c["kind"].alias("kind"), F.lit(label).alias("label"), c["value"].alias("value"), c["before"].alias("before"), c["after"].alias("after"))
+    )
+    rows = spans.select(F.explode(F.concat(tagged(right, 1.0), tagged(wrong, 0.0))).alias("c"))
+    return rows.select("c.kind", "c.label", features(F.col("c")).alias("f"), F.xxhash64("c.kind", "c.value").alias("h"))
 
 
 def tree_expression(node, f: Column) -> Column:
@@ -222,39 +288,84 @@ class Model:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * margin))
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, precision: float = PRECISION, seed: int = 1) -> Model:
-    """Train on four fifths of a sample of documents, calibrate on the rest.
+def thresholds(counts: list[tuple[int, int, int, int]], precision: float) -> dict[int, float]:
+    """Per kind, the least score above which enough is right, of ``(kind, bin, right, n)``.
 
-    The sample takes documents by a hash of their id, ``sample_docs`` on average at
-    most. A kind with fewer than ``LEAST_RIGHT`` right held-out candidates above any
-    threshold gets none, so nothing of it is added.
+    A kind's share of right candidates is drawn towards that of all kinds as if it had
+    ``WEIGHT`` more of theirs; so a rare kind follows all kinds, a frequent one itself,
+    and none is switched off for want of rows.
     """
-    n = docs.count()
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)), F.lit(1_000_000))
-    sample = docs.where(place < int(1_000_000 * min(1.0, sample_docs / max(n, 1))))
-    # written first: exploding the spans directly would search the texts once per filter on them
-    rows = written(labelled(written(base_and_candidates(sample), "pii-spans")), "pii-sample")
-    held = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(5)) == 0
-    # in a fixed order and one partition, so that every run fits the same trees
-    train = rows.where(~held).orderBy("doc_id", "start", "kind").coalesce(1)
-    classes = train.select("label").distinct().count()
-    if classes < 2:
+    right, n = ({k: [0] * (BINS + 1) for k in range(len(KINDS))} for _ in "rn")
+    for kind, at, r, m in counts:
+        right[kind][at] += r
+        n[kind][at] += m
+    out, r, m = {}, [0] * len(KINDS), [0] * len(KINDS)
+    for at in range(BINS, -1, -1):
+        for k in right:
+            r[k] += right[k][at]
+            m[k] += n[k][at]
+        pooled = (sum(r) + 0.5) / (sum(m) + 1)
+        for k in right:
+            if r[k] + WEIGHT * pooled >= precision * (m[k] + WEIGHT) and sum(m):
+                out[k] = at / BINS
+    return out
+
+
+def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, precision: float = PRECISION, seed: int = 1) -> Model:
+    """Train and calibrate on the candidates of ``docs``, see ``fit_spans``."""
+    spans = written(base_and_candidates(docs), "pii-spans")
+    model = fit_spans(spans, sample_rows, precision, seed)
+    discard(spans)
+    return model
+
+
+def fit_spans(spans: DataFrame, sample_rows: int = SAMPLE_ROWS, precision: float = PRECISION, seed: int = 1) -> Model:
+    """Train on four fifths of the labelled values, calibrate on all candidates with the others.
+
+    Training takes a sample by a hash of the value, ``sample_rows`` of a kind and label on
+    average at most; calibration counts every held-out candidate. Without right or
+    without wrong candidates nothing can be learned and the model adds nothing.
+    """
+    rows = written(labelled(spans), "pii-labelled")
+    held = F.pmod(F.xxhash64("h", F.lit(seed + 1)), F.lit(5)) == 0
+    sizes = rows.where(~held).groupBy("kind", "label").count().collect()
+    if len({r["label"] for r in sizes}) < 2:
+        discard(rows)
         return Model([], [], {})
+    place = F.pmod(F.xxhash64("h", F.lit(seed)), F.lit(1_000_000))
+    share = reduce(
+        lambda a, b: a | b,
+        [(F.col("kind") == r["kind"]) & (F.col("label") == r["label"]) & (place < int(1_000_000 * min(1.0, sample_rows / r["count"]))) for r in sizes],
+    )
+    # in a fixed order and one partition, so that every run fits the same trees
+    train = rows.where(~held & share).orderBy("kind", "label", "f").coalesce(1)
     fitted = GBTClassifier(
         featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=seed, cacheNodeIds=False
     ).fit(train.select("label", array_to_vector("f").alias("features")))
     roots = [t._call_java("rootNode") for t in fitted.trees]
     model = Model(roots, list(fitted.treeWeights), {})
-    scored = rows.where(held).select("kind", "label", model.score(F.col("f")).alias("p"))
-    # equal scores stand or fall together
-    steps = scored.groupBy("kind", "p").agg(F.sum("label").alias("right"), F.count(F.lit(1)).alias("n"))
-    above = W.partitionBy("kind").orderBy(F.desc("p"))
-    steps = steps.withColumns({"right": F.sum("right").over(above), "n": F.sum("n").over(above)})
-    good = steps.where((F.col("right") >= precision * F.col("n")) & (F.col("right") >= LEAST_RIGHT))
-    model.thresholds = {r["kind"]: r["t"] for r in good.groupBy("kind").agg(F.min("p").alias("t")).collect()}
+    scored = rows.where(held).select("kind", "label", F.floor(model.score(F.col("f")) * BINS).cast("int").alias("at"))
+    counts = scored.groupBy("kind", "at").agg(F.sum("label").cast("long").alias("right"), F.count(F.lit(1)).alias("n"))
+    model.thresholds = thresholds([tuple(r) for r in counts.collect()], precision)
+    discard(rows)
     return model
 
 
+SCORED = "struct<start:bigint,kind:int,end:bigint,p:double>"
+
+
+def sweep(picked: Column) -> Column:
+    """Of candidates sorted by start, those that stay: where two meet, the later replaces the earlier if it ranks higher."""
+    rank = lambda c: F.struct(c["p"], c["end"] - c["start"], -c["kind"])
+    step = lambda now, c: F.when((c["start"] >= now["end"]) | (rank(c) > rank(now)), c).otherwise(now)
+    nothing = F.struct(F.lit(-1).alias("start"), F.lit(0).alias("kind"), F.lit(-1).alias("end"), F.lit(-1.0).alias("p"))
+
+    def last_of_each(s: Column) -> Column:
+        return F.filter(s, lambda c, i: (i == F.size(s) - 1) | (F.get(s, i + 1)["start"] >= c["end"]))
+
+    return let(scan(picked, nothing, step, SCORED), last_of_each)
+
+
 def find_spans(docs: DataFrame, model: Model | None = None, whole: bool = False) -> DataFrame:
     """Personal data of every document.
 
@@ -262,32 +373,33 @@ def find_spans(docs: DataFrame, model: Model | None = None, whole: bool = False)
     (code points, end exclusive; ``kind`` is a place in ``KINDS``), sorted by start, then
     kind. ``spans`` holds all base spans and those that the model adds; a candidate is
     added if it reaches its kind's threshold, passes its kind's check, touches no base
-    span, and no overlapping candidate has a higher score. ``model`` is fitted on a
-    sample of ``docs`` unless given. ``whole`` adds ``row``, all columns of ``docs``. Null texts count as empty; ids may repeat or be null; an empty table
+    span, is not announced as something else, and a sweep from left to right finds none that meets it and ranks higher (by score, then length, then kind). ``model`` is fitted on
+    ``docs`` unless given. ``whole`` adds ``row``, all columns of ``docs``. Null texts count as empty; ids may repeat or be null; an empty table
     gives no rows. Other columns are ignored.
     """
-    model = model or fit(docs)
-    spans = base_and_candidates(docs, whole)
+    if model is None:
+        spans = written(base_and_candidates(docs), "pii-spans")
+        model = fit_spans(spans)
+        spans = base_and_candidates(docs, whole) if whole else spans
+    else:
+        spans = base_and_candidates(docs, whole)
     keep = ["doc_id", "row"] if whole else ["doc_id"]
     place = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
+    base = F.transform("base", place).alias("base")
     if not model.thresholds:
-        base = F.transform("base", place)
-        return spans.select(*keep, base.alias("base"), base.alias("spans"))
-    meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    passes = lambda c: reduce(lambda a, b: a | b, [(c["kind"] == i) & valid(k, c["value"]) for i, k in enumerate(KINDS)])
-    free = F.filter("loose", lambda c: passes(c) & ~F.exists("base", lambda b: meets(b, c)))
-    free = F.when(F.size("loose") > 0, free).otherwise(F.col("loose"))
+        return spans.select(*keep, base, base.alias("spans"))
+    cut = F.create_map(*[F.lit(x) for k, t in model.thresholds.items() for x in (k, float(t))])
+    free = F.filter("loose", lambda c: c["valid"] & ~c["own"] & ~c["other"] & ~c["before"].rlike(OTHERWISE))
     scored = F.transform(
-        "free",
-        lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), model.score(features(c)).alias("p")),
+        free,
+        lambda c: F.struct(
+            c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), let(features(c), model.score).alias("p")
+        ),
     )
-    cut = F.create_map(*[F.lit(x) for k, t in model.thresholds.items() for x in (k, float(t))])
-    picked = F.filter("scored", lambda c: c["p"] >= F.coalesce(F.try_element_at(cut, c["kind"]), F.lit(2.0)))
-    rank = lambda c: F.struct(c["p"], c["end"] - c["start"], -c["start"], -c["kind"])
-    best = F.filter("picked", lambda c: ~F.exists("picked", lambda o: meets(o, c) & (rank(o) > rank(c))))
-    out = spans.withColumn("free", free).withColumn("scored", scored).withColumn("picked", picked).withColumn("best", best)
-    base = F.transform("base", place)
-    return out.select(*keep, base.alias("base"), F.array_sort(F.concat(base, F.transform("best", place))).alias("spans"))
+    picked = F.filter(scored, lambda c: c["p"] >= F.coalesce(F.try_element_at(cut, c["kind"]), F.lit(2.0)))
+    out = spans.withColumn("added", sweep(F.array_sort(picked.cast(f"array<{SCORED}>"))))
+    both = F.array_sort(F.concat("base", F.transform("added", place)))
+    return out.select(*keep, base, "added").select(*keep, "base", both.alias("spans"))
 
 
 def spans_text(spans: Column) -> Column:
@@ -295,7 +407,6 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-
 def redacted(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; other columns stay.
 
@@ -305,7 +416,8 @@ def redacted(docs: DataFrame, model: Model | None = None) -> DataFrame:
     found = find_spans(docs, model, whole=True)
     text, spans = F.col("row.text"), F.col("spans")
     # how far the text is hidden before a span: the farthest end among the spans before it
-    ends = F.transform(spans, lambda s, i: F.coalesce(F.array_max(F.transform(F.filter(spans, lambda o, j: j < i), lambda o: o["end"])), F.lit(0)))
+    far = scan(spans, F.lit(0), lambda e, s: F.greatest(e, s["end"]), "bigint")
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.slice(far, F.lit(1), F.greatest(F.size(far) - 1, F.lit(0))))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
     def piece(s: Column, hidden: Column) -> Column:
@@ -314,5 +426,5 @@ def redacted(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     last = F.coalesce(F.array_max(F.transform(spans, lambda s: s["end"])), F.lit(0))
     rest = F.substring(text, (last + 1).cast("int"), F.char_length(text))
-    clean = F.when(F.size(spans) > 0, F.concat(F.array_join(F.zip_with(spans, ends, piece), ""), rest)).otherwise(text)
+    clean = F.when(F.size(spans) > 0, F.concat(F.array_join(F.zip_with(spans, ends, lambda s, e: F.when(s.isNotNull(), piece(s, e))), ""), rest)).otherwise(text)
     return with_text(found.withColumn("clean", clean), docs, "clean")

@@ -131,6 +131,79 @@ def test_redaction(spark, odd):
     assert rows[1].n_chars == 4 and rows[4].n_chars is None
 
 
+def test_long_lists_of_addresses(spark):
+    """The work of a text grows with its spans: pairs of 30,000 would not end."""
+    n = 30_000
+    text = " ".join(f"user{k}@mail{k}.example.com, 4111-1111-1111-1111 4111-1111-1111-1111 22" for k in range(n))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    every = {k: 0.0 for k in range(len(pii.KINDS))}
+    stump = pii.fit(spark.createDataFrame([(k, f"4111-1111-1111-1111 and 4111-1111-1111-{k:04d}") for k in range(200)], "doc_id long, text string"))
+    model = pii.Model(stump.trees, stump.weights, every)
+    got = pii.find_spans(df, model).select(F.size("base").alias("b"), F.size("spans").alias("s")).first()
+    assert (got.b, got.s) == (n, 3 * n)
+
+
+def test_sweep_against_a_loop(spark):
+    rnd = random.Random(7)
+    rows = []
+    for k in range(60):
+        spans = sorted({(a := rnd.randrange(600), rnd.randrange(4), a + rnd.randrange(1, 12), rnd.randrange(5) / 4) for _ in range(rnd.choice([0, 1, 300]))})
+        rows.append((k, spans))
+    df = spark.createDataFrame(rows, f"k int, v array<{pii.SCORED}>")
+    for (_, spans), r in zip(rows, df.select("k", pii.sweep(F.col("v")).alias("s")).orderBy("k").collect()):
+        kept = []
+        for c in spans:
+            rank = lambda x: (x[3], x[2] - x[0], -x[1])
+            if not kept or c[0] >= kept[-1][2]:
+                kept.append(c)
+            elif rank(c) > rank(kept[-1]):
+                kept[-1] = c
+        assert [tuple(x) for x in r.s] == kept
+
+
+def test_reaches_tell_which_kinds_a_candidate_meets(spark):
+    rnd = random.Random(8)
+    some = lambda: sorted({(a := rnd.randrange(900), rnd.randrange(4), a + rnd.randrange(1, 9)) for _ in range(rnd.choice([0, 3, 400]))})
+    rows = [(k, some(), some()) for k in range(12)]
+    spans = "array<struct<start:bigint,kind:int,end:bigint>>"
+    df = spark.createDataFrame(rows, f"k int, b {spans}, c {spans}")
+    for (_, base, loose), r in zip(rows, df.select("k", pii.reaches(F.col("b"), F.col("c")).alias("far")).orderBy("k").collect()):
+        for c, far in zip(loose, r.far, strict=True):
+            for kind in range(4):
+                assert (far[kind] > c[0]) == any(b[1] == kind and b[0] < c[2] and c[0] < b[2] for b in base)
+
+
+def test_thresholds_of_rare_kinds_follow_all(spark):
+    top, low = pii.BINS - 10, 100
+    got = pii.thresholds([(0, top, 500, 500), (0, low, 0, 500), (1, top, 1, 1), (2, top, 1, 10), (2, low, 0, 10)], 0.95)
+    assert got[0] == got[1] == got[3] == (low + 1) / pii.BINS
+    assert 2 not in got
+    assert pii.thresholds([], 0.95) == {}
+
+
+def test_private_model_chooses_among_valid_candidates(spark):
+    """Numbers that pass the check are left alone where a word announces something else, others are found."""
+    rnd = random.Random(9)
+
+    def card():
+        body = "4" + "".join(str(rnd.randrange(10)) for _ in range(14))
+        return next(body + str(c) for c in range(10) if brute.luhn(body + str(c)))
+
+    rows, want = [], {}
+    for k in range(600):
+        phone = lambda: f"{rnd.randrange(200, 999)}) 555-{rnd.randrange(1000, 9999)}"
+        text = f"pay {card()} by visa, order {rnd.randrange(10**15, 10**16)} call +1 ({phone()} now, build 555-{rnd.randrange(200, 999)}-{rnd.randrange(1000, 9999)} out"
+        if k % 30 == 0:
+            want[k] = [card(), card()]
+            text += " cards {} {} end".format(*want[k])
+        rows.append((k, text))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    for r in pii.find_spans(df).collect():
+        added = [texts[r.doc_id][s.start : s.end] for s in r.spans if s not in r.base]
+        assert added == want.get(r.doc_id, [])
+
+
 def test_private_model_adds_what_looks_alike(spark):
     rnd = random.Random(5)
     rows = []
