@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rasterloom.operators import quantiles, stats
@@ -30,28 +32,50 @@ def power_of_two(p: Column, n: Column) -> Column:
     return 1 - F.pow(1 - p, n) - n * p * F.pow(1 - p, n - 1)
 
 
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for positive arguments: Stirling's series, eight places further on."""
+    up = x + 8
+    series = 1 / (12 * up) - 1 / (360 * F.pow(up, 3)) + 1 / (1260 * F.pow(up, 5)) - 1 / (1680 * F.pow(up, 7))
+    steps = F.ln(x)
+    for i in range(1, 8):
+        steps = steps + F.ln(x + i)
+    return (up - 0.5) * F.ln(up) - up + 0.5 * math.log(2 * math.pi) + series - steps
+
+
+def beta_fraction(a: Column, b: Column, x: float) -> Column:
+    """Continued fraction of the incomplete beta function, from its first term on.
+
+    Convergents are carried on as three numbers; their count grows with the root of ``a + b``.
+    """
+    keep = lambda v: F.when(F.abs(v) < 1e-300, F.lit(1e-300)).otherwise(v)
+
+    def step(acc: Column, m: Column) -> Column:
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        c, d, h = acc["c"], acc["d"], acc["h"]
+        for term in (even, odd):
+            d, c = 1 / keep(1 + term * d), keep(1 + term / c)
+            h = h * d * c
+        return F.struct(c.alias("c"), d.alias("d"), h.alias("h"))
+
+    first = 1 / keep(1 - (a + b) * x / (a + 1))
+    start = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h"))
+    rounds = F.sequence(F.lit(1).cast("long"), (F.ceil(F.sqrt(a + b)) * 5 + 40).cast("long"))
+    return F.aggregate(rounds, start, step)["h"]
+
+
 def sign_test(k: Column, n: Column) -> Column:
-    """Exact one-sided binomial tail P(X >= k) at one half.
+    """Exact one-sided binomial tail P(X >= k) at one half, 1 for ``k`` of 0 and 0 beyond ``n``.
 
-    The first term is built in logarithms, the others by the ratio of
-    neighbouring binomial coefficients, so large ``n`` does not overflow.
+    The tail is the regularised incomplete beta function of ``k`` and ``n - k + 1`` at one
+    half. Above the middle it is one minus the other tail, where the fraction converges slowly.
     """
-    first = F.aggregate(
-        F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(
-            F.array().cast("array<bigint>")
-        ),
-        -n * F.log(F.lit(2.0)),
-        lambda s, i: s + F.log((n - k + i) / i),
-    )
-    start = F.struct(F.exp(first).alias("t"), F.lit(0.0).alias("s"))
-    tail = F.aggregate(
-        F.sequence(k, n),
-        start,
-        lambda acc, i: F.struct(
-            (acc["t"] * (n - i) / (i + 1)).alias("t"), (acc["s"] + acc["t"]).alias("s")
-        ),
-    )
-    return tail["s"]
+    a, b = F.greatest(k, F.lit(1)).cast("double"), F.greatest(n - k + 1, F.lit(1)).cast("double")
+    swap = a < b
+    lo, hi = F.least(a, b), F.greatest(a, b)
+    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) - (a + b) * math.log(2))
+    part = front * beta_fraction(hi, lo, 0.5) / hi
+    return F.when(k <= 0, 1.0).when(k > n, 0.0).otherwise(F.when(swap, 1 - part).otherwise(part))
 
 
 def effect_summary(df: DataFrame, fine: str, coarse: str, bar: float) -> DataFrame:

@@ -113,9 +113,12 @@ def test_partial_corr_is_least_squares_on_both_sides(spark):
 def test_sign_test_matches_binomial_tail(spark):
     from math import comb
 
-    for k, n in ((0, 5), (5, 5), (30, 47), (1200, 2300)):
+    for k, n in ((0, 5), (1, 1), (5, 5), (3, 5), (30, 47), (1200, 2300), (1100, 2300), (900, 900), (6, 5)):
         got = spark.range(1).select(learn.sign_test(F.lit(k).cast("long"), F.lit(n).cast("long")).alias("p")).first().p
         assert got == pytest.approx(sum(comb(n, i) for i in range(k, n + 1)) / 2**n, rel=1e-8)
+    # no array of n terms is built: two deviations above the middle of 10^10
+    far = spark.range(1).select(learn.sign_test(F.lit(5 * 10**9 + 10**5), F.lit(10**10)).alias("p")).first().p
+    assert far == pytest.approx(0.02275, rel=1e-3)
 
 
 def test_logistic_fit_reaches_the_gradient_descent_optimum(spark):
