@@ -16,17 +16,24 @@ def last_wins(df: DataFrame, keys: list[str], order: str, values: list[str]) ->
 def longest_stem(files: DataFrame, stems: DataFrame, keys: list[str], base: str, stem: str) -> DataFrame:
     """Each file with the longest stem of its own group contained in its name.
 
-    Every stem is anchored by its first letters, as many as the shortest stem has; a
-    name is expanded to its parts of that length and meets the stems whose anchor it
-    holds, which are then looked for in it. A name makes at most one row per place,
-    and a group with most of the files and stems spreads over its anchors.
+    A stem is anchored by its first letters, as many as the largest power of two it holds; so a short
+    stem shortens no other's anchor. A name is expanded to its parts of the lengths
+    that its group's stems call for, at most one row per place and length, and meets the stems
+    whose anchor it holds, which are then looked for in it. A group with most of the files
+    and stems spreads over its anchors. Empty stems are found nowhere.
     """
-    stems = stems.select(*keys, stem).distinct()
-    shortest = stems.agg(F.min(F.length(stem))).first()[0] or 0
-    anchor = lambda c, i: F.substring(F.col(c), i, F.lit(shortest))
-    places = F.sequence(F.lit(1), F.greatest(F.length(base) - shortest + 1, F.lit(1)))
-    named = files.withColumn("_at", F.explode(F.array_distinct(F.transform(places, lambda i: anchor(base, i)))))
-    hit = named.join(stems.withColumn("_at", anchor(stem, F.lit(1))), [*keys, "_at"]).where(F.contains(base, stem))
+    size = F.pow(F.lit(2), F.floor(F.log2(F.length(stem)))).cast("int")
+    stems = stems.select(*keys, stem).distinct().where(F.length(stem) > 0)
+    stems = stems.withColumn("_long", size).withColumn("_at", F.substring(F.col(stem), F.lit(1), F.col("_long")))
+    # a handful of lengths per group
+    lengths = stems.groupBy(*keys).agg(F.array_sort(F.collect_set("_long")).alias("_lengths"))
+
+    def parts(long):
+        places = F.sequence(F.lit(1), F.greatest(F.length(base) - long + 1, F.lit(1)))
+        return F.array_distinct(F.transform(places, lambda i: F.substring(F.col(base), i, long)))
+
+    named = files.join(lengths, keys).withColumn("_at", F.explode(F.array_distinct(F.flatten(F.transform("_lengths", parts)))))
+    hit = named.join(stems.drop("_long"), [*keys, "_at"]).where(F.contains(base, stem))
     best = F.max_by(stem, F.struct(F.length(stem), F.col(stem)))
     return hit.groupBy(*files.columns).agg(best.alias(stem))
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rasterloom.operators import axis, experiments, registration, seams, templates, thinning
+from rasterloom.operators import axis, catalog, experiments, registration, seams, templates, thinning
 from rasterloom.operators.registration import TURNS
 from tests.helpers import plane_df, volume_df
 
@@ -284,3 +284,20 @@ def test_smoothing_keeps_sums(spark):
     v = RNG.integers(0, 9, (5, 4, 6))
     got = axis.sliding_sum(volume_df(spark, v), axis.DEPTH, {"s": ("v", 2, 2)}, "zero").collect()
     assert all(r.s == v[max(0, r.z - 2) : r.z + 3, r.y, r.x].sum() for r in got)
+
+
+def test_longest_stem_with_one_short_stem(spark):
+    """Stems of many lengths, one of a letter: every name gets the longest that it holds."""
+    rnd = np.random.default_rng(3)
+    word = lambda n: "".join(rnd.choice(list("abc"), n))
+    stems = [(g, s) for g in "xy" for s in {word(int(n)) for n in rnd.integers(2, 12, 25)} | ({"a"} if g == "x" else {"", "cc"})]
+    files = [(g, word(int(n)), k) for k, (g, n) in enumerate(zip("xy" * 40, rnd.integers(1, 30, 80)))]
+    got = catalog.longest_stem(
+        spark.createDataFrame(files, "g string, name string, k int"), spark.createDataFrame(stems, "g string, s string"), ["g"], "name", "s"
+    )
+    want = {}
+    for g, name, k in files:
+        held = [s for h, s in stems if h == g and s and s in name]
+        if held:
+            want[k] = max(held, key=lambda s: (len(s), s))
+    assert {r.k: r.s for r in got.collect()} == want
