@@ -3,7 +3,9 @@
 import numpy as np
 
 from rasterloom.operators import seams, spatial
+from rasterloom.plans import QUERIES, load_all
 
+load_all()
 RNG = np.random.default_rng(5)
 
 
@@ -34,3 +36,9 @@ def test_nearest_on_every_later_sheet(spark):
             if best[0] <= 36:
                 want[f"s{i % 3}", i, f"s{other}"] = best
     assert got == want
+
+
+def test_scaled_grid_is_not_sent_to_the_driver(spark, sf, capsys):
+    QUERIES["c04_scaled_grid_join"](spark, sf).explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
