@@ -1,8 +1,9 @@
 """What must hold on tables far larger than the tests': plans that do not multiply rows, numbers that do not overflow."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from rasterloom.operators import seams, spatial
+from rasterloom.operators import experiments, seams, spatial
 from rasterloom.plans import QUERIES, load_all
 
 load_all()
@@ -42,3 +43,13 @@ def test_scaled_grid_is_not_sent_to_the_driver(spark, sf, capsys):
     QUERIES["c04_scaled_grid_join"](spark, sf).explain()
     plan = capsys.readouterr().out
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_draws_of_late_tiles_do_not_overflow(spark):
+    numbers = [-7_000_000, -5, 0, 1, 300_000, 1_800_000, 1_200_000_000, 1 << 45]
+    df = spark.createDataFrame([(n,) for n in numbers], "n long")
+    got = {r.n: r.u for r in df.select("n", experiments.draw(F.col("n"), 777).alias("u")).collect()}
+    for n in numbers:
+        x = n * 7919 + 777
+        want = abs(x) * 2654435769 % (1 << 32) / (1 << 32)
+        assert got[n] == (want if x >= 0 else -want)
