@@ -116,52 +116,42 @@ def columns_as_arrays(vol: DataFrame) -> DataFrame:
     )
 
 
-#: Shares a segment's columns are dealt into, and matrices a task holds at most.
-SHARES, HELD = 8, 512
+#: Side of the squares of columns that a segment's shares are.
+SHARE = 64
 
 
 def layer_covariance(vol: DataFrame) -> DataFrame:
     """Covariance of layers across columns, per segment: rows (seg, i, j, c).
 
-    Columns of a segment are brought together, a large segment in several shares;
+    Columns of a segment are brought together, a large segment in several shares, and sorted;
     a task adds up one small cross-product matrix per share, so the sums that meet
-    are a few per segment however many batches there are.
+    are a few per segment however many batches and segments there are. They carry the
+    layers' own sums, so nothing is joined.
     """
-    cols = columns_as_arrays(vol).repartition("seg", F.pmod(F.xxhash64("y", "x"), F.lit(SHARES))).select("seg", "prof")
+    share = [F.floor(F.col(c) / SHARE) for c in ("y", "x")]
+    cols = columns_as_arrays(vol).repartition("seg", *share).sortWithinPartitions("seg").select("seg", "prof")
+
+    def told(seg: str, g: np.ndarray) -> pd.DataFrame:
+        i, j = (v.ravel() for v in np.indices((len(g) - 1, len(g) - 1)))
+        return pd.DataFrame({"seg": seg, "i": i, "j": j, "s": g[1:, 1:].ravel(), "mi": g[0, i + 1], "mj": g[0, j + 1], "n": g[0, 0]})
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, np.ndarray] = {}
-
-        def told() -> Iterator[pd.DataFrame]:
-            for seg, g in held.items():
-                i, j = np.indices(g.shape)
-                yield pd.DataFrame({"seg": seg, "i": i.ravel() - 1, "j": j.ravel() - 1, "s": g.ravel()})
-            held.clear()
-
         for pdf in batches:
             for seg, part in pdf.groupby("seg"):
+                # sorted: what another segment follows is complete
+                for done in [k for k in held if k != seg]:
+                    yield told(done, held.pop(done))
                 x = np.stack(part["prof"].to_numpy())
                 x = np.concatenate([np.ones((len(x), 1)), x], axis=1)
                 held[seg] = held.get(seg, 0) + x.T @ x
-            if len(held) > HELD:
-                yield from told()
-        yield from told()
+        for seg, g in held.items():
+            yield told(seg, g)
 
-    sums = cols.mapInPandas(grams, "seg string, i int, j int, s double").groupBy("seg", "i", "j").agg(
-        F.sum("s").alias("s")
-    )
-    n = sums.where("i = -1 AND j = -1").select("seg", F.col("s").alias("n"))
-    m = sums.where("i = -1 AND j >= 0").select("seg", "j", F.col("s").alias("m"))
-    return (
-        sums.where("i >= 0 AND j >= 0")
-        .join(n, "seg")
-        .join(m.select("seg", F.col("j").alias("i"), F.col("m").alias("mi")), ["seg", "i"])
-        .join(m.select("seg", "j", F.col("m").alias("mj")), ["seg", "j"])
-        .select(
-            "seg", "i", "j",
-            (F.col("s") / F.col("n") - F.col("mi") / F.col("n") * F.col("mj") / F.col("n")).alias("c"),
-        )
-    )
+    sums = cols.mapInPandas(grams, "seg string, i int, j int, s double, mi double, mj double, n double")
+    sums = sums.groupBy("seg", "i", "j").agg(*[F.sum(c).alias(c) for c in ("s", "mi", "mj", "n")])
+    c = F.col("s") / F.col("n") - F.col("mi") / F.col("n") * F.col("mj") / F.col("n")
+    return sums.select("seg", "i", "j", c.alias("c"))
 
 
 LOADINGS = "array<struct<explained:double,loading:array<double>>>"

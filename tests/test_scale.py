@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from rasterloom.operators import experiments, seams, spatial
+from rasterloom.operators import depth, experiments, seams, spatial
 from rasterloom.plans import QUERIES, load_all
 
 load_all()
@@ -53,3 +53,17 @@ def test_draws_of_late_tiles_do_not_overflow(spark):
         x = n * 7919 + 777
         want = abs(x) * 2654435769 % (1 << 32) / (1 << 32)
         assert got[n] == (want if x >= 0 else -want)
+
+
+def test_layer_covariance_adds_up_each_segment_once(spark, capsys):
+    sizes = {f"s{k}": (3, 2) for k in range(12)} | {"wide": (70, 66)}
+    stacks = {seg: RNG.integers(0, 250, (4, *size)) for seg, size in sizes.items()}
+    rows = [(seg, z, y, x, int(a[z, y, x])) for seg, a in stacks.items() for z, y, x in np.ndindex(a.shape)]
+    cov = depth.layer_covariance(spark.createDataFrame(rows, "seg string, z int, y int, x int, v int"))
+    cov.explain()
+    # the sums are worked out once and joined with nothing
+    plan = capsys.readouterr().out
+    assert plan.count("MapInPandas") == 1 and "Join" not in plan
+    got = {(r.seg, r.i, r.j): r.c for r in cov.collect()}
+    want = {(seg, i, j): v for seg, a in stacks.items() for (i, j), v in np.ndenumerate(np.cov(a.reshape(4, -1), bias=True))}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
