@@ -1,10 +1,14 @@
 """What must hold on tables far larger than the tests': plans that do not multiply rows, numbers that do not overflow."""
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from rasterloom.operators import depth, experiments, seams, spatial
+from rasterloom.operators import depth, experiments, features, registration, seams, spatial
 from rasterloom.plans import QUERIES, load_all
+from rasterloom.sources import grids
+from tests.helpers import plane_df, volume_df
 
 load_all()
 RNG = np.random.default_rng(5)
@@ -67,3 +71,28 @@ def test_layer_covariance_adds_up_each_segment_once(spark, capsys):
     got = {(r.seg, r.i, r.j): r.c for r in cov.collect()}
     want = {(seg, i, j): v for seg, a in stacks.items() for (i, j), v in np.ndenumerate(np.cov(a.reshape(4, -1), bias=True))}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_frame_is_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    rows = [(s * grids.ORDERS_PER_SEG + k * 50, 7 * k, k % 3, 1 + k % 7, 10.0 + k, 0.05, "A") for s in range(12) for k in range(20)]
+    rows += [(5, None, 1, 1, 3.0, 0.0, "A"), (None, 1, 1, 1, 4.0, 0.0, "A"), (6, -9, 0, 1, 5.0, 0.0, "N")]
+    kind = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_returnflag string"
+    spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(grids, "CELLS_AT_ONCE", 1 << 13)
+    for build, size, whole in ((grids.plane, 64 * 64, ["y", "x"]), (grids.volume, 21 * 16 * 16, ["z", "y", "x"])):
+        df = build(spark, str(tmp_path))
+        per_task = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(per_task) > 3 and max(per_task) < 8 * size
+        inside = df.where(" AND ".join(f"{c} >= 0" for c in whole))
+        assert {(r.seg, r["count"]) for r in inside.groupBy("seg").count().collect()} == {*[(f"A{s}", size) for s in range(12)], ("N0", size), (None, size)}
+        # samples without a place, or beside the frame, keep their own rows
+        assert df.count() == 14 * size + 3 and df.select("seg", *whole).distinct().count() == df.count()
+    assert grids.plane(spark, str(tmp_path)).agg(F.sum("n")).first()[0] == len(rows)
+
+
+def test_texture_keeps_only_its_maps(spark):
+    df = plane_df(spark, {"a": RNG.integers(0, 200, (24, 24))})
+    out = features.texture_bank(df, "a", r=2, hp=2, proud=3, chan=1, pct=30, plate=(1.0, 8.0))
+    kept = re.findall(r"InMemoryRelation \[([^\]]*)\]", out._jdf.queryExecution().executedPlan().toString())
+    assert kept and not any("gx" in k or "jxx" in k for k in kept)
+    assert out.count() == 24 * 24 and out.columns[5:] == ["sharp", "offaxis", "disorder", "hfenergy", "localsd", "proud", "plate", "chandark"]
