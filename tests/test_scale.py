@@ -96,3 +96,35 @@ def test_texture_keeps_only_its_maps(spark):
     kept = re.findall(r"InMemoryRelation \[([^\]]*)\]", out._jdf.queryExecution().executedPlan().toString())
     assert kept and not any("gx" in k or "jxx" in k for k in kept)
     assert out.count() == 24 * 24 and out.columns[5:] == ["sharp", "offaxis", "disorder", "hfenergy", "localsd", "proud", "plate", "chandark"]
+
+
+def test_candidates_meet_blocks_not_voxels(spark, monkeypatch):
+    monkeypatch.setattr(registration, "SIDE", 5)
+    monkeypatch.setattr(registration, "AT_ONCE", 100)
+    field = {tuple(map(int, at)): tuple(map(int, RNG.integers(-9, 10, 4))) for at in RNG.integers(-4, 12, (900, 3))}
+    pts = [(*map(int, RNG.integers(-6, 9, 3)), *map(float, RNG.integers(1, 9, 3))) for _ in range(60)]
+    twice = [*field.items(), *list(field.items())[:40]]
+    spots = [(int(t), float(s), *map(int, RNG.integers(-3, 7, 3))) for t in range(0, 48, 5) for s in (0.9, 1.0, 1.15)]
+    make = lambda rows, kind: spark.createDataFrame([("s", *r) for r in rows] + [(None, *rows[0])], kind)
+    found = registration.score(
+        make(pts, "seg string, pz int, py int, px int, nz double, ny double, nx double"),
+        make([(*at, *v) for at, v in twice], "seg string, z int, y int, x int, v int, gz int, gy int, gx int"),
+        make(spots, "seg string, turn int, scale double, tz int, ty int, tx int"), inside=0.0, least=1,
+    )
+    want = {}
+    for t, s, *shift in spots:
+        order, sign = registration.TURNS[t]
+        inb = bright = used = along = 0
+        for r in pts:
+            q, m = ([sign[k] * r[o + order[k]] for k in range(3)] for o in (0, 3))
+            at = tuple(int(np.floor(q[k] * s + shift[k] + 0.5)) for k in range(3))
+            for v, *g in [v for place, v in twice if place == at]:
+                inb, bright = inb + 1, bright + v
+                if np.dot(g, g) > 4:
+                    used += 1
+                    along += int(np.floor(abs(np.dot(m, g)) / (np.sqrt(np.dot(m, m)) * np.sqrt(np.dot(g, g))) * 1_000_000 + 0.5))
+        if used:
+            want[t, s, *shift] = (inb / 60, along / used / 1_000_000, along / used / 1_000_000 * min(inb / 60 / 0.6, 1) + bright / inb / 2550)
+    got = {(r.turn, r.scale, r.tz, r.ty, r.tx): (r.inside, r.align, r.fit) for r in found.collect()}
+    assert got.keys() == want.keys() and len(got) > 20
+    assert all(np.allclose(got[k], want[k], atol=1e-9) for k in got)
