@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,8 +11,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from rasterloom.session import checkpoint
 
-#: Templates that meet a block of the plane at once, and anchors along a side of a block.
-GROUP, BLOCK = 64, 32
+#: Templates of a group, anchors along a side of a block, and blocks that meet a group in one task.
+GROUP, BLOCK, STRIP = 1 << 15, 32, 1024
+#: Templates that are compared with a block at once, and what single precision may be off by (unit vectors of a few hundred cells).
+AT_ONCE, OFF = 4096, 1e-5
+#: A cell that its block lacks.
+ABSENT = np.iinfo(np.int64).min
 
 
 def resample_shapes(cells: DataFrame, shapes: DataFrame, rows: int, cols: int, keys=("seg", "comp")) -> DataFrame:
@@ -50,53 +55,106 @@ def bank_of(templates: DataFrame, rows: int, cols: int, keys=("seg", "comp")) ->
 def bank_response(plane: DataFrame, value: str, bank: DataFrame, rows: int, cols: int, least: float) -> DataFrame:
     """Best normalised correlation with any template of the bank: ``seg, y, x, id, r`` where it is ``least`` or more.
 
-    ``y, x`` is the window's first cell. The plane is cut into blocks that overlap by a window, every block meets every
-    group of templates, and only the best match per place and group travels on; the
+    ``y, x`` is the window's first cell. The plane is cut into blocks that overlap by a window, and equal templates count once.
+    Every strip of blocks meets every group of templates in one task, so a packed block travels once for each
+    of the few groups, a group once for each strip, and only the best match per place and group goes on; the
     bank may be as large as it likes. Flat windows and flat templates match nothing; equal matches go to the smallest id.
     """
     starts = lambda c, reach: F.explode(
         F.array_distinct(F.array(F.floor(F.greatest(F.col(c) - reach + 1, F.lit(0)) / BLOCK), F.floor(F.col(c) / BLOCK)))
     )
-    cut = plane.select("seg", "h", "w", "y", "x", F.col(value).alias("v"), starts("y", rows).alias("by")).withColumn("bx", starts("x", cols))
+    cut = plane.select("seg", "y", "x", F.col(value).alias("v"), starts("y", rows).alias("by")).withColumn("bx", starts("x", cols))
     cells = F.collect_list(F.struct((F.col("y") - F.col("by") * BLOCK).alias("y"), (F.col("x") - F.col("bx") * BLOCK).alias("x"), "v"))
     blocks = cut.groupBy("seg", "by", "bx").agg(cells.alias("cells"))
-    groups = bank.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("id", "t"))).alias("bank"))
-    n = bank.agg(F.max("g")).first()[0]
-    meet = blocks.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(0 if n is None else n)))).join(groups, "g").select("seg", "by", "bx", "cells", "bank")
+    high, wide = BLOCK + rows - 1, BLOCK + cols - 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                yield _match(*(batch.column(k)[i] for k in range(5)), rows, cols, least)
-
-    found = meet.mapInArrow(run, "seg string, y int, x int, id string, r double")
+            data = []
+            for cells in batch.column(3):
+                ys, xs, vs = (np.asarray(cells.values.field(c), np.int64) for c in ("y", "x", "v"))
+                window = np.full((high, wide), ABSENT)
+                window[ys, xs] = vs
+                data.append(zlib.compress(window.tobytes(), 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(data, pa.binary())], ["seg", "by", "bx", "data"])
+
+    def pack_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            names = pa.ListArray.from_arrays(lists.offsets, lists.values.field("id"))
+            data = [zlib.compress(np.asarray(b.values.field("t").flatten(), np.int64).tobytes(), 1) for b in lists]
+            yield pa.RecordBatch.from_arrays([batch.column(0), names, pa.array(data, pa.binary())], ["g", "names", "data"])
+
+    one = bank.groupBy("t").agg(F.min(F.struct("id", "g")).alias("e")).select("e.id", "e.g", "t")
+    groups = one.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("id", "t"))).alias("bank"))
+    groups = checkpoint(groups.select("g", "bank").mapInArrow(pack_groups, "g long, names array<string>, data binary"))
+    blocks = checkpoint(blocks.mapInArrow(pack_blocks, "seg string, by long, bx long, data binary"))
+    strips = max(1, -(-blocks.count() // STRIP))
+    tasks = max(1, min(strips * groups.count(), 1 << 14))
+    numbers = F.array_sort(F.collect_set("g")).alias("gs")
+    lefts = blocks.withColumn("s", F.pmod(F.xxhash64("seg", "by", "bx"), F.lit(strips))).crossJoin(F.broadcast(groups.agg(numbers)))
+    lefts = lefts.select("s", F.explode("gs").alias("g"), "seg", "by", "bx", "data").repartition(tasks, "s", "g")
+    rights = groups.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(strips - 1).cast("long"))).alias("s"), "g", "names", "data").repartition(tasks, "s", "g")
+
+    def run(strip: pa.Table, group: pa.Table) -> pa.Table:
+        found = [_FOUND.empty_table()]
+        if strip.num_rows and group.num_rows:
+            bank = _Bank(group["names"][0].values.to_pylist(), np.frombuffer(zlib.decompress(group["data"][0].as_py()), np.int64).reshape(-1, rows * cols))
+            for r in strip.select(["seg", "by", "bx", "data"]).to_pylist():
+                window = np.frombuffer(zlib.decompress(r["data"]), np.int64).reshape(high, wide)
+                at, which, value = bank.best(window, rows, cols, least)
+                y, x = at // BLOCK + r["by"] * BLOCK, at % BLOCK + r["bx"] * BLOCK
+                names = [bank.names[k] for k in which]
+                found.append(pa.table([pa.array([r["seg"]] * len(at), pa.string()), pa.array(y, pa.int32()), pa.array(x, pa.int32()), pa.array(names, pa.string()), pa.array(value, pa.float64())], schema=_FOUND))
+        return pa.concat_tables(found)
+
+    found = lefts.groupBy("s", "g").cogroup(rights.groupBy("s", "g")).applyInArrow(run, "seg string, y int, x int, id string, r double")
     best = F.min_by(F.struct("id", "r"), F.struct(-F.col("r"), F.col("id")))
     return found.groupBy("seg", "y", "x").agg(best.alias("b")).select("seg", "y", "x", "b.id", "b.r")
 
 
-def _match(seg, by, bx, cells, bank, rows: int, cols: int, least: float) -> pa.RecordBatch:
-    flat = cells.values
-    ys, xs, vs = (np.asarray(flat.field(c), np.int64) for c in ("y", "x", "v"))
-    window = np.full((BLOCK + rows - 1, BLOCK + cols - 1), np.nan)
-    window[ys, xs] = vs
-    views = np.lib.stride_tricks.sliding_window_view(window, (rows, cols)).reshape(-1, rows * cols)
-    inside = np.flatnonzero(~np.isnan(views).any(axis=1))
-    p = views[inside]
-    names = np.array(bank.values.field("id").to_pylist())
-    t = np.asarray(bank.values.field("t").flatten(), np.float64).reshape(len(names), rows * cols)
-    n = rows * cols
-    sp, st = p.sum(axis=1), t.sum(axis=1)
-    vp, vt = n * (p * p).sum(axis=1) - sp * sp, n * (t * t).sum(axis=1) - st * st
-    below = np.sqrt(vp)[:, None] * np.sqrt(vt)[None, :]
-    r = np.divide(n * (p @ t.T) - sp[:, None] * st[None, :], below, out=np.full(below.shape, -2.0), where=below > 0)
-    r = np.round(r, 9)
-    top = r.argmax(axis=1) if len(names) else np.zeros(len(p), int)
-    value = r[np.arange(len(p)), top]
-    hit = value >= least
-    at = inside[hit]
-    y, x = at // BLOCK + by.as_py() * BLOCK, at % BLOCK + bx.as_py() * BLOCK
-    return pa.RecordBatch.from_arrays(
-        [pa.array([seg.as_py()] * len(at), pa.string()), pa.array(y, pa.int32()), pa.array(x, pa.int32()),
-         pa.array(names[top[hit]].tolist(), pa.string()), pa.array(value[hit], pa.float64())],
-        ["seg", "y", "x", "id", "r"],
-    )
+_FOUND = pa.schema([("seg", pa.string()), ("y", pa.int32()), ("x", pa.int32()), ("id", pa.string()), ("r", pa.float64())])
+
+
+class _Bank:
+    """A group of templates, smallest ids first, and their unit vectors."""
+
+    def __init__(self, names: list[str], t: np.ndarray):
+        n = t.shape[1]
+        self.st = t.sum(axis=1)
+        vt = n * (t * t).sum(axis=1) - self.st * self.st
+        keep = np.flatnonzero(vt > 0)
+        self.names, self.t, self.st, self.vt = [names[k] for k in keep], t[keep], self.st[keep], vt[keep]
+        self.unit = ((n * self.t - self.st[:, None]) / np.sqrt(n * self.vt)[:, None]).astype(np.float32)
+
+    def best(self, window: np.ndarray, rows: int, cols: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(anchors, templates, correlations)`` of a block, one for each anchor that reaches ``least``.
+
+        Single precision proposes all templates that may be the best one; those are settled exactly.
+        """
+        n = rows * cols
+        views = np.lib.stride_tricks.sliding_window_view(window, (rows, cols)).reshape(-1, n)
+        at = np.flatnonzero((views != ABSENT).all(axis=1))
+        p = views[at]
+        sp = p.sum(axis=1)
+        vp = n * (p * p).sum(axis=1) - sp * sp
+        at, p, sp, vp = at[vp > 0], p[vp > 0], sp[vp > 0], vp[vp > 0]
+        unit = ((n * p - sp[:, None]) / np.sqrt(n * vp)[:, None]).astype(np.float32)
+        value, which = np.full(len(at), -2.0), np.zeros(len(at), np.int64)
+        for k in range(0, len(self.names), AT_ONCE):
+            near = unit @ self.unit[k : k + AT_ONCE].T
+            top = near.max(axis=1)
+            ok = np.flatnonzero(top >= np.maximum(least, value) - OFF)
+            i, j = np.nonzero(near[ok] >= (top[ok] - 2 * OFF)[:, None])
+            i, j = ok[i], j + k
+            r = (n * (p[i] * self.t[j]).sum(axis=1) - sp[i] * self.st[j]) / (np.sqrt(vp[i]) * np.sqrt(self.vt[j]))
+            r = np.round(r, 9)
+            order = np.lexsort((j, -r, i))
+            i, j, r = i[order], j[order], r[order]
+            new = np.ones(len(i), bool)
+            new[1:] = i[1:] != i[:-1]
+            i, j, r = i[new], j[new], r[new]
+            better = r > value[i]
+            value[i[better]], which[i[better]] = r[better], j[better]
+        hit = value >= least
+        return at[hit], which[hit], value[hit]

@@ -242,6 +242,32 @@ def test_bank_of_any_size_finds_its_shapes(spark, monkeypatch):
     assert got[30, 31] == ("t07:7", 1.0) and got[5, 40][0] == "t21:21"
 
 
+def test_bank_in_strips_settles_ties_and_flat_ones(spark, monkeypatch):
+    monkeypatch.setattr(templates, "GROUP", 4)
+    monkeypatch.setattr(templates, "STRIP", 1)
+    shapes = RNG.integers(0, 255, (12, 12))
+    shapes[3], shapes[9], shapes[11] = 7, shapes[2], shapes[5] * 2 + 1  # flat, equal, and as good as another
+    rows = [(f"t{i:02d}", i, k // 3, k % 3, int(v)) for i, t in enumerate(shapes) for k, v in enumerate(t)]
+    plane = RNG.integers(0, 200, (40, 70))
+    plane[30:34, 31:34], plane[5:9, 40:43], plane[20:30, 5:20] = shapes[9].reshape(4, 3), shapes[11].reshape(4, 3), 9
+    bank = templates.bank_of(spark.createDataFrame(rows, ["seg", "comp", "r", "c", "v"]), 4, 3)
+    out = templates.bank_response(plane_df(spark, {"a": plane}), "a", bank, 4, 3, 0.6)
+    # strips meet groups in one task each: no row of a block is joined to a row of the bank
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroupsInArrow" in plan and "Join" not in plan.split("CoGroupsInArrow")[0]
+    want = {}
+    for y, x in np.ndindex(37, 68):
+        w = plane[y : y + 4, x : x + 3].ravel()
+        if w.std() > 0:
+            r, k = max((round(np.corrcoef(w, t)[0, 1], 9), -k) for k, t in enumerate(shapes) if t.std() > 0)
+            if r >= 0.6:
+                want[y, x] = (f"t{-k:02d}:{-k}", r)
+    got = {(r.y, r.x): (r.id, r.r) for r in out.collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 1e-8 for k in want)
+    assert got[30, 31][0] == "t02:2" and got[5, 40][0] == "t05:5"
+
+
 # -- thinning -----------------------------------------------------------------
 
 
