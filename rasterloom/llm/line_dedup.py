@@ -1,11 +1,11 @@
-"""Line deduplication by runs of lines, or by content-defined chunks of lines.
-
-A repeated run of lines is the union of its two-line windows, so ``dedup_runs`` looks
-at every window of two lines and finds runs of any length wherever they begin.
-``dedup_lines`` takes coarser pieces: a rolling hash over the last line hashes sets
-chunk boundaries, so the same passage is cut alike wherever it stands, but only whole
-chunks go. Pieces that occur in more than one document are fetched as text, compared
-byte by byte, and stay in the earliest document only.
+"""Line deduplication by content-defined chunks of lines, and by windows of two lines where chunks do not reach.
+
+A rolling hash over the last line hashes sets chunk boundaries, so the same passage is
+cut alike wherever it stands. Chunks come first: those that an earlier document has too
+go whole, in ``dedup_lines`` and in ``dedup_runs``. At its ends a repeated run covers parts
+of chunks only; as a run is the union of its two-line windows, ``dedup_runs`` then looks at every
+window that does not lie in a chunk that went. Pieces that occur in more than
+one document are fetched as text, compared byte by byte, and stay in the earliest document only.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from rasterloom.llm.hashing import windows
-from rasterloom.llm.shared import order_id, row_struct, with_text, written
+from rasterloom.llm.shared import order_id, release_shuffles, row_struct, with_text, written
 
 #: Lines under the rolling hash; a line ends a chunk with a chance of one in so many.
 ROLL, ONE_IN = 2, 4
@@ -60,6 +60,16 @@ def pairs(lines: list[bytes]) -> Iterator[tuple[int, bytes]]:
     return ((k, lines[k] + b"\n" + lines[k + 1]) for k in range(len(lines) - 1) if word[k] or word[k + 1])
 
 
+def whole_chunks(lines: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
+    """``(first line, line after the last, bytes)`` of every chunk of two lines or more with a word."""
+    start = 0
+    for end in chunk_ends(lines):
+        body = b"\n".join(lines[start:end])
+        if end - start >= 2 and body.strip():
+            yield start, end, body
+        start = end
+
+
 def pair_bodies(text: str | None) -> Iterator[bytes]:
     return (body for _, body in pairs((text or "").encode().split(b"\n")))
 
@@ -97,10 +107,15 @@ def _piece_rows(rows: DataFrame, place: int, wanted: bool, pieces: Pieces) -> Da
     return rows.mapInArrow(run, "d long, h long, a long, b long" + (", body binary" if wanted else ""))
 
 
-def repeated_pieces(docs: DataFrame, texts: DataFrame, place: int, pieces: Pieces) -> DataFrame:
-    """``d, h, gone``: per document its pieces that, byte by byte, an earlier document has too."""
-    alone = docs.select(order_id().alias("d"), F.xxhash64("text").alias("h"), F.struct("text").alias("row"))
-    rows = written(_piece_rows(alone, 0, False, pieces), "line-pieces")
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(order_id().alias("d"), F.xxhash64("text").alias("h"), F.struct("text").alias("row"))
+
+
+def repeated_pieces(rows: DataFrame, texts: DataFrame, place: int, pieces: Pieces) -> DataFrame:
+    """``d, h, gone``: per document its pieces that, byte by byte, an earlier document has too.
+
+    ``rows`` are pieces ``d, h, a, b``, read twice.
+    """
     at = F.struct("d", "h")
     ends = rows.groupBy("a", "b").agg(F.min(at).alias("lo"), F.max(at).alias("hi"))
     shared = written(ends.where("lo < hi").select("a", "b"), "line-shared")
@@ -117,54 +132,84 @@ def repeated_pieces(docs: DataFrame, texts: DataFrame, place: int, pieces: Piece
     return again.groupBy("d", "h").agg(F.collect_set("a").alias("gone"))
 
 
-Left = Callable[[str | None, set[int]], tuple[int, int, bytes]]
+def repeated_chunks(docs: DataFrame) -> DataFrame:
+    """``d, h, gone``: per document its chunks that an earlier document has too."""
+    texts = _texts(docs)
+    return repeated_pieces(written(_piece_rows(texts, 0, False, chunk_bodies), "line-chunks"), texts, 0, chunk_bodies)
+
 
+def _window_rows(rows: DataFrame) -> DataFrame:
+    """``d, h, a, b, c`` of every window of two lines, ``c`` being the chunk it lies in (null if in none), once per document and chunk."""
 
-def _dedup(docs: DataFrame, pieces: Pieces, left: Left) -> DataFrame:
-    """``row, n_lines, n_removed, kept``: what ``left`` leaves of each text without its repeated pieces."""
-    place = docs.columns.index("text")
-    # both joins read one exchange of it
-    rows = docs.select(order_id().alias("d"), F.xxhash64("text").alias("h"), row_struct(docs))
-    gone = repeated_pieces(docs, rows, place, pieces)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [], [], [], [], []
+            for d, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).field(0)):
+                lines = (text.as_py() or "").encode().split(b"\n")
+                inside: list[int | None] = [None] * len(lines)
+                for start, end, body in whole_chunks(lines):
+                    inside[start : end - 1] = [_digest(body)[0]] * (end - 1 - start)
+                for a, b, c in {(*_digest(body), inside[k]) for k, body in pairs(lines)}:
+                    for to, v in zip(out, (d, h, a, b, c)):
+                        to.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["d", "h", "a", "b", "c"])
+
+    return rows.mapInArrow(run, "d long, h long, a long, b long, c long")
+
+
+Left = Callable[[str | None, set[int], set[int]], tuple[int, int, bytes]]
+
+
+def _without(rows: DataFrame, place: int, gone: DataFrame, left: Left) -> DataFrame:
+    """``row, n_lines, n_removed, kept``: what ``left`` leaves of each text without the pieces ``gone`` and the chunks ``cut``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [left(text.as_py(), set(hs.as_py() or ())) for text, hs in zip(batch.column(0).field(place), batch.column(1))]
+            sets = [[set(x.as_py() or ()) for x in batch.column(k)] for k in (1, 2)]
+            out = [left(text.as_py(), hs, cut) for text, hs, cut in zip(batch.column(0).field(place), *sets)]
             columns = [pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)] + [pa.array([r[2].decode() for r in out], pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["row", "n_lines", "n_removed", "kept"])
 
-    full = rows.hint("merge").join(gone, ["d", "h"], "left").select("row", "gone")
+    full = rows.hint("merge").join(gone, ["d", "h"], "left").select("row", "gone", "cut")
     kind = rows.schema["row"].dataType.simpleString()
     return full.mapInArrow(run, f"row {kind}, n_lines long, n_removed long, kept string")
 
 
-def left_of_chunks(text: str | None, drop: set[int]) -> tuple[int, int, bytes]:
-    seen, out, n, cut = set(), [], 0, 0
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(order_id().alias("d"), F.xxhash64("text").alias("h"), row_struct(docs))
+
+
+def left_of_chunks(text: str | None, drop: set[int], cut: set[int]) -> tuple[int, int, bytes]:
+    seen, out, n, gone = set(), [], 0, 0
     for size, has_word, body in chunks(text):
         n += size
         if size >= 2 and has_word:
-            if body in seen or (drop and _digest(body)[0] in drop):
-                cut += size
+            if body in seen or (cut and _digest(body)[0] in cut):
+                gone += size
                 continue
             seen.add(body)
         out.append(body)
-    return n, cut, b"\n".join(out)
+    return n, gone, b"\n".join(out)
 
 
-def left_of_runs(text: str | None, drop: set[int]) -> tuple[int, int, bytes]:
+def left_of_runs(text: str | None, drop: set[int], cut: set[int]) -> tuple[int, int, bytes]:
     lines = (text or "").encode().split(b"\n")
     first: dict[bytes, int] = {}
     stay = [True] * len(lines)
+    inside = [False] * len(lines)
+    for start, end, body in whole_chunks(lines) if cut else ():
+        if _digest(body)[0] in cut:
+            inside[start : end - 1] = [True] * (end - 1 - start)
     for k, body in pairs(lines):
         # a window that overlaps its first occurrence does not repeat it
-        if k - first.setdefault(body, k) >= 2 or (drop and _digest(body)[0] in drop):
+        if k - first.setdefault(body, k) >= 2 or inside[k] or (drop and _digest(body)[0] in drop):
             stay[k] = stay[k + 1] = False
     out = [x for x, s in zip(lines, stay) if s]
     return len(lines), len(lines) - len(out), b"\n".join(out)
 
 
 def dedup_runs(docs: DataFrame) -> DataFrame:
-    """Remove every repeated run of two lines or more.
+    """Remove every repeated run of two lines or more: content-defined chunks first, then what windows add to them.
 
     Returns ``row`` (a struct of all columns of ``docs``), ``n_lines, n_removed, kept``
     per row, ``kept`` being the text that is left. Lines are parts between newlines. A
@@ -176,7 +221,16 @@ def dedup_runs(docs: DataFrame) -> DataFrame:
     input. Null and empty texts are one empty line and stay empty; a null id is smaller
     than any other. An empty table gives no rows.
     """
-    return _dedup(docs, pair_bodies, left_of_runs)
+    cut = written(repeated_chunks(docs).withColumnRenamed("gone", "cut"), "line-cut")
+    # the exchanges of the chunks go before those of the windows are written
+    release_shuffles(docs.sparkSession)
+    # a window in a chunk that goes is not looked at: the earlier document, which keeps the chunk, lists it
+    inner = cut.select("d", "h", F.explode("cut").alias("c"))
+    windows_left = _window_rows(_texts(docs)).join(inner, ["d", "h", "c"], "left_anti").select("d", "h", "a", "b").distinct()
+    # both joins of the texts read one exchange
+    rows, place = _rows(docs), docs.columns.index("text")
+    gone = repeated_pieces(written(windows_left, "line-pieces"), rows, place, pair_bodies)
+    return _without(rows, place, gone.join(cut, ["d", "h"], "full"), left_of_runs)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -191,7 +245,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     are one empty line and stay empty; a null id is smaller than any other. An empty
     table gives no rows.
     """
-    return _dedup(docs, chunk_bodies, left_of_chunks)
+    cut = repeated_chunks(docs).select("d", "h", F.lit(None).cast("array<long>").alias("gone"), F.col("gone").alias("cut"))
+    return _without(_rows(docs), docs.columns.index("text"), cut, left_of_chunks)
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:

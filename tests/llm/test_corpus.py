@@ -653,6 +653,24 @@ def test_every_repeated_run_of_lines_goes(spark, odd, odd_texts, none):
     assert QUERIES["op9_line_dedup"](spark, SF).agg(F.sum("n_removed")).first()[0] > line_dedup.dedup_lines(documents(spark, SF)).agg(F.sum("n_removed")).first()[0]
 
 
+def test_chunks_go_first_and_windows_add_the_ends(spark):
+    rnd = random.Random(5)
+    line = lambda: some_words(rnd, 6)
+    passage = [line() for _ in range(40)]
+    rows = [(k, "\n".join([*(line() for _ in range(5)), *passage, *(line() for _ in range(4))])) for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    chunks = {r.d: len(r.gone) for r in line_dedup.repeated_chunks(df).collect()}
+    # every later copy loses the same chunks of the passage; at its ends lines remain that only windows reach
+    assert set(chunks) == {1, 2, 3, 4, 5} and len(set(chunks.values())) == 1 and chunks[1] >= 3
+    coarse = {r.row.doc_id: r.n_removed for r in line_dedup.dedup_lines(df).collect()}
+    got = {r.row.doc_id: (r.n_lines, r.n_removed, r.kept) for r in line_dedup.dedup_runs(df).collect()}
+    assert got == {r[0]: r[1:] for r in brute.line_runs(rows)}
+    assert all(0 < coarse[k] < got[k][1] == 40 for k in range(1, 6)) and got[0][1] == 0
+    # of a passage the later copies look at its ends only
+    whole = line_dedup._window_rows(line_dedup._texts(df)).where("c IS NOT NULL").groupBy("d").count().collect()
+    assert all(r["count"] > 10 for r in whole)
+
+
 def test_line_chunks_resist_shifts():
     rnd = random.Random(8)
     body = [some_words(rnd, 5).encode() for _ in range(200)]
