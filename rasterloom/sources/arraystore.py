@@ -379,10 +379,11 @@ class OverBudget(RuntimeError):
     """A request would read more than it may; nothing was read."""
 
 
-def on_levels(points: DataFrame, level_rows: DataFrame) -> DataFrame:
-    """Points ``vol, pz, py, px`` (cells of the finest level) as cells ``iz, iy, ix`` of every level, with their chunk; those outside are left out."""
+def on_levels(points: DataFrame, level_rows: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """Points ``vol, pz, py, px`` (cells of the finest level) as cells ``iz, iy, ix`` of every level, or of the levels ``only`` (``vol, level``), with their chunk; those outside are left out."""
     base = level_rows.where("level = 0").select("vol", F.col("shape").alias("_base"))
-    df = points.join(level_rows.join(base, "vol"), "vol")
+    df = level_rows.join(base, "vol")
+    df = points.join(df if only is None else df.join(only, ["vol", "level"]), "vol")
     for k, c in enumerate("zyx"):
         factor = F.greatest(F.floor(F.col("_base")[k] / F.col("shape")[k] + 0.5), F.lit(1))
         df = df.withColumn(f"i{c}", F.floor(F.col(f"p{c}") / factor).cast("long"))
@@ -410,16 +411,19 @@ def gather(points: DataFrame, root: str, budget: int, coarser: bool = True) -> D
     Costs come before any chunk is opened. A volume beyond the budget goes to a coarser level, or with
     ``coarser=False`` the request is refused (``OverBudget``), as is one that no level can meet. Returns the
     points' columns with ``level`` and ``v``; cells that were never written are 0, points outside have no row.
+    Points are read twice, first for the chunks they touch and then on their chosen level, and never written on all levels: they
+    must be the same both times.
     """
     level_rows = checkpoint(levels(points.sparkSession, root))
-    placed = checkpoint(on_levels(points, level_rows))
-    costs = checkpoint(price(placed))
+    touched = on_levels(points.select("vol", "pz", "py", "px"), level_rows).select(*level_rows.columns, "cz", "cy", "cx")
+    touched = checkpoint(touched.dropDuplicates(["vol", "level", "cz", "cy", "cx"]))
+    costs = checkpoint(price(touched))
     chosen = affordable(costs.where("level = 0") if not coarser else costs, budget)
     dear = costs.select("vol").distinct().join(chosen, "vol", "left_anti").limit(3).collect()  # a few to name in the message
     if dear:
         raise OverBudget(f"more than {budget} bytes: {', '.join(r.vol for r in dear)}")
-    take = placed.join(chosen.select("vol", "level"), ["vol", "level"])
-    found = voxels(read(take.select(*level_rows.columns, "cz", "cy", "cx").distinct(), root), keep_zero=False)
+    take = on_levels(points, level_rows, chosen.select("vol", "level"))
+    found = voxels(read(touched.join(chosen.select("vol", "level"), ["vol", "level"]), root), keep_zero=False)
     found = found.select("vol", "level", *[F.col(c).cast("long").alias(f"i{c}") for c in "zyx"], "v")
     got = take.join(found, ["vol", "level", "iz", "iy", "ix"], "left")
     return got.select(*points.columns, "level", F.coalesce("v", F.lit(0.0)).alias("v"))

@@ -170,6 +170,20 @@ def test_gather_stays_in_budget_and_refuses_before_reading(spark, tmp_path):
         arraystore.gather(points, path, 100)
 
 
+def test_gather_writes_chunk_numbers_not_points(spark, tmp_path, monkeypatch):
+    path = str(tmp_path)
+    a = RNG.integers(1, 200, (4, 8, 8))
+    arraystore.write(arraystore.pack(cells_of(spark, {"v": a}, {"v": (4, 4, 4)})), path)
+    held, keep = [], arraystore.checkpoint
+    monkeypatch.setattr(arraystore, "checkpoint", lambda df: held.append(keep(df)) or held[-1])
+    rows = [("v", z, y, x, i) for i in range(3) for z, y, x in np.ndindex(4, 8, 4)]
+    points = spark.createDataFrame([tuple(v if isinstance(v, str) else int(v) for v in r) for r in rows], "vol string, pz int, py int, px int, id int")
+    got = sorted((r.pz, r.py, r.px, r.id, r.v) for r in arraystore.gather(points, path, 1000).collect())
+    assert got == sorted((z, y, x, i, float(a[z, y, x])) for _, z, y, x, i in rows)
+    # 384 points touch two chunks: only these, their price and the levels are written
+    assert held and max(df.count() for df in held) == 2
+
+
 def test_ragged_curves_on_one_axis(spark):
     ends = {"p": (-30, 24, 4), "q": (-12, 40, 6), "r": (-20, 33, 5)}
     data = {c: [(x, float(RNG.normal())) for x in range(a, b, s)] for c, (a, b, s) in ends.items()}
