@@ -5,7 +5,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from rasterloom.operators import depth, experiments, features, registration, seams, spatial
+from rasterloom.operators import axis, depth, experiments, features, registration, seams, spatial
 from rasterloom.plans import QUERIES, load_all
 from rasterloom.sources import grids
 from tests.helpers import plane_df, volume_df
@@ -128,3 +128,26 @@ def test_candidates_meet_blocks_not_voxels(spark, monkeypatch):
     got = {(r.turn, r.scale, r.tz, r.ty, r.tx): (r.inside, r.align, r.fit) for r in found.collect()}
     assert got.keys() == want.keys() and len(got) > 20
     assert all(np.allclose(got[k], want[k], atol=1e-9) for k in got)
+
+
+def test_frame_fills_gaps_without_a_second_grouping(spark, capsys):
+    rows = [("a", 1, 1, 5), ("a", None, 2, 3), ("a", 9, 9, 2), ("b", None, None, 1), (None, 2, 2, 4), ("d", -1, 0, 7), ("e", 1, 2, None)]
+    cells = spark.createDataFrame(rows, "seg string, y int, x int, q int")
+    df = grids.dense(cells, {"y": 4, "x": 4}, ["q"])
+    df.explain()
+    assert "collect_list" not in capsys.readouterr().out
+    got = sorted(((r.seg, r.y, r.x, r.q) for r in df.collect()), key=str)
+    own = {(s, y, x): q for s, y, x, q in rows}
+    frame = {(s, y, x): 0 for s in ("a", "b", None, "d", "e") for y in range(4) for x in range(4)}
+    assert got == sorted(((*k, v or 0) for k, v in (frame | own).items()), key=str)
+
+
+def test_short_windows_take_one_step(spark, capsys):
+    a = RNG.integers(0, 99, (7, 9))
+    df = axis.uniform_mean(plane_df(spark, {"a": a}), {"m": ("a", 3)})
+    df.explain()
+    plan = capsys.readouterr().out
+    assert "Generate" not in plan and plan.count("- Window") == 2
+    p = np.pad(a.astype(float), 1, mode="symmetric")
+    want = sum(p[i : i + 7, j : j + 9] for i in range(3) for j in range(3)) / 9
+    assert all(abs(r.m - want[r.y, r.x]) < 1e-9 for r in df.collect())
