@@ -5,7 +5,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from rasterloom.operators import axis, depth, experiments, features, registration, seams, spatial
+from rasterloom.operators import axis, depth, experiments, features, fields, registration, seams, spatial
 from rasterloom.plans import QUERIES, load_all
 from rasterloom.sources import grids
 from tests.helpers import plane_df, volume_df
@@ -151,3 +151,13 @@ def test_short_windows_take_one_step(spark, capsys):
     p = np.pad(a.astype(float), 1, mode="symmetric")
     want = sum(p[i : i + 7, j : j + 9] for i in range(3) for j in range(3)) / 9
     assert all(abs(r.m - want[r.y, r.x]) < 1e-9 for r in df.collect())
+
+
+def test_track_maps_are_made_once(spark, monkeypatch):
+    kept = []
+    real = fields.checkpoint
+    monkeypatch.setattr(fields, "checkpoint", lambda df: (kept.append(set(df.columns)), real(df))[1])
+    up = np.zeros((30, 30))
+    df = plane_df(spark, {"r": np.where(np.arange(30) == 15, 9.0, 0.0)[None] + up, "vy": up + 1.0, "vx": up, "c": up + 0.9})
+    fields.ridge_tracks(df, "r", "vy", "vx", "c", spacing=6, least=8)
+    assert {"r", "vy", "vx", "c", "y", "x"} <= kept[0]
