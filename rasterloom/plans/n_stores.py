@@ -214,6 +214,6 @@ def l09(spark, sf):
 def l09_price(spark, sf):
     """What the same request costs at every level, and which level is taken."""
     levels = arraystore.levels(spark, stored(spark, sf))
-    costs = checkpoint(arraystore.price(arraystore.on_levels(walked(spark, sf), levels)))
+    costs = checkpoint(arraystore.price(arraystore.on_levels(arraystore.places(walked(spark, sf)), levels)))
     chosen = arraystore.affordable(costs, BUDGET).select("vol", "level", F.lit(True).alias("chosen"))
     return costs.join(chosen, ["vol", "level"], "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))

@@ -392,6 +392,11 @@ def on_levels(points: DataFrame, level_rows: DataFrame, only: DataFrame | None =
     return df.drop("_base")
 
 
+def places(points: DataFrame) -> DataFrame:
+    """The places ``vol, pz, py, px`` that points ask for, each once: what they touch is told by these, however many points share one."""
+    return points.select("vol", "pz", "py", "px").distinct()
+
+
 def price(placed: DataFrame) -> DataFrame:
     """What gathering costs at each level: ``vol, level, n_chunks, cost`` in bytes once unpacked, from chunk numbers alone."""
     keys = placed.select("vol", "level", "chunks", "dtype", "cz", "cy", "cx").distinct()
@@ -415,7 +420,7 @@ def gather(points: DataFrame, root: str, budget: int, coarser: bool = True) -> D
     must be the same both times.
     """
     level_rows = checkpoint(levels(points.sparkSession, root))
-    touched = on_levels(points.select("vol", "pz", "py", "px"), level_rows).select(*level_rows.columns, "cz", "cy", "cx")
+    touched = on_levels(places(points), level_rows).select(*level_rows.columns, "cz", "cy", "cx")
     touched = checkpoint(touched.dropDuplicates(["vol", "level", "cz", "cy", "cx"]))
     costs = checkpoint(price(touched))
     chosen = affordable(costs.where("level = 0") if not coarser else costs, budget)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.operators import axis, depth, experiments, features, fields, registration, seams, spatial
 from rasterloom.plans import QUERIES, load_all
-from rasterloom.sources import grids
+from rasterloom.sources import arraystore, grids
 from tests.helpers import plane_df, volume_df
 
 load_all()
@@ -161,3 +161,8 @@ def test_track_maps_are_made_once(spark, monkeypatch):
     df = plane_df(spark, {"r": np.where(np.arange(30) == 15, 9.0, 0.0)[None] + up, "vy": up + 1.0, "vx": up, "c": up + 0.9})
     fields.ridge_tracks(df, "r", "vy", "vx", "c", spacing=6, least=8)
     assert {"r", "vy", "vx", "c", "y", "x"} <= kept[0]
+
+
+def test_places_are_priced_once(spark):
+    points = spark.range(1000).selectExpr("'v' AS vol", "id AS k", "id % 2 AS pz", "0L AS py", "3L AS px")
+    assert sorted(map(tuple, arraystore.places(points).collect())) == [("v", 0, 0, 3), ("v", 1, 0, 3)]
