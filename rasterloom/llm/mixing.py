@@ -76,11 +76,12 @@ def running_total(df: DataFrame, group: str, chunk: str, n_chunks: int, order: l
         up = totals.withColumn(f"_{chunk}", F.floor(F.col(chunk) / FAN))
         starts = running_total(up, group, f"_{chunk}", -(-n_chunks // FAN), [chunk], F.col("_t"), "_start")
     inside = W.partitionBy(group, chunk).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    # the result of a level above is itself named _start
     return (
         df.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .join(starts.select(group, chunk, "_start"), [group, chunk])
-        .withColumn(name, (F.col("_in") + F.col("_start")).cast("long"))
-        .drop("_in", "_start")
+        .join(starts.select(group, chunk, F.col("_start").alias("_ahead")), [group, chunk])
+        .withColumn(name, (F.col("_in") + F.col("_ahead")).cast("long"))
+        .drop("_in", "_ahead")
     )
 
 

@@ -601,6 +601,22 @@ def test_mix_takes_small_sources(spark):
     assert words == {s: n for s, (_, n) in got.items()}
 
 
+def test_running_total_in_levels(spark, odd, monkeypatch):
+    """More chunks than fit one window: totals of totals, twice over."""
+    rows = [(k % 3, k * 7 % 101, k % 5 + 1) for k in range(2_000)]
+    df = spark.createDataFrame([(g, v // 3, v, n, i) for i, (g, v, n) in enumerate(rows)], "g long, chunk long, v long, n long, i long")
+    ahead, want = {}, {}
+    for i, (g, v, n) in sorted(enumerate(rows), key=lambda x: (x[1][1], x[0])):
+        want[i], ahead[g] = ahead.get(g, 0), ahead.get(g, 0) + n
+    whole = sorted_rows(mixing.taken_words(odd))
+    monkeypatch.setattr(mixing, "FAN", 4)
+    got = mixing.running_total(df, "g", "chunk", 34, ["v", "i"], F.col("n"), "at")
+    assert got.columns == [*df.columns, "at"]
+    assert {r.i: r["at"] for r in got.collect()} == want
+    monkeypatch.setattr(mixing, "CHUNK_ROWS", 2)
+    assert sorted_rows(mixing.taken_words(odd)) == whole
+
+
 def mixing_rows(spark):
     docs = documents(spark, SF)
     taken = mixing.taken_words(docs)
