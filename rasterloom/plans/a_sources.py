@@ -318,7 +318,8 @@ def a21(spark, sf):
     ax = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     frame = grids.segments(spark, sf).withColumn("y", ax(n)).withColumn("x", ax(n))
     src = df.select("seg", (F.col("y") - y0).alias("y"), (F.col("x") - x0).alias("x"), "b")
-    crop = frame.join(src, ["seg", "y", "x"], "left").select(
+    # Spark takes the frame, and the plane, for as small as the segments they are made from: never broadcast
+    crop = frame.hint("merge").join(src.hint("merge"), ["seg", "y", "x"], "left").select(
         "seg", F.lit(n).alias("h"), F.lit(n).alias("w"), "y", "x", F.coalesce("b", F.lit(0)).alias("v")
     )
     out = crop.select("seg", "h", "w").distinct().withColumn("oy", ax(2 * n)).withColumn("ox", ax(2 * n))
