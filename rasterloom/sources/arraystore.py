@@ -383,7 +383,8 @@ def on_levels(points: DataFrame, level_rows: DataFrame, only: DataFrame | None =
     """Points ``vol, pz, py, px`` (cells of the finest level) as cells ``iz, iy, ix`` of every level, or of the levels ``only`` (``vol, level``), with their chunk; those outside are left out."""
     base = level_rows.where("level = 0").select("vol", F.col("shape").alias("_base"))
     df = level_rows.join(base, "vol")
-    df = points.join(df if only is None else df.join(only, ["vol", "level"]), "vol")
+    # points made by explode look small, so only the merge keeps them out of a broadcast
+    df = points.hint("merge").join(df if only is None else df.join(only, ["vol", "level"]), "vol")
     for k, c in enumerate("zyx"):
         factor = F.greatest(F.floor(F.col("_base")[k] / F.col("shape")[k] + 0.5), F.lit(1))
         df = df.withColumn(f"i{c}", F.floor(F.col(f"p{c}") / factor).cast("long"))
@@ -430,5 +431,6 @@ def gather(points: DataFrame, root: str, budget: int, coarser: bool = True) -> D
     take = on_levels(points, level_rows, chosen.select("vol", "level"))
     found = voxels(read(touched.join(chosen.select("vol", "level"), ["vol", "level"]), root), keep_zero=False)
     found = found.select("vol", "level", *[F.col(c).cast("long").alias(f"i{c}") for c in "zyx"], "v")
-    got = take.join(found, ["vol", "level", "iz", "iy", "ix"], "left")
+    # unpacked voxels look as small as the list of chunks they are read from: they are never broadcast
+    got = take.join(found.hint("merge"), ["vol", "level", "iz", "iy", "ix"], "left")
     return got.select(*points.columns, "level", F.coalesce("v", F.lit(0.0)).alias("v"))

@@ -166,3 +166,43 @@ def test_track_maps_are_made_once(spark, monkeypatch):
 def test_places_are_priced_once(spark):
     points = spark.range(1000).selectExpr("'v' AS vol", "id AS k", "id % 2 AS pz", "0L AS py", "3L AS px")
     assert sorted(map(tuple, arraystore.places(points).collect())) == [("v", 0, 0, 3), ("v", 1, 0, 3)]
+
+
+def test_crop_is_not_broadcast_by_the_size_of_its_segments(spark, sf, capsys):
+    QUERIES["a21_aligned_crop"](spark, sf).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan
+
+
+def test_gathered_points_and_voxels_are_not_broadcast(spark, tmp_path, capsys):
+    cells = spark.createDataFrame([("v", 0, z, y, 1, 7, [4, 4, 4], [2, 2, 2]) for z in range(4) for y in range(4)], "vol string, level int, z int, y int, x int, v int, shape array<long>, chunks array<long>")
+    arraystore.write(arraystore.pack(cells), str(tmp_path))
+    points = spark.range(1).selectExpr("'v' AS vol", "explode(sequence(0L, 3L)) AS pz", "2L AS py", "1L AS px")
+    got = arraystore.gather(points, str(tmp_path), 1000)
+    got.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("SortMergeJoin") >= 2 and "BroadcastHashJoin LeftOuter" not in plan and "BroadcastHashJoin [vol" not in plan
+    assert sorted((r.pz, r.v) for r in got.collect()) == [(z, 7.0) for z in range(4)]
+
+
+def test_places_are_looked_up_without_a_join(spark, capsys):
+    rows = [("s", 0, 0, 1), ("s", 0, 1, 2), ("s", 0, 1, 3), ("s", 5, 5, 4), ("t", 0, 0, 5), (None, 0, 0, 6), ("s", None, 0, 7)]
+    df = spark.createDataFrame(rows, "seg string, y int, x int, a int")
+    at = [F.col("y"), F.col("x") + 1]
+    got = fields.looked_up(df, at, [F.col("y"), F.col("x")], {"b": F.col("a")})
+    right = df.select("seg", F.col("y").alias("_y"), F.col("x").alias("_x"), F.col("a").alias("b"))
+    want = df.withColumns({"_y": at[0], "_x": at[1]}).join(right, ["seg", "_y", "_x"]).select("seg", "y", "x", "a", "b")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) == [("s", 0, 0, 1, 2), ("s", 0, 0, 1, 3)]
+    a = RNG.integers(0, 99, (8, 9))
+    # dealt by segment once, no pass over the cells moves them again
+    cells = spark.createDataFrame([("s", 8, 9, y, x, int(v)) for (y, x), v in np.ndenumerate(a)], "seg string, h int, w int, y int, x int, a int")
+    moved = fields.warp(cells.repartition(3, "seg"), "a", F.lit(0.25), F.lit(-1.5), "m")
+    moved.explain()
+    plan = capsys.readouterr().out
+    assert "Join " not in plan and plan.count("Exchange hash") == 1
+    for r in moved.collect():
+        sy, sx = max(r.y - 0.25, 0), min(r.x + 1.5, 8)
+        y, x, fy, fx = int(sy), int(sx), sy % 1, sx % 1
+        rows, cols = (y, min(y + 1, 7)), (x, min(x + 1, 8))
+        want = sum(a[i, j] * wy * wx for i, wy in zip(rows, (1 - fy, fy)) for j, wx in zip(cols, (1 - fx, fx)))
+        assert abs(r.m - want) < 1e-9
