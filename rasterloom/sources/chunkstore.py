@@ -32,6 +32,8 @@ from pyspark.sql.datasource import (
 
 SCHEMA = "vol string, level int, cz int, cy int, cx int, data binary"
 RUN, MAX_RUNS = 64, 20000
+#: Chunk places that a task reads at most, unless one run has more, and tasks that a smaller store is dealt to.
+AT_ONCE, TASKS = 4096, 64
 
 
 def read_sidecar(folder: str) -> dict | None:
@@ -77,6 +79,26 @@ class Run(InputPartition):
     last: int
 
 
+@dataclass
+class Runs(InputPartition):
+    """Runs of several volumes and levels, so that small ones do not cost a task each."""
+
+    runs: list[Run]
+
+
+def together(runs: list[Run]) -> list[Runs]:
+    """Neighbouring runs, up to ``AT_ONCE`` places or a share of all, as partitions."""
+    most = max(RUN, min(AT_ONCE, -(-sum(r.last - r.first for r in runs) // TASKS)))
+    out, held = [], most
+    for r in runs:
+        held += r.last - r.first
+        if held > most:
+            out.append(Runs([]))
+            held = r.last - r.first
+        out[-1].runs.append(r)
+    return out or [Runs([])]
+
+
 class ChunkReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
@@ -101,7 +123,7 @@ class ChunkReader(DataSourceReader):
 
     def partitions(self):
         """Runs of linear chunk numbers inside the wanted box, never a list of chunks."""
-        out = []
+        out, texts = [], {}
         for vol in sorted(os.listdir(self.path)):
             for i, name in enumerate(level_names(os.path.join(self.path, vol))):
                 folder = os.path.join(self.path, vol, name)
@@ -114,10 +136,15 @@ class ChunkReader(DataSourceReader):
                 total = box[0][1] * box[1][1] * box[2][1]
                 step = max(RUN, -(-total // MAX_RUNS))
                 text = json.dumps({**meta, "box": box})
+                text = texts.setdefault(text, text)
                 out += [Run(vol, i, folder, text, k, min(k + step, total)) for k in range(0, total, step)]
-        return out or [Run("", 0, "", "{}", 0, 0)]
+        return together(out)
 
     def read(self, part):
+        for run in part.runs:
+            yield from self._read(run)
+
+    def _read(self, part):
         meta = json.loads(part.meta)
         sep = meta.get("dimension_separator", ".")
         packed = codec(meta)
