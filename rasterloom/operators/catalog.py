@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rasterloom.operators import quantiles
+from rasterloom.session import checkpoint
 
 
 def last_wins(df: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:
@@ -68,8 +69,13 @@ def seam_classes(nn: DataFrame, body: DataFrame, keys, normal: dict[str, float],
         *keys, F.abs(perp).alias("perp"), F.sqrt(F.greatest(F.col("d2") - perp * perp, F.lit(0.0))).alias("inplane")
     )
     edge = F.col("inplane") > F.col("perp")
-    mid = quantiles.medians(parts.where(edge), keys, {"perp": "perp", "inplane": "inplane"})
-    g = parts.groupBy(*keys).agg(F.count(F.lit(1)).alias("near"), F.count_if(edge).alias("seam"))
+    # neighbours are looked for once: of their offsets the counts are written, those above are only counted
+    parts = parts.select(*keys, *[F.when(edge, F.col(c)).alias(c) for c in ("perp", "inplane")])
+    parts = checkpoint(parts.groupBy(*parts.columns).agg(F.count(F.lit(1)).alias("n")))
+    edge, n = F.col("perp").isNotNull(), F.col("n")
+    each = parts.where(edge).withColumn("_", F.explode(F.array_repeat(F.lit(1), n.cast("int"))))
+    mid = quantiles.medians(each, keys, {"perp": "perp", "inplane": "inplane"})
+    g = parts.groupBy(*keys).agg(F.sum(n).alias("near"), F.coalesce(F.sum(F.when(edge, n)), F.lit(0)).alias("seam"))
     g = g.where(F.col("seam") >= least).join(body, keys).join(mid, keys)
     kind = F.when(F.col("near") / F.col("body") > 0.5, "duplicate").otherwise("seam")
     return g.select(

@@ -166,7 +166,7 @@ def neighbour_pairs(spark, sf, reach=4.0):
     p = points(spark, sf)
     rim = in_pairs(p, 1)
     body = in_pairs(p, 2).select("blk", "pair", "py", "px", "pz")
-    return spatial.nearest_within(rim, body, ["blk", "pair"], ["r", "c", "py", "px", "pz"], ["pz", "py", "px"], reach)
+    return spatial.nearest_within(rim, body, ["blk", "pair"], ["r", "c", "py", "px", "pz"], ["pz", "py", "px"], reach, side=32)
 
 
 NN_ALL = f""", {POINTS},
