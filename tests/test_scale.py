@@ -5,9 +5,9 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from rasterloom.operators import axis, depth, experiments, features, fields, registration, seams, spatial
-from rasterloom.plans import QUERIES, load_all
-from rasterloom.sources import arraystore, grids
+from rasterloom.operators import axis, catalog, controls, depth, experiments, features, fields, registration, seams, spatial
+from rasterloom.plans import QUERIES, load_all, n_cracks
+from rasterloom.sources import arraystore, chunkstore, grids
 from tests.helpers import plane_df, volume_df
 
 load_all()
@@ -206,3 +206,60 @@ def test_places_are_looked_up_without_a_join(spark, capsys):
         rows, cols = (y, min(y + 1, 7)), (x, min(x + 1, 8))
         want = sum(a[i, j] * wy * wx for i, wy in zip(rows, (1 - fy, fy)) for j, wx in zip(cols, (1 - fx, fx)))
         assert abs(r.m - want) < 1e-9
+
+
+def test_draws_make_no_rows_of_cells(spark, capsys):
+    kind = "seg string, h int, w int, y int, x int, za double, zb double, r boolean"
+    rows = [("s", 4, 4, 0, 0, 1.0, 2.0, True), ("s", 4, 4, 1, 1, 5.0, None, True), ("s", 4, 4, 1, 1, 3.0, 0.5, True), ("s", 4, 4, 2, 2, 9.0, 9.0, False)]
+    rows += [(None, 4, 4, 0, 0, 1.0, 1.0, True), ("s", 4, 4, None, 0, 8.0, 8.0, True), ("t", 4, 4, 3, 3, None, None, True)]
+    df = spark.createDataFrame(rows, kind)
+    got = controls.paired_maximum(df.repartition(2, "seg"), ["seg"], "za", "zb", "r", [(1, 1), (0, 0), (2, 1)], 1)
+    got.explain()
+    # dealt by segment once, and neither copied per draw nor joined
+    plan = capsys.readouterr().out
+    assert "Generate" not in plan and "Join" not in plan and plan.count("Exchange hash") == 1
+    want = {("s", 0, 5.0, 2.0, 2), ("s", 1, 5.0, 5.0, 5), ("t", 1, None, None, 1)}
+    assert {(r.seg, r.k, r.obs, r.null, r.area) for r in got.collect()} == want
+
+
+def test_sheets_write_counts_not_cells(spark, monkeypatch):
+    kept = []
+    for m in (seams, catalog):
+        monkeypatch.setattr(m, "checkpoint", lambda df: (kept.append(df), df.localCheckpoint())[1])
+    rows = [(s, y, x, z, y * 10, x * 10, y in (0, 23), 1.0, 0.0, 0.0) for s, z in (("a", 0), ("b", 1)) for y in range(24) for x in range(24)]
+    cells = spark.createDataFrame(rows, "seg string, y int, x int, pz int, py int, px int, rim boolean, nz double, ny double, nx double")
+    assert seams.classify(cells, 12.0).isEmpty()
+    assert kept[0].count() == 2 and kept[0].agg(F.sum("n")).first()[0] == 576
+    nn = spark.range(60).selectExpr("'k' AS k", "1 AS d2", "0 AS p", "CAST(id % 3 > 0 AS INT) AS r_p")
+    body = spark.createDataFrame([("k", 100)], "k string, body long")
+    r = catalog.seam_classes(nn, body, ["k"], {"p": 0.6}, 20).first()
+    assert kept[1].count() == 2 and (r.near, r.seam, r.perp, r.inplane, r.kind) == (60, 60, 0.6, 0.8, "duplicate")
+
+
+def test_nearest_at_any_distance_joins_nothing(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(seams, "checkpoint", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), df.localCheckpoint())[1])
+    left = spark.createDataFrame([("k", i, i * 40, 0, 0) for i in range(5)] * 2 + [("k", 9, None, 0, 0)], "key string, id int, pz int, py int, px int")
+    right = spark.createDataFrame([("k", 3, 0, 0)] * 3, "key string, pz int, py int, px int")
+    got = seams.nearest_any(left, right, ["key"], ["id", *seams.POINT], seams.POINT, 5.0)
+    assert sorted((r.id, r.d2) for r in got.collect()) == [(i, (i * 40 - 3) ** 2) for i in range(5)]
+    rounds = [p for p in plans if "CoGroup" in p]
+    assert len(rounds) > 3 and not any("anti" in p.lower() or "Aggregate" in p for p in rounds)
+    assert len(plans) == len(rounds) + 2
+
+
+def test_small_volumes_share_a_task(spark, tmp_path):
+    data = bytearray(b"\1" * 8)
+    rows = [(f"v{i:03d}", 0, z, 0, 0, data) for i in range(300) for z in range(2)]
+    chunkstore.write_chunks(spark.createDataFrame(rows, chunkstore.SCHEMA), str(tmp_path), (4, 2, 2), (2, 2, 2))
+    got = chunkstore.read_chunks(spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() < 20
+    assert sorted((r.vol, r.cz) for r in got.collect()) == [(v, z) for v, _, z, *_ in rows]
+    assert chunkstore.read_chunks(spark, str(tmp_path)).where("cz = 1").count() == 300
+
+
+def test_valleys_of_the_crack_report_are_made_once(spark, sf, monkeypatch):
+    calls = []
+    real = n_cracks.valleys
+    monkeypatch.setattr(n_cracks, "valleys", lambda *a: (calls.append(a), real(*a))[1])
+    assert QUERIES["j26_crack_report"](spark, sf).columns and len(calls) == 1
